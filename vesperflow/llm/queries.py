@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vesperflow.llm import simhash
+from vesperflow.llm import decontaminate, packing, secrets, simhash
 from vesperflow.session import table
 
 QUERIES: dict = {}
@@ -21,3 +21,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate groups of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(found.fp).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit packing of all documents, by whole words and an end mark."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that benchmark items' windows cover."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLE_SQL["op4_decontaminate"] = rf"""
+WITH items AS (SELECT DISTINCT CAST(item_id AS VARCHAR) item, {_WORDS} w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item, least(len(w), 10) k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') s
+            FROM items, unnest(range(1, greatest(len(w) - 10, 0) + 2)) u(i) WHERE len(w) > 0),
+docs AS (SELECT doc_id, {_WORDS} w FROM documents),
+spots AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') s
+          FROM docs, (SELECT DISTINCT k FROM windows) ks, unnest(range(1, len(w) - k + 2)) u(i)),
+found AS (SELECT doc_id, i, k, item FROM spots JOIN windows USING (k, s)),
+hits AS (SELECT doc_id, count(DISTINCT j) n_hit FROM found, unnest(range(i, i + k)) u(j) GROUP BY doc_id),
+own AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items,
+       sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
