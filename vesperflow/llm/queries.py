@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vesperflow.llm import decontaminate, packing, secrets, simhash
+from vesperflow.llm import decontaminate, packing, quality, secrets, simhash
 from vesperflow.session import table
 
 QUERIES: dict = {}
@@ -56,3 +56,10 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN own USING (doc_id)
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents."""
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
