@@ -65,9 +65,11 @@ def indicators(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarra
     h = own[w.codes]
     next_ = rows[1:] == rows[:-1]
     pair = (h[:-1] * _MIX) ^ (h[1:] >> np.uint64(1))
-    pair[h[:-1] == h[1:]] = _hash("repeat")
-    all_rows = np.concatenate([np.repeat(row, k), rows[1:][next_]])
-    all_ = np.concatenate([flat[at], pair[next_]])
+    same = (h[:-1] == h[1:]) & next_
+    pair[same] = _hash("repeat")
+    thrice = np.flatnonzero(same[1:] & same[:-1])
+    all_rows = np.concatenate([np.repeat(row, k), rows[1:][next_], rows[thrice]])
+    all_ = np.concatenate([flat[at], pair[next_], np.full(len(thrice), _hash("thrice"), np.uint64)])
     all_ = (all_ * _MIX) >> np.uint64(64 - bits)
     both = np.unique((all_rows.astype(np.int64) << bits) | all_.astype(np.int64))
     assert n < 1 << (62 - bits)
@@ -82,11 +84,11 @@ def log_count_ratio(docs: list[np.ndarray], y: np.ndarray, dims: int, alpha: flo
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_descent(docs: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(weights, bias) of the hinge-loss model by dual coordinate descent; classes weigh alike."""
+def dual_descent(docs: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float = 1.0, rounds: int = 20, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the hinge-loss model of unit-length rows by dual coordinate descent; classes weigh alike."""
     s = np.where(y > 0, 1.0, -1.0)
     cost = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y <= 0).sum())))
-    values = [scale[x] for x in docs]
+    values = [v / max(1e-9, np.sqrt(v @ v)) for v in (scale[x] for x in docs)]
     q = np.array([v @ v + 1.0 for v in values])
     w, b, a = np.zeros(len(scale)), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(seed)
@@ -108,38 +110,51 @@ def dual_descent(docs: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: fl
 
 @dataclass
 class Model:
+    """weights: of each feature, its scale included; squares: of the features' scales, for a row's length."""
+
     weights: np.ndarray
+    squares: np.ndarray
     bias: float
-    a: float
-    b: float
+    a: float = 0.0
+    b: float = 0.0
     bits: int = BITS
 
+    def margins(self, row: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        length = np.sqrt(sums(row, n, self.squares[x].astype(np.float64)))
+        return sums(row, n, self.weights[x].astype(np.float64)) / np.maximum(length, 1e-9) + self.bias
+
     def score(self, texts: pa.Array) -> np.ndarray:
-        row, x = indicators(texts, self.bits)
-        m = sums(row, len(texts), self.weights[x].astype(np.float64)) + self.bias
+        m = self.margins(*indicators(texts, self.bits), len(texts))
         return 1 / (1 + np.exp(np.clip(self.a * m + self.b, -500, 500)))
 
 
-def fit_arrays(docs: list[np.ndarray], y: np.ndarray, bits: int = BITS, parts: int = 3) -> Model:
-    """The model of all rows, its sigmoid fitted on margins of rows that the margin's model has not seen."""
+def _fit_margins(docs: list[np.ndarray], y: np.ndarray, bits: int, least: int) -> Model:
+    """A model without its sigmoid, over the features that `least` rows have."""
     dims = 1 << bits
-    if len(y) == 0 or y.min() == y.max():  # one class only: its share, smoothed, for every text
+    known = np.bincount(np.concatenate(docs), minlength=dims) >= least
+    own = [x[known[x]] for x in docs]
+    r = log_count_ratio(own, y, dims)
+    w, b = dual_descent(own, y, r)
+    return Model((w * r).astype(np.float32), np.where(known, r * r, 0).astype(np.float32), float(b), bits=bits)
+
+
+def fit_arrays(docs: list[np.ndarray], y: np.ndarray, bits: int = BITS, parts: int = 3, least: int = 3) -> Model:
+    """The model of all rows, its sigmoid fitted on margins of rows that the margin's model has not seen."""
+    if min((y > 0).sum(), (y <= 0).sum()) < parts:  # too few of a class: the classes' share, smoothed, for every text
         p = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(dims, np.float32), 0.0, 0.0, float(np.log((1 - p) / p)), bits)
+        return Model(np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32), 0.0, 0.0, float(np.log((1 - p) / p)), bits)
     margins = np.zeros(len(y))
-    part = np.arange(len(y)) % parts
+    part = np.zeros(len(y), np.int64)
+    for v in (y > 0, y <= 0):
+        part[v] = np.arange(v.sum()) % parts
     for k in range(parts):
         here, there = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        own = [docs[i] for i in here]
-        r = log_count_ratio(own, y[here], dims)
-        w, b = dual_descent(own, y[here], r)
-        w *= r
-        for i in there:
-            margins[i] = w[docs[i]].sum() + b
-    a, b0 = platt(margins, y)
-    r = log_count_ratio(docs, y, dims)
-    w, b = dual_descent(docs, y, r)
-    return Model((w * r).astype(np.float32), float(b), a, b0, bits)
+        m = _fit_margins([docs[i] for i in here], y[here], bits, least)
+        own = [docs[i] for i in there]
+        margins[there] = m.margins(np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own), len(own))
+    m = _fit_margins(docs, y, bits, least)
+    m.a, m.b = platt(margins, y)
+    return m
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> Model:
