@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vesperflow.llm import decontaminate, packing, quality, secrets, simhash
+from vesperflow.llm import chat, decontaminate, packing, quality, secrets, simhash, tokens
 from vesperflow.session import table
 
 QUERIES: dict = {}
@@ -63,3 +63,34 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token shards of all documents, written and read back."""
+    import public_tokenizers
+
+    return tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], turns.schema)
+    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+
+
+_MARK = r"'(\\|<s>|</s>|\[INST\]|\[/INST\]|\[ROLE\]|\[TEXT\]|\[/TEXT\])'"
+ORACLE_SQL["op2_chat"] = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') x FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(replace(x, '\', '\\')) + 4 * len(regexp_extract_all(replace(x, '\', ''), {_MARK})) ex,
+             length(replace(r, '\', '\\')) + 4 * len(regexp_extract_all(replace(r, '\', ''), {_MARK})) er FROM t)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) turns_sha256,
+       CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) loss_sha256,
+       CAST(3 + sum(CASE WHEN r = 'user' THEN 13 + ex WHEN r = 'assistant' THEN 4 + ex ELSE 19 + er + ex END) AS BIGINT) formatted_chars
+FROM e GROUP BY conv_id
+"""
