@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vesperflow.llm import chat, decontaminate, packing, quality, secrets, simhash, tokens
+from vesperflow.llm import chat, decontaminate, lm_score, packing, quality, secrets, simhash, tokens, toxicity
 from vesperflow.session import table
 
 QUERIES: dict = {}
@@ -94,3 +94,17 @@ SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10)
        CAST(3 + sum(CASE WHEN r = 'user' THEN 13 + ex WHEN r = 'assistant' THEN 4 + ex ELSE 19 + er + ex END) AS BIGINT) formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of all documents; the target is the documents labelled as of good quality."""
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
