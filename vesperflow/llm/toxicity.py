@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,68 +174,84 @@ class Model:
 
 
 def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> Lexicon:
-    """Entries that texts with label 1 have far more often; counted by documents of (id, y, text)."""
+    """Entries that texts with label 1 have far more often than others, from rows (id, y, text).
 
-    def make():
+    A text with label 1 counts for an entry only as far as the entry's neighbours differ from text to text, so the
+    words of a passage with many copies do not pass for a lexicon.
+    """
+    na, nb = rows.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    if not na or not nb:
+        return Lexicon()
+
+    def spots():
         def f(b: pa.RecordBatch) -> dict:
-            w = Words(b.column(2))
-            y = np.array(b.column(1).to_pylist())
-            u = len(w.uniq)
-            seen = np.unique(w.rows * max(u, 1) + w.codes)
-            row, code = seen // max(u, 1), seen % max(u, 1)
+            w = Words(b.column(0))
             own = [entries(plain(x)) for x in w.uniq]
-            ids: dict[str, int] = {}
-            flat = np.array([ids.setdefault(e, len(ids)) for x in own for e in x], np.int64)
-            size = np.array([len(x) for x in own], np.int64)
-            start, k = np.cumsum(size) - size, size[code] if u else np.zeros(0, np.int64)
-            at = np.repeat(start[code] - (np.cumsum(k) - k), k) + np.arange(int(k.sum())) if u else np.zeros(0, np.int64)
-            both = np.unique(np.repeat(row, k) * max(len(ids), 1) + flat[at]) if u else np.zeros(0, np.int64)
-            r, e = both // max(len(ids), 1), both % max(len(ids), 1)
-            return {"e": list(ids), "a": np.bincount(e[y[r] == 1], minlength=len(ids)), "b": np.bincount(e[y[r] == 0], minlength=len(ids))}
+            h = np.array([xxhash.xxh32_intdigest(x) for x in w.uniq], np.int64)[w.codes] if w.uniq else np.zeros(0, np.int64)
+            around = np.concatenate([[0], h[:-1]])[: len(h)] * 31 + h * 7 + np.concatenate([h[1:], [0]])[: len(h)]
+            out: dict[str, list] = {"e": [], "text": [], "around": []}
+            rows = w.rows + (xxhash.xxh32_intdigest(str(b.column(0)[0])) << 20)
+            for c, r, k in zip(w.codes.tolist(), rows.tolist(), around.tolist(), strict=True):
+                for e in own[c]:
+                    out["e"].append(e)
+                    out["text"].append(r)
+                    out["around"].append(k)
+            return out
 
         return f
 
-    def run_schema():
-        return T.StructType([T.StructField("e", T.StringType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    def others():
+        def f(b: pa.RecordBatch) -> dict:
+            w = Words(b.column(0))
+            ids: dict[str, int] = {}
+            own = [[ids.setdefault(e, len(ids)) for e in entries(plain(x))] for x in w.uniq]
+            n = np.zeros(len(ids), np.int64)
+            for at, to in zip(w.first[:-1], w.first[1:], strict=True):
+                n[list({e for c in set(w.codes[at:to].tolist()) for e in own[c]})] += 1
+            return {"e": list(ids), "b": n}
 
-    na, nb = (rows.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first() or (0, 0))[:2]
-    if not na or not nb:
-        return Lexicon()
-    counts = map_batches(rows, make, run_schema()).groupBy("e").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3")
+        return f
+
+    e = T.StructField("e", T.StringType())
+    toxic = map_batches(rows.where("y = 1").select("text"), spots, T.StructType([e, T.StructField("text", T.LongType()), T.StructField("around", T.LongType())]))
+    toxic = toxic.groupBy("e").agg(F.least(F.count_distinct("text"), F.count_distinct("around")).alias("a")).where("a >= 3")
+    clean = map_batches(rows.where("y = 0").select("text"), others, T.StructType([e, T.StructField("b", T.LongType())])).groupBy("e").agg(F.sum("b").alias("b"))
+    both = toxic.join(clean, "e", "left").select("e", "a", F.coalesce("b", F.lit(0)).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (na + 1.0)) - F.log((F.col("b") + 0.5) / (nb + 1.0))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = counts.withColumn("z", z).where((odds > 1.5) & (F.col("z") > 2.2)).orderBy(F.desc("z"), "e").limit(limit).collect()
-    strong = frozenset(r.e for r in top if r.z > 3 and r.a >= 5 and r.b <= 0.02 * r.a)
-    return Lexicon(strong, frozenset(r.e for r in top) - strong)
+    top = both.withColumn("z", z).where((odds > 1.5) & (F.col("z") > 2.2)).orderBy(F.desc("a"), "e").limit(limit).collect()
+    strong = frozenset(r.e for r in top if r.z > 3 and r.a >= max(5, 0.01 * na) and r.b <= 0.02 * r.a)
+    return Lexicon(strong, frozenset(r.e for r in top if r.a >= max(4, 0.004 * na)) - strong)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE, parts: int = 5) -> Model:
     """Fit on at most `sample` labelled rows outside the held-out fold.
 
-    A fifth of them, by hash of the id, calibrates; the lexicon and the trees learn from the others. Without rows of
-    both labels every text scores the labelled share of label 1, smoothed.
+    The calibration's margins come from trees that have not seen the row: `parts` parts by hash of the id. With too
+    few rows of a label every text scores the labelled share of label 1, smoothed.
     """
-    rows = join_sample(docs, sample_labels(labels, label, FOLDS, HELD_OUT, sample), id_col, text_col)
-    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64(F.col("id"), F.lit("part")), F.lit(5)).cast("int")), "labelled")  # the bounded sample, read three times
-    lexicon = learn_lexicon(rows.where("part > 0").select("id", "y", "text"))
+    rows = materialize(join_sample(docs, sample_labels(labels, label, FOLDS, HELD_OUT, sample), id_col, text_col), "labelled")  # the bounded sample, read some times
+    lexicon = learn_lexicon(rows)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def make():
         def f(b: pa.RecordBatch) -> dict:
-            return {"id": b.column(0), "y": b.column(1), "part": b.column(3), "x": list(features(b.column(2), shared.value))}
+            return {"id": b.column(0), "y": b.column(1), "x": list(features(b.column(2), shared.value))}
 
         return f
 
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    found = map_batches(rows.select("id", "y", "text", "part"), make, schema).groupBy("id", "y", "part").agg(F.min("x").alias("x")).collect()
-    found.sort(key=lambda r: str(r.id))
-    x, y, part = np.array([r.x for r in found], np.float64).reshape(-1, len(FEATURES)), np.array([r.y for r in found], np.float64), np.array([r.part for r in found])
-    learn, check = part > 0, part == 0
-    if not len(y) or y[learn].min(initial=1) == y[learn].max(initial=0) or not y[check].any() or y[check].all():
-        p = (y.sum() + 1) / (len(y) + 2)
-        return Model(Lexicon(), Trees([np.zeros(0)] * len(FEATURES)), np.zeros(1), np.array([p]))
-    trees = boost(x[learn], y[learn])
-    return Model(lexicon, trees, *isotonic(trees.margins(x[check]), y[check]))
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    found = map_batches(rows, make, schema).groupBy("id", "y").agg(F.min("x").alias("x")).collect()
+    found.sort(key=lambda r: xxhash.xxh32_intdigest(str(r.id)))
+    x, y = np.array([r.x for r in found], np.float64).reshape(-1, len(FEATURES)), np.array([r.y for r in found], np.float64)
+    if min(y.sum(), len(y) - y.sum()) < 2 * parts:
+        return Model(Lexicon(), Trees([np.zeros(0)] * len(FEATURES)), np.zeros(1), np.array([(y.sum() + 1) / (len(y) + 2)]))
+    part, margins = np.zeros(len(y), np.int64), np.zeros(len(y))
+    for v in (y > 0, y == 0):
+        part[v] = np.arange(v.sum()) % parts
+    for k in range(parts):
+        margins[part == k] = boost(x[part != k], y[part != k]).margins(x[part == k])
+    return Model(lexicon, boost(x, y), *isotonic(margins, y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
