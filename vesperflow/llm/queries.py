@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vesperflow.llm import chat, decontaminate, lm_score, packing, quality, secrets, simhash, tokens, toxicity
+from vesperflow.llm import chat, decontaminate, lm_score, order_minhash, packing, quality, secrets, simhash, tokens, toxicity
 from vesperflow.session import table
 
 QUERIES: dict = {}
@@ -108,3 +108,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of all documents."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprints of all documents and of their edited texts."""
+    return order_minhash.edit_likeness(table(spark, sf_dir, "documents"))
