@@ -1,0 +1,64 @@
+import hashlib
+import random
+import re
+
+from conftest import ODD
+from vesperflow.llm import secrets as s
+
+KW = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+
+
+def brute(t):
+    out = []
+    for kind, p, ok in (
+        ("assign", rf"""({KW})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
+        ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+        ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 16),
+    ):
+        out += [(m.start(), m.end(), kind) for m in re.finditer(p, t or "") if ok(m)]
+    return sorted(out, key=lambda x: (x[0], ["assign", "access", "hex"].index(x[2])))
+
+
+def test_base_spans_match_brute_force():
+    rng = random.Random(4)
+    parts = ["password", "PassWD", "api_key", "apiKey", "secret", "token", "tokeN", "ſecret", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", '"', "'", ":", "=", " ", "  ", "é", "x", "abcdefghijkl", "\n", "/", "AKIAAKIA"]
+    for _ in range(3000):
+        t = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        assert s.order(s.base_spans(t)) == brute(t), t
+
+
+def test_lexer_pairs_and_constants():
+    text = """PREFIX = "k9Xq"
+db_password: str = PREFIX + "Zt73PwLm02"
+{"client_secret": "Hq2mV8sLw0Xc", "name": "plain words"}
+export AUTH_TOKEN=ab12CD34ef56GH
+colour = "Hq2mV8sLw0Xd"
+password = "changeme"
+private_key => 'Mz81-Qp20-Ty77'
+"""
+    got = {text[a:b] for a, b, _ in s.literal_spans(text)}
+    assert got == {"k9Xq", "Zt73PwLm02", "Hq2mV8sLw0Xc", "ab12CD34ef56GH", "Mz81-Qp20-Ty77"}
+    assert dict((n, v) for n, v, _ in s.pairs(text))["db_password"] == "k9XqZt73PwLm02"
+
+
+def test_prose_has_no_literals():
+    assert s.literal_spans("The secret: nobody knew. His password = friendship; a key: value pair, token: yes.") == []
+
+
+def test_redaction_leaves_no_secret():
+    t = 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b'
+    assert s.redact(t) == "a [REDACTED] b" or s.redact(t) == 'a [REDACTED]" b'
+    assert s.redact("clean text") == "clean text"
+
+
+def test_query_rows(odd, none):
+    got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in s.find_secrets(odd).collect()}
+    want = set()
+    for i, t, _ in ODD:
+        x = brute(t)
+        want.add((i, *(sum(k == y[2] for y in x) for k in ("assign", "access", "hex")), hashlib.sha256(s.join(x).encode()).hexdigest()))
+    assert got == want
+    assert s.find_secrets(odd).count() == len(ODD) and s.find_secrets(none).count() == 0
+    new = s.redact_secrets(odd)
+    assert new.columns == odd.columns and sum("[REDACTED]" in (r[1] or "") for r in new.collect()) == 1
+    assert all(r[4] == len(r[1] or "") for r in new.collect())

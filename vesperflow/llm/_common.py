@@ -34,6 +34,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Apply `run` to the Arrow batches of all columns, which it returns in the same order and with the same types.
+
+    Columns go under plain names meanwhile, as names that differ in case only would clash.
+    """
+    bound_arrow(docs.sparkSession)
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 class Words:
     """The white-space separated words (ASCII white space) of a batch of texts, dictionary coded.
 

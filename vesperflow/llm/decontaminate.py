@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vesperflow.llm._common import bound_arrow, map_batches
+from vesperflow.llm._common import map_batches, map_rows
 from vesperflow.session import pick
 
 WINDOW = 10
@@ -141,5 +141,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 keep &= [not tree.scan(t)[1].any() for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep))
 
-    bound_arrow(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

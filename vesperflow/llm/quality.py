@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vesperflow.llm._common import Words, bound_arrow, map_batches, sums
+from vesperflow.llm._common import Words, map_batches, map_rows, sums
 from vesperflow.llm.labelled import fold, join_sample, platt, sample_labels
 from vesperflow.session import pick
 
@@ -199,11 +199,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns as they are, that the model does not reject."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-    bound_arrow(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(shared.value.score(b.column(at)) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

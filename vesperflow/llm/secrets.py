@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vesperflow.llm._common import bound_arrow, map_batches
+from vesperflow.llm._common import map_batches, map_rows
 from vesperflow.session import pick
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -171,7 +171,6 @@ def redact(text: str, mark: str = "[REDACTED]") -> str:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """`docs`, all columns as they are, with secrets in the text replaced and the length column, if there, renewed."""
-    bound_arrow(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
     size = names.index(length_col) if length_col in names else None
@@ -187,4 +186,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                 cols[size] = pa.array([o if n == t else len(n) for o, t, n in zip(old, texts, new, strict=True)], b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

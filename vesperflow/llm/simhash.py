@@ -256,6 +256,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows with a null id cannot be told apart and stay, as do repeated rows of the kept id.
     """
+    rows = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))  # names that differ in case only would clash
+    own = f"_c{docs.columns.index(id_col)}"
     first = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    ids = F.col(f"`{id_col}`")
-    return docs.join(first, ids == F.col("_kept"), "left_semi").unionByName(docs.where(ids.isNull()))
+    kept = rows.join(first, F.col(own) == F.col("_kept"), "left_semi").unionByName(rows.where(F.col(own).isNull()))
+    return kept.toDF(*docs.columns)
