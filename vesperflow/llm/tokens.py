@@ -55,7 +55,7 @@ def unpack_bits(data: bytes | memoryview, bits: int, n: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     out = np.zeros((n, 4), np.uint8)
     if bits % 8 == 0:
-        out[:, : bits // 8] = raw[: n * bits // 8].reshape(n, -1)
+        out[:, : bits // 8] = raw[: n * bits // 8].reshape(n, bits // 8)
     else:
         own = np.unpackbits(raw, count=n * bits, bitorder="little").reshape(n, bits)
         packed = np.packbits(own, axis=1, bitorder="little")
