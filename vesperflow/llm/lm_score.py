@@ -128,7 +128,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     """
     words = top_words(docs, text_col, vocabulary)
     ids = target_ids.toDF("_id").where("_id IS NOT NULL").distinct().withColumn("_target", F.lit(True))
-    rows = pick(docs, [id_col, text_col]).toDF("_id", "_text").join(ids, "_id", "left")
+    # sort-merge at every size: the ids are as unbounded as the documents, and skewed keys can be split
+    rows = pick(docs, [id_col, text_col]).toDF("_id", "_text").join(ids.hint("merge"), "_id", "left")
     got = count_bigrams(rows, words, "_text", "_target", vocabulary).toPandas()
     counts = np.zeros((2, vocabulary * vocabulary))
     counts[0][got["code"]], counts[1][got["code"]] = got["target"], got["background"]
