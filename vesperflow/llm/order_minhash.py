@@ -103,13 +103,14 @@ def _runs(docs: DataFrame) -> Column:
         return F.lit(0).cast("long")
     edges = sorted({low, *cuts})  # a fixed number of ids, whatever the corpus
     parts = max(1, math.ceil(n / RUN / max(1, len(edges) - 1)))
-    at = F.lit(0)
-    for e in edges[1:-1]:
-        at = at + (F.col("id") >= F.lit(e)).cast("int")
-    bounds = F.array(*(F.lit(e).cast("double") for e in edges), F.lit(edges[-1] + 1).cast("double"))
-    a, b = F.get(bounds, at), F.get(bounds, at + 1)
-    inside = F.least(F.floor((F.col("id") - a) / F.greatest(b - a, F.lit(1.0)) * parts), F.lit(parts - 1))
-    return at.cast("long") * parts + inside.cast("long")
+    inner, bounds = F.array(*map(F.lit, edges[1:-1])).cast("array<bigint>"), F.array(*(F.lit(float(e)) for e in [*edges, edges[-1] + 1]))
+
+    def run(at: Column) -> Column:
+        a, b = F.get(bounds, at), F.get(bounds, at + 1)
+        inside = F.floor((F.col("id") - a) / F.greatest(b - a, F.lit(1.0)) * parts)
+        return at.cast("long") * parts + F.least(inside, F.lit(parts - 1)).cast("long")
+
+    return let(F.size(F.filter(inner, lambda e: e <= F.col("id"))), run)
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
