@@ -12,6 +12,8 @@ rest. Documents are dealt to shards by range of their id; file names sort like t
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,7 +37,8 @@ END_ID = 1
 SHARD_IDS = 1 << 26
 _FOOT = struct.Struct("<QQQQ8s")
 #: Distinct words whose ids a worker keeps; a cache only, what is not in it is encoded again.
-CACHE = 1 << 18
+CACHE = 3 << 17
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -143,34 +146,47 @@ class Reader:
 class WordEncoder:
     """Ids of texts, as the tokenizer gives for each whole text.
 
-    For tokenizers that drop white space and never join across it, a text's ids are those of its white-space separated
-    words one after another, so each distinct word is encoded once. New words go to the library many at a time, parted
-    by a special token. Other tokenizers encode whole texts.
+    For tokenizers that drop white space, lower letters and mark word ends, a text's ids are those of its white-space
+    separated words one after another, and those of a word of plain letters and a tail of ASCII punctuation are the
+    letters' and then the tail's. Each distinct part is encoded once, plain letters many at a time in one string that
+    is cut after the ids of word ends; other words go to the library one by one. With by_word off, whole texts do.
     """
 
-    def __init__(self, vocabulary: bytes, by_word: bool = True, parting: str | None = "<|endoftext|>"):
+    def __init__(self, vocabulary: bytes, by_word: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads; more would take memory
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_buffer(vocabulary)
         self.by_word = by_word
-        self.parting = parting if parting and self.tok.token_to_id(parting) is not None else None
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        if self.parting is None:
-            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        mark, out = self.tok.token_to_id(self.parting), [None] * len(words)
-        odd = [i for i, w in enumerate(words) if "<|" in w]  # may hold a special token itself
-        for i in odd:
-            out[i] = np.array(self.tok.encode(words[i], add_special_tokens=False).ids, np.uint32)
-        rest = [i for i in range(len(words)) if out[i] is None]
-        for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            ids = np.array(self.tok.encode_batch_fast([self.parting.join(words[i] for i in part)], add_special_tokens=False)[0].ids, np.uint32)
-            pieces = np.split(ids, np.flatnonzero(ids == mark))
-            for i, p in zip(part, pieces, strict=True):
-                out[i] = p[1:] if len(p) and p[0] == mark else p
-        return out
+        ends = {i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t.endswith("</w>")}
+        self.ends = np.zeros(max(ends, default=0) + 1, bool)
+        self.ends[list(ends)] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, plain: list[str], other: list[str]) -> None:
+        """Encode parts that are not known yet; the ids of all known ones lie end to end in `flat`."""
+        found: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)] & (ids < len(self.ends)))
+            if len(cut) != len(part) or cut[-1] != len(ids) - 1:  # a vocabulary without word ends
+                other = part + other
+                continue
+            for w in part:
+                self.known[w] = len(self.known)
+            found.append(ids)
+            sizes.append(np.diff(cut, prepend=-1))
+        for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[w] = len(self.known)
+            found.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)]))
+        self.flat, self.size = np.concatenate([self.flat, *found]), np.concatenate([self.size, *sizes])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text); null counts as empty."""
@@ -178,18 +194,49 @@ class WordEncoder:
             lists = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.concatenate([*lists, np.zeros(0, np.uint32)]), np.array([len(x) for x in lists], np.int64)
         w = Words(texts)
-        new = [x for x in w.uniq if x not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = w.uniq
-        self.known.update(zip(new, self._encode(new), strict=True))
-        own = [self.known[x] for x in w.uniq]
-        size = np.array([len(x) for x in own], np.int64)
-        flat = np.concatenate([*own, np.zeros(0, np.uint32)])
-        start, k = np.cumsum(size) - size, size[w.codes]
-        ends = np.cumsum(k)
-        ids = flat[np.repeat(start[w.codes] - (ends - k), k) + np.arange(int(k.sum()))]
-        return ids, np.diff(np.concatenate([[0], ends])[w.first])
+        if len(self.known) > CACHE:
+            self.clear()
+        known, plain, other, heads, tails = self.known, {}, {}, [], []
+        for x in w.uniq:
+            m = _PLAIN.fullmatch(x.lower())
+            if m:
+                head, tail = m.groups()
+                if head not in known:
+                    plain[head] = None
+                if tail not in known:
+                    other[tail] = None
+            else:
+                head, tail = x, ""
+                if x not in known:
+                    other[x] = None
+            heads.append(head)
+            tails.append(tail)
+        self._learn(list(plain), list(other))
+        which = np.stack([np.fromiter(map(known.__getitem__, p), np.int64, len(p)) for p in (heads, tails)], 1)
+        size = self.size[which]
+        own = _spans((np.cumsum(self.size) - self.size)[which].ravel(), size.ravel())  # each distinct word's ids, end to end
+        size = size.sum(1)
+        k = size[w.codes]
+        ids = self.flat[own[_spans((np.cumsum(size) - size)[w.codes], k)]]
+        return ids, np.diff(np.concatenate([[0], np.cumsum(k)])[w.first])
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. for each size, end to end."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+_ENCODERS: dict[tuple, WordEncoder] = {}
+
+
+def _encoder(vocabulary: bytes, by_word: bool) -> WordEncoder:
+    """A worker's encoder, kept from task to task with what it knows."""
+    key = (zlib.crc32(vocabulary), len(vocabulary), by_word)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(vocabulary, by_word)
+    return _ENCODERS[key]
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, by_word: bool = True, shard_ids: int = SHARD_IDS) -> list[tuple]:
@@ -205,7 +252,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     bound_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(shared.value, by_word)
+        enc = _encoder(shared.value, by_word)
         store, root = fs.FileSystem.from_uri(base)
         store.create_dir(root, recursive=True)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
