@@ -14,6 +14,11 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value in the expression once, however often body uses it: nested steps do not multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pmod(a, b) -> Column:
     """The remainder in [0, |b|) whatever the signs."""
     return F.pmod(col(a), F.abs(col(b)))

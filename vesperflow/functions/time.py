@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vesperflow.functions.angles import wrap_positive
-from vesperflow.functions.mathx import TAU, col, horner
+from vesperflow.functions.mathx import TAU, col, horner, let
 
 TT_MINUS_TAI = 32.184
 #: MJD from which TAI - UTC is so many seconds.
@@ -40,9 +40,8 @@ DELTA_T = (
 
 def time(day, fraction) -> Column:
     """A normalised time: the fraction in [-0.5, 0.5), the rest in the day."""
-    d, f = col(day).cast("double"), col(fraction).cast("double")
-    carry = F.floor(f + 0.5)
-    return F.struct((d + carry).alias("day"), (f - carry).alias("fraction"))
+    raw = F.struct(col(day).cast("double").alias("day"), col(fraction).cast("double").alias("fraction"))
+    return let(raw, lambda t: F.struct((t["day"] + F.floor(t["fraction"] + 0.5)).alias("day"), (t["fraction"] - F.floor(t["fraction"] + 0.5)).alias("fraction")))
 
 
 def from_mjd(mjd) -> Column:
@@ -60,7 +59,8 @@ def from_timestamp(ts) -> Column:
 
 
 def shift(t: Column, days) -> Column:
-    return time(t["day"], t["fraction"] + col(days))
+    """The time moved by days: a number, a column, or a function of the time."""
+    return let(t, lambda u: time(u["day"], u["fraction"] + (days(u) if callable(days) and not isinstance(days, Column) else col(days))))
 
 
 def difference(a: Column, b: Column) -> Column:
@@ -73,42 +73,43 @@ def mjd(t: Column) -> Column:
 
 
 def tai_minus_utc(m) -> Column:
-    """Seconds, from 1972; before, the first value."""
-    out = F.lit(LEAP_SECONDS[0][1])
-    for start, s in LEAP_SECONDS[1:]:
-        out = F.when(col(m) >= start, F.lit(s)).otherwise(out)
-    return out.cast("double")
+    """Seconds, from 1972; before, the first value. The table rises by one second an entry, so entries are counted."""
+    starts, first = F.array(*(F.lit(float(d)) for d, _ in LEAP_SECONDS)), LEAP_SECONDS[0][1]
+    return let(col(m), lambda x: F.greatest(F.lit(first), F.size(F.filter(starts, lambda s: s <= x)) + (first - 1)).cast("double"))
 
 
 def utc_to_tai(t: Column) -> Column:
-    return shift(t, tai_minus_utc(mjd(t)) / 86400)
+    return shift(t, lambda u: tai_minus_utc(mjd(u)) / 86400)
 
 
 def tai_to_utc(t: Column) -> Column:
-    guess = mjd(t) - tai_minus_utc(mjd(t)) / 86400
-    return shift(t, -tai_minus_utc(guess) / 86400)
+    return shift(t, lambda u: -tai_minus_utc(mjd(u) - tai_minus_utc(mjd(u)) / 86400) / 86400)
 
 
 def tai_to_tt(t: Column) -> Column:
-    return shift(t, F.lit(TT_MINUS_TAI / 86400))
+    return shift(t, TT_MINUS_TAI / 86400)
 
 
 def tt_to_tai(t: Column) -> Column:
-    return shift(t, F.lit(-TT_MINUS_TAI / 86400))
+    return shift(t, -TT_MINUS_TAI / 86400)
 
 
 def tt_to_tdb(t: Column) -> Column:
     """By the main periodic terms, good to about 50 microseconds."""
-    g = (mjd(t) - 51544.5) * (0.98560028 * math.pi / 180) + 357.53 * math.pi / 180
-    return shift(t, (F.sin(g) * 0.001657 + F.sin(g * 2) * 0.000022) / 86400)
+
+    def terms(u: Column) -> Column:
+        g = (mjd(u) - 51544.5) * (0.98560028 * math.pi / 180) + 357.53 * math.pi / 180
+        return (F.sin(g) * 0.001657 + F.sin(g * 2) * 0.000022) / 86400
+
+    return shift(t, terms)
 
 
 def tt_to_tcg(t: Column) -> Column:
-    return shift(t, (mjd(t) - 43144.0003725) * (6.969290134e-10 / (1 - 6.969290134e-10)))
+    return shift(t, lambda u: (mjd(u) - 43144.0003725) * (6.969290134e-10 / (1 - 6.969290134e-10)))
 
 
 def tdb_to_tcb(t: Column) -> Column:
-    return shift(t, (mjd(t) - 43144.0003725) * (1.550519768e-8 / (1 - 1.550519768e-8)) + 6.55e-5 / 86400)
+    return shift(t, lambda u: (mjd(u) - 43144.0003725) * (1.550519768e-8 / (1 - 1.550519768e-8)) + 6.55e-5 / 86400)
 
 
 def delta_t(year) -> Column:
