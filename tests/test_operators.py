@@ -47,7 +47,7 @@ def test_orbit_determination(spark):
     r5, w5 = orbits.propagate(np.repeat(p, 3, 0), np.repeat(v, 3, 0), close)
     observers = np.stack([np.cos(close * 0.0172), np.sin(close * 0.0172), 0 * close], 1)
     d = r5 - observers
-    got, speed = orbits.gauss(d / np.linalg.norm(d, axis=1)[:, None], observers, close)
+    got, speed = orbits.gauss(d / np.linalg.norm(d, axis=1)[:, None], observers, close, near=1.2)
     assert np.linalg.norm(got - r5[1]) < 0.02 and np.linalg.norm(speed - w5[1]) < 1e-3
     df = spark.createDataFrame([("a", float(k), *map(float, x)) for k, x in zip(t, r, strict=True)], "obj string, t double, x double, y double, z double")
     s = orbits.determine(df, "obj").first()

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +24,11 @@ def asof(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str
     with a day) where one key may be hot and carry the boundary with `asof_bucketed`.
     """
     v = F.struct(*(F.col(c) for c in values))
-    a = left.select(F.struct(*left.columns).alias("_l"), F.col(by).alias("_k"), F.col(time).alias("_t"), F.lit(None).cast(right.select(v.alias("v")).schema["v"].dataType).alias("_v"), F.lit(1 if direction == "backward" else -1).alias("_o"))
+    a = left.select(F.struct(*left.columns).alias("_l"), F.col(by).alias("_k"), F.col(time).alias("_t"), F.lit(None).cast(right.select(v.alias("v")).schema["v"].dataType).alias("_v"), F.lit(1).alias("_o"))
     b = right.select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.col(by).alias("_k"), F.col(time).alias("_t"), v.alias("_v"), F.lit(0).alias("_o"))
-    w = Window.partitionBy("_k")
-    if direction == "backward":
-        found = F.last("_v", ignorenulls=True).over(w.orderBy("_t", "_o", F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("_v", ignorenulls=True).over(w.orderBy("_t", "_o", F.col("_v").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing))
+    # a running frame both ways: looking forward is looking back in falling time
+    order = ["_t", "_o", F.col("_v").asc_nulls_last()] if direction == "backward" else [F.desc("_t"), "_o", F.col("_v").desc_nulls_last()]
+    found = F.last("_v", ignorenulls=True).over(Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     both = a.unionByName(b).withColumn("_f", found).where(F.col("_l").isNotNull())
     return both.select("_l.*", *(F.col(f"_f.{c}").alias(c) for c in values))
 
@@ -129,14 +129,32 @@ def sky_join(left: DataFrame, right: DataFrame, radius: float, ra: str = "ra", d
 def nearest(left: DataFrame, right: DataFrame, k: int, frame: str, xy: tuple[str, str] = ("x", "y"), key: str = "idx") -> DataFrame:
     """For each left row the k nearest right rows of its frame by squared distance, ties by key: (frame, key, r_key, d2, rank).
 
-    Frames are images of some hundred stars, and a frame's pairs are made by one task, never between frames.
+    A row is not its own neighbour (equal keys). Frames are images of some hundred stars; both sides of a frame meet
+    in one task, in blocks of rows, and only the k nearest leave it.
     """
     x, y = xy
-    r = right.select(F.col(frame), F.col(key).alias(f"r_{key}"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    pairs = left.select(frame, key, x, y).join(r, frame).where(F.col(key) != F.col(f"r_{key}"))
-    pairs = pairs.withColumn("d2", F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
-    w = Window.partitionBy(frame, key).orderBy("d2", f"r_{key}")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(frame, key, f"r_{key}", "d2", "rank")
+    kinds = {c: left.schema[c].dataType.simpleString() for c in (frame, key)}
+
+    def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("_k", kind="stable")
+        bk, bx, by = b["_k"].to_numpy(), b["_x"].to_numpy(float), b["_y"].to_numpy(float)
+        parts = []
+        for at in range(0, len(a), 1024):
+            p = a.iloc[at : at + 1024]
+            pk = p[key].to_numpy()
+            d2 = (p[x].to_numpy(float)[:, None] - bx) ** 2 + (p[y].to_numpy(float)[:, None] - by) ** 2
+            d2[pk[:, None] == bk] = np.inf
+            n = min(k, len(bk))
+            near = np.argsort(d2, axis=1, kind="stable")[:, :n]  # stable over rising keys: ties by key
+            dist = np.take_along_axis(d2, near, 1)
+            ok = np.isfinite(dist)
+            row, rank = np.nonzero(ok)
+            parts.append(pd.DataFrame({frame: p[frame].to_numpy()[row], key: pk[row], f"r_{key}": bk[near[row, rank]], "d2": dist[row, rank], "rank": (rank + 1).astype(np.int32)}))
+        return pd.concat(parts) if parts else pd.DataFrame({frame: [], key: [], f"r_{key}": [], "d2": [], "rank": []})
+
+    other = right.select(*(F.col(c).alias(n) for c, n in ((frame, "_f"), (key, "_k"), (x, "_x"), (y, "_y"))))  # own names, also when both sides are one table
+    both = left.select(frame, key, x, y).groupBy(frame).cogroup(other.groupBy("_f"))
+    return both.applyInPandas(find, f"{frame} {kinds[frame]}, {key} {kinds[key]}, r_{key} {kinds[key]}, d2 double, rank int")
 
 
 def descriptor_votes(current: DataFrame, reference: DataFrame, dims: list[str], tolerance: float, k: int = 3, key: str = "id", frame: str | None = None) -> DataFrame:

@@ -235,8 +235,12 @@ def herrick_gibbs(r1: np.ndarray, r2: np.ndarray, r3: np.ndarray, t1: float, t2:
     return -d32 * (1 / (d21 * d31) + mu / (12 * a)) * r1 + (d32 - d21) * (1 / (d21 * d32) + mu / (12 * b)) * r2 + d21 * (1 / (d32 * d31) + mu / (12 * c)) * r3
 
 
-def gauss(directions: np.ndarray, observers: np.ndarray, times: np.ndarray, mu: float = SUN) -> tuple[np.ndarray, np.ndarray]:
-    """(position, velocity) at the second of three observed directions (n x 3 unit vectors) from observer positions."""
+def gauss(directions: np.ndarray, observers: np.ndarray, times: np.ndarray, mu: float = SUN, near: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(position, velocity) at the second of three observed directions (n x 3 unit vectors) from observer positions.
+
+    A short arc may allow several distances: the one closest to `near` is taken, or the one that sees the outer
+    directions best.
+    """
     t1, t3 = times[0] - times[1], times[2] - times[1]
     t = t3 - t1
     p = np.array([np.cross(directions[1], directions[2]), np.cross(directions[0], directions[2]), np.cross(directions[0], directions[1])])
@@ -260,6 +264,7 @@ def gauss(directions: np.ndarray, observers: np.ndarray, times: np.ndarray, mu:
         v = (-f3 * r[0] + f1 * r[2]) / (f1 * g3 - f3 * g1)
         seen = propagate(np.repeat(r[1:2], 2, 0), np.repeat(v[None], 2, 0), np.array([t1, t3]), mu)[0] - observers[[0, 2]]
         error = sum(float(np.linalg.norm(np.cross(s / np.linalg.norm(s), w))) for s, w in zip(seen, directions[[0, 2]], strict=True)) + (10.0 if (rho <= 0).any() else 0.0)
+        error = error if near is None else abs(float(np.linalg.norm(r[1])) - near)
         if error < best[0]:
             best = (error, (r[1], v))
     if best[1] is None:
