@@ -51,10 +51,10 @@ def segment_priority_join(spark, sf_dir):
     return joins.range_join(o, s, "x", "lo", "hi", 10000.0, "prio").select("id", "seg")
 
 
-@query(f"""WITH {STARS}, d AS (SELECT a.frame, a.idx, b.idx r_idx, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) d2 FROM stars a JOIN stars b ON a.frame = b.frame AND a.idx <> b.idx)
+@query(f"""WITH {STARS}, u AS (SELECT DISTINCT frame, idx, x, y FROM stars), d AS (SELECT a.frame, a.idx, b.idx r_idx, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) d2 FROM u a JOIN u b ON a.frame = b.frame AND a.idx <> b.idx)
 SELECT frame, idx, r_idx, round(d2, 4) d2, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY frame, idx ORDER BY d2, r_idx) rank FROM d) WHERE rank <= 3""")
 def knn_planar(spark, sf_dir):
-    s = stars(spark, sf_dir)
+    s = stars(spark, sf_dir).select("frame", "idx", "x", "y").distinct()
     return joins.nearest(s, s, 3, "frame").select("frame", "idx", "r_idx", r("d2", 4).alias("d2"), "rank")
 
 
