@@ -34,45 +34,53 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
+_UPPER, _DIGIT, _REPEAT, _THRICE = map(_hash, ("upper", "digit", "repeat", "thrice"))
+
+
 def _word_features(word: str) -> tuple[int, list[int]]:
-    """The word's own hash, and the hashes of its one-word features."""
+    """The hash of the word itself, and those of its other features: punctuation around it, letter case, digits."""
+    if word.isalpha():
+        if word.islower():
+            return _hash("w:" + word), []
+        return _hash("w:" + word.lower()), [_UPPER] if len(word) > 1 and word.isupper() else []
     lead, core, trail = _SPLIT.fullmatch(word).groups()
-    own = _hash("w:" + (core.lower() or lead))
-    out = [own]
-    out += [_hash("p:" + p) for p in {lead, trail} if p and core]
+    out = [_hash("p:" + p) for p in {lead, trail} if p and core]
     if len(core) > 1 and core.isupper():
-        out.append(_hash("upper"))
-    if any(c.isdigit() for c in core):
-        out.append(_hash("digit"))
-    return own, out
+        out.append(_UPPER)
+    if not core.isalpha() and any(map(str.isdigit, core)):
+        out.append(_DIGIT)
+    return _hash("w:" + (core.lower() or lead)), out
 
 
 def indicators(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature), sorted and distinct: which hashed n-grams each text has."""
     w = Words(texts)
     n = len(texts)
+    assert n < 1 << (62 - bits)
     if not len(w.codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own, lists = zip(*map(_word_features, w.uniq), strict=True)
-    own = np.array(own, np.uint64)
-    flat, size = np.array([x for f in lists for x in f], np.uint64), np.array([len(f) for f in lists])
-    start = np.cumsum(size) - size
-    rows, u = w.rows, len(w.uniq)
-    seen = np.unique(rows * u + w.codes)
-    row, code = seen // u, seen % u
-    k = size[code]
-    at = np.repeat(start[code] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-    h = own[w.codes]
+    own, more = np.empty(len(w.uniq), np.uint64), {}
+    for i, x in enumerate(w.uniq):
+        own[i], rest = _word_features(x)
+        if rest:
+            more[i] = rest
+    rows, h = w.rows, own[w.codes]
     next_ = rows[1:] == rows[:-1]
     pair = (h[:-1] * _MIX) ^ (h[1:] >> np.uint64(1))
     same = (h[:-1] == h[1:]) & next_
-    pair[same] = _hash("repeat")
+    pair[same] = _REPEAT
     thrice = np.flatnonzero(same[1:] & same[:-1])
-    all_rows = np.concatenate([np.repeat(row, k), rows[1:][next_], rows[thrice]])
-    all_ = np.concatenate([flat[at], pair[next_], np.full(len(thrice), _hash("thrice"), np.uint64)])
-    all_ = (all_ * _MIX) >> np.uint64(64 - bits)
-    both = np.unique((all_rows.astype(np.int64) << bits) | all_.astype(np.int64))
-    assert n < 1 << (62 - bits)
+    # other features of words that have some: word by word of the batch, few of them
+    size = np.zeros(len(w.uniq), np.int64)
+    size[list(more)] = [len(f) for f in more.values()]
+    flat, start = np.array([x for f in more.values() for x in f], np.uint64), np.cumsum(size) - size
+    spots = np.flatnonzero(size[w.codes])
+    k = size[w.codes[spots]]
+    at = np.repeat(start[w.codes[spots]] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+    all_rows = np.concatenate([rows, rows[1:][next_], rows[thrice], np.repeat(rows[spots], k)])
+    all_ = np.concatenate([h, pair[next_], np.full(len(thrice), _THRICE, np.uint64), flat[at]])
+    both = np.sort((all_rows << bits) | ((all_ * _MIX) >> np.uint64(64 - bits)).astype(np.int64))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     return both >> bits, both & ((1 << bits) - 1)
 
 
