@@ -148,3 +148,23 @@ def test_checksums_and_codecs(spark):
     assert {n: df.select(b.crc_column(F.col("b"), n).alias("c")).first().c for n in want} == want
     r = df.select(b.inflate(b.deflate("b")).alias("x")).first()
     assert bytes(r.x) == check and b.inflate.func is not None and zlib.crc32(check) == want["CRC-32"]
+
+
+def test_xisf_round_trip(spark, tmp_path):
+    planes = np.arange(24, dtype=float).reshape(3, 2, 4)
+    for k, (sample, compress, shuffle) in enumerate([("Float32", False, False), ("UInt16", True, False), ("Float64", True, True)]):
+        p = put(tmp_path, f"{k}.xisf", b.encode_xisf(planes, sample, compress, shuffle, {"OBJECT": "M42"}))
+        r = b.read_xisf(spark, p).first()
+        assert (r.width, r.height, r.channels) == (4, 2, 3) and np.array_equal(np.array(r.pixels).reshape(2, 4, 3).transpose(2, 0, 1), planes) and r.header == {"OBJECT": "M42"}
+
+
+def test_rice_round_trip():
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 4):
+        top = 1 << (size * 8 - (size > 1))
+        low = -top if size > 1 else 0
+        for v in (np.zeros(40, int), np.arange(100) % (256 if size == 1 else 1000), rng.integers(low, top, 77), rng.normal(100, 3, 500).astype(int), np.array([5])):
+            assert (b.rice_decode(b.rice_encode(v, size), len(v), size) == v).all()
+    v = rng.normal(1000, 4, 4000).astype(int)
+    assert len(b.rice_encode(v, 2)) < 4000  # below half of the plain size
+    assert len(b.rice_decode(b"", 0)) == 0

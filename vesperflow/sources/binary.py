@@ -304,3 +304,123 @@ def image_kind(content):
     c = content if not isinstance(content, str) else F.col(content)
     head = F.hex(F.substring(c, 1, 8))
     return F.when(head.startswith(b"SIMPLE".hex().upper()), "fits").when(head.startswith(b"XISF0100".hex().upper()), "xisf").when(head.startswith("FFD8FF"), "jpeg")
+
+
+# ---- XISF -----------------------------------------------------------------------------------------------------------
+
+_SAMPLES = {"UInt8": "u1", "UInt16": "<u2", "UInt32": "<u4", "UInt64": "<u8", "Float32": "<f4", "Float64": "<f8"}
+
+
+def _expand(data: bytes, compression: str | None) -> bytes:
+    """A block's bytes: codec:size[:item] with `+sh` for bytes dealt by their place in the item."""
+    if not compression:
+        return data
+    codec, size, *item = compression.split(":")
+    if codec.startswith("zlib"):
+        data = zlib.decompress(data)
+    elif codec.startswith("zstd"):
+        import zstandard
+
+        data = zstandard.ZstdDecompressor().decompress(data, max_output_size=int(size))
+    else:
+        raise ValueError(f"codec {codec} is not supported")
+    if codec.endswith("+sh"):
+        n = int(item[0])
+        data = np.frombuffer(data, np.uint8).reshape(n, -1).T.tobytes()
+    return data
+
+
+def decode_xisf(path: str, content: bytes) -> pd.DataFrame:
+    import xml.etree.ElementTree as ET
+
+    if content[:8] != b"XISF0100":
+        raise ValueError("not an XISF file")
+    root = ET.fromstring(content[16 : 16 + struct.unpack_from("<I", content, 8)[0]].rstrip(b"\0"))
+    rows = []
+    for k, e in enumerate(x for x in root.iter() if x.tag.rpartition("}")[2] == "Image"):
+        w, h, c = (int(v) for v in e.get("geometry").split(":"))
+        _, at, size = e.get("location").split(":")
+        a = np.frombuffer(_expand(content[int(at) : int(at) + int(size)], e.get("compression")), _SAMPLES[e.get("sampleFormat")]).astype(float)
+        a = a.reshape(h, w, c) if e.get("pixelStorage", "Planar") == "Normal" else a.reshape(c, h, w).transpose(1, 2, 0)
+        header = {x.get("name"): x.get("value").strip("' ") for x in e if x.tag.rpartition("}")[2] == "FITSKeyword"}
+        rows.append((path, k, w, h, c, header, a.ravel().tolist()))
+    return pd.DataFrame(rows, columns=["path", "hdu", "width", "height", "channels", "header", "pixels"])
+
+
+def read_xisf(spark: SparkSession, path: str) -> DataFrame:
+    """The same columns as `read_fits`; zlib and zstd blocks, byte-shuffled or not."""
+    return _decode(files(spark, path), decode_xisf, "path string, hdu int, width int, height int, channels int, header map<string,string>, pixels array<double>", 1)
+
+
+def encode_xisf(planes: np.ndarray, sample: str = "Float32", compress: bool = False, shuffle: bool = False, header: dict | None = None) -> bytes:
+    """An XISF file of one planar image (channel, y, x)."""
+    c, h, w = planes.shape
+    kind = np.dtype(_SAMPLES[sample])
+    data = (np.rint(planes) if kind.kind == "u" else planes).astype(kind).tobytes()
+    raw, packing = data, ""
+    if compress:
+        if shuffle:
+            data = np.frombuffer(data, np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+        data = zlib.compress(data)
+        packing = f' compression="zlib{"+sh" if shuffle else ""}:{len(raw)}{f":{kind.itemsize}" if shuffle else ""}"'
+    keys = "".join(f'<FITSKeyword name="{k}" value="{v}" comment=""/>' for k, v in (header or {}).items())
+    at = 4096
+    xml = f'<?xml version="1.0" encoding="UTF-8"?><xisf version="1.0"><Image geometry="{w}:{h}:{c}" sampleFormat="{sample}" colorSpace="{"RGB" if c == 3 else "Gray"}" location="attachment:{at}:{len(data)}"{packing}>{keys}</Image></xisf>'.encode()
+    if len(xml) > at - 16:
+        raise ValueError("the header is too long")
+    return b"XISF0100" + struct.pack("<II", len(xml), 0) + xml.ljust(at - 16, b"\0") + data
+
+
+# ---- Rice coding of integers ----------------------------------------------------------------------------------------
+
+_RICE = {1: (3, 6), 2: (4, 14), 4: (5, 25)}  # item bytes: bits of a block's parameter, and its largest value
+
+
+def rice_encode(values: np.ndarray, size: int = 2, block: int = 32) -> bytes:
+    """Rice code of differences: the first value plain, then blocks with the bits that each splits off (White and Becker)."""
+    head, most = _RICE[size]
+    bits, mask = size * 8, (1 << size * 8) - 1
+    v = np.asarray(values, np.int64)
+    if not len(v):
+        return b""
+    d = np.diff(v, prepend=v[0])
+    d = ((d + (1 << (bits - 1))) & mask) - (1 << (bits - 1))
+    folded = np.where(d < 0, -2 * d - 1, 2 * d)
+    out = [f"{int(v[0]) & mask:0{bits}b}"]
+    for at in range(0, len(v), block):
+        p = folded[at : at + block].tolist()
+        fs = max(0, min(most, int(sum(p) / len(p) / 2 + 0.5).bit_length() - (0 if sum(p) else 1)))
+        if not any(p):
+            out.append("0" * head)
+        elif fs >= most:
+            out.append(f"{most + 1:0{head}b}" + "".join(f"{x:0{bits}b}" for x in p))
+        else:
+            out.append(f"{fs + 1:0{head}b}" + "".join("0" * (x >> fs) + "1" + (f"{x & ((1 << fs) - 1):0{fs}b}" if fs else "") for x in p))
+    s = "".join(out)
+    return int(s + "0" * (-len(s) % 8), 2).to_bytes((len(s) + 7) // 8, "big")
+
+
+def rice_decode(data: bytes, n: int, size: int = 2, block: int = 32) -> np.ndarray:
+    head, most = _RICE[size]
+    bits, mask = size * 8, (1 << size * 8) - 1
+    if not n:
+        return np.zeros(0, np.int64)
+    s, at = f"{int.from_bytes(data, 'big'):0{len(data) * 8}b}", bits
+    last, out = int(s[:bits], 2), []
+    while len(out) < n:
+        fs = int(s[at : at + head], 2) - 1
+        at += head
+        for _ in range(min(block, n - len(out))):
+            if fs < 0:
+                x = 0
+            elif fs == most:
+                x = int(s[at : at + bits], 2)
+                at += bits
+            else:
+                one = s.index("1", at)
+                x = (one - at) << fs | (int(s[one + 1 : one + 1 + fs], 2) if fs else 0)
+                at = one + 1 + fs
+            last = (last + (~(x >> 1) if x & 1 else x >> 1)) & mask
+            out.append(last)
+    a = np.array(out, np.int64)
+    return a if size == 1 else np.where(a >= 1 << (bits - 1), a - (1 << bits), a)
