@@ -162,3 +162,19 @@ def test_guiding_state_goes_on_across_batches(spark, tmp_path):
     for _ in range(9):
         out = 0.9 * 0.7 + 0.1 * out
     assert r.n == 9 and r.dropped == 2 and abs(r.output - out) < 1e-12
+
+
+def test_statistics_without_groups(spark):
+    from vesperflow.operators import robust
+
+    df = spark.createDataFrame([(float(i), 3.0 * i * i - 2 * i + 1, 1.0 + i % 3, i) for i in range(20)] + [(float("nan"), None, 1.0, 99)], "x double, y double, w double, k int")
+    m = robust.mad(df, [], "x").first()
+    assert (m.median, m.mad) == (9.5, 5.0)
+    q = robust.quadratic(df.where("k < 99"), [], "x", "y").first()
+    assert abs(q.a - 3) < 1e-9 and abs(q.b + 2) < 1e-8 and abs(q.c - 1) < 1e-8 and abs(q.vertex - 1 / 3) < 1e-9
+    w = robust.weighted_linear(df.where("k < 99").withColumn("y", F.col("x") * 2 + 1), [], "x", "y", "w").first()
+    assert abs(w.slope - 2) < 1e-12 and abs(w.intercept - 1) < 1e-12 and w.slope_error < 1e-6
+    h = robust.histogram(spark.createDataFrame([(0.0,), (1.0,), (2.0,), (-1.0,), (float("nan"),), (None,)], "v double"), [], "v", 5)
+    assert {r.bin: r.n for r in h.collect()} == {0: 3, 4: 2}
+    s = robust.histogram_moments(h, [], 5).first()
+    assert s["count"] == 5 and s.mode_bin == 0 and abs(s["mean"] - 0.4) < 1e-12

@@ -157,12 +157,12 @@ def interpolate_eop(points, eop, key: str = "mjd", value: str = "ut1_utc"):
 
     The table has one row a day, so the bracketing rows are found by an equi-join on the whole day; a gap gives null.
     """
-    ends = eop.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    at = points.crossJoin(F.broadcast(ends)).withColumn("_t", F.least(F.greatest(F.col(key), F.col("_lo")), F.col("_hi"))).withColumn("_day", F.floor("_t"))  # one row: an aggregate
+    low, high = eop.agg(F.min(key)).scalar(), eop.agg(F.max(key)).scalar()
+    at = points.withColumn("_t", F.least(F.greatest(F.col(key), low), high)).withColumn("_day", F.floor("_t"))
     a = eop.select(F.floor(key).alias("_day"), F.col(value).alias("_a"))
     b = eop.select((F.floor(key) - 1).alias("_day"), F.col(value).alias("_b"))
     f = F.col("_t") - F.col("_day")
-    return at.join(a, "_day", "left").join(b, "_day", "left").withColumn(value, F.when(f == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * f)).drop("_lo", "_hi", "_t", "_day", "_a", "_b")
+    return at.join(a, "_day", "left").join(b, "_day", "left").withColumn(value, F.when(f == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * f)).drop("_t", "_day", "_a", "_b")
 
 
 # ---- civil dates ----------------------------------------------------------------------------------------------------

@@ -182,7 +182,7 @@ def descriptor_votes(current: DataFrame, reference: DataFrame, dims: list[str],
 def prefix_join(children: DataFrame, parents: DataFrame, child: str, parent: str) -> DataFrame:
     """Pairs in which the child's text begins with the parent's: an equality join for each length that parents have."""
     p = parents.withColumn("_n", F.char_length(parent))
-    lengths = p.select("_n").distinct().agg(F.array_sort(F.collect_set("_n")).alias("_l"))  # one row, of text lengths
-    c = children.crossJoin(F.broadcast(lengths)).withColumn("_n", F.explode(F.filter("_l", lambda n: n <= F.char_length(child)))).drop("_l")
+    lengths = p.select("_n").distinct().agg(F.array_sort(F.collect_set("_n")).alias("_l")).scalar()  # the lengths that occur
+    c = children.withColumn("_l", lengths).withColumn("_n", F.explode(F.filter("_l", lambda n: n <= F.char_length(child)))).drop("_l")
     c = c.withColumn("_p", F.left(child, "_n"))
     return c.join(p, (c._n == p._n) & (c._p == p[parent])).drop("_n", "_p")

@@ -28,7 +28,7 @@ def mad(df: DataFrame, by: list[str], x: str, normalized: bool = False) -> DataF
     """median and mad of each group: a second aggregate over deviations from the first's median."""
     d = df.withColumn("_v", finite(F.col(x)))
     centre = d.groupBy(*by).agg(F.median("_v").alias("median"))
-    out = d.join(centre, by).groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col("_v") - F.col("median"))).alias("mad"))
+    out = _attach(d, centre, by).groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col("_v") - F.col("median"))).alias("mad"))
     return out.withColumn("mad", F.col("mad") * MAD_SCALE) if normalized else out
 
 
@@ -38,6 +38,11 @@ def percentiles(df: DataFrame, by: list[str], x: str, ps: list[float]) -> DataFr
     return df.groupBy(*by).agg(q.alias("_q")).select(*by, *(F.col("_q")[i].alias(f"p{i}") for i in range(len(ps))))
 
 
+def _attach(df: DataFrame, figures: DataFrame, by: list[str]) -> DataFrame:
+    """`df` with each group's figures; without groups they are scalar subqueries."""
+    return df.join(figures, by) if by else df.withColumns({c: figures.select(c).scalar() for c in figures.columns})
+
+
 def histogram(df: DataFrame, by: list[str], x: str, bins: int) -> DataFrame:
     """(by, bin, n): values in 0..1 fall into bins 0 to bins - 1 by truncating v (bins - 1); outliers into the ends."""
     top = bins - 1
@@ -54,7 +59,7 @@ def histogram_moments(hist: DataFrame, by: list[str], bins: int) -> DataFrame:
     d = v - F.col("mean")
     p = n / F.col("count")
     keep = ["count", "mode_bin", "min_bin", "max_bin", "mean"]
-    both = hist.join(first, by) if by else hist.crossJoin(F.broadcast(first))  # one row
+    both = _attach(hist, first, by)
     out = both.groupBy(*by).agg(*(F.first(c).alias(c) for c in keep), (F.sum(d * d * n) / F.sum("n")).alias("variance"), (F.sum(d * d * d * n) / F.sum("n")).alias("_m3"), (F.sum(d * d * d * d * n) / F.sum("n")).alias("_m4"), (-F.sum(p * F.log2(p))).alias("entropy"))
     var = F.col("variance")
     out = out.withColumn("stddev", F.sqrt(var)).withColumn("skewness", F.when(var > 0, F.col("_m3") / F.pow(var, 1.5)).otherwise(0.0)).withColumn("kurtosis", F.when(var > 0, F.col("_m4") / (var * var) - 3).otherwise(0.0))
@@ -99,7 +104,7 @@ def weighted_linear(df: DataFrame, by: list[str], x: str, y: str, weight: str) -
     a, b, w = F.col(x), F.col(y), F.col(weight)
     d = df.where((w > 0) & a.isNotNull() & b.isNotNull())
     mean = d.groupBy(*by).agg((F.sum(w * a) / F.sum(w)).alias("_mx"), (F.sum(w * b) / F.sum(w)).alias("_my"))
-    c = (d.join(mean, by) if by else d.crossJoin(F.broadcast(mean))).withColumn("_dx", a - F.col("_mx")).withColumn("_dy", b - F.col("_my"))
+    c = _attach(d, mean, by).withColumn("_dx", a - F.col("_mx")).withColumn("_dy", b - F.col("_my"))
     s = c.groupBy(*by).agg(F.count("*").alias("n"), F.first("_mx").alias("_mx"), F.first("_my").alias("_my"), F.sum(w).alias("_w"), F.sum(w * F.col("_dx") * F.col("_dx")).alias("_xx"), F.sum(w * F.col("_dx") * F.col("_dy")).alias("_xy"), F.sum(w * F.col("_dy") * F.col("_dy")).alias("_yy"))
     slope = F.when(F.col("_xx") > 0, F.col("_xy") / F.col("_xx"))
     chi = F.greatest(F.lit(0.0), F.col("_yy") - F.col("_xy") * F.col("_xy") / F.col("_xx"))
@@ -121,7 +126,7 @@ def theil_sen(df: DataFrame, by: list[str], x: str, y: str, key: str) -> DataFra
 def v_curve(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Two lines, left and right of the least y (which belongs to both), and where they cross."""
     low = df.groupBy(*by).agg(F.min(F.struct(F.col(y).alias("y"), F.col(x).alias("x")))["x"].alias("_at"))
-    d = df.join(low, by)
+    d = _attach(df, low, by)
     side = {s: F.when((F.col(x) <= F.col("_at")) if s == "left" else (F.col(x) >= F.col("_at")), F.col(x)) for s in ("left", "right")}
     out = d.groupBy(*by).agg(*(f(F.col(y), side[s]).alias(f"{s}_{n}") for s in side for n, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept))))
     cross = F.when(F.col("left_slope") != F.col("right_slope"), (F.col("right_intercept") - F.col("left_intercept")) / (F.col("left_slope") - F.col("right_slope")))
@@ -131,7 +136,7 @@ def v_curve(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def quadratic(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """a, b, c of y = a x2 + b x + c by power sums about the group's mean x, and the vertex."""
     mean = df.groupBy(*by).agg(F.avg(x).alias("_m"))
-    d = (df.join(mean, by) if by else df.crossJoin(F.broadcast(mean))).withColumn("_u", F.col(x) - F.col("_m"))
+    d = _attach(df, mean, by).withColumn("_u", F.col(x) - F.col("_m"))
     u, v = F.col("_u"), F.col(y)
     sums = {f"_s{k}": reduce(lambda p, _: p * u, range(k), F.lit(1.0)) for k in range(5)} | {f"_t{k}": reduce(lambda p, _: p * u, range(k), v) for k in range(3)}
     s = d.groupBy(*by).agg(F.first("_m").alias("_m"), *(F.sum(e).alias(n) for n, e in sums.items()))
