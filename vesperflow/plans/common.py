@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesperflow.session import table
+from vesperflow.session import ship, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -19,7 +20,12 @@ def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL if that exists."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = shipped
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
