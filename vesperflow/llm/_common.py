@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from vesperflow.session import ship
+
 BATCH_BYTES = 8 << 20
 
 
 def bound_arrow(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Limit Arrow batches by bytes, so that long texts cannot pile up in a Python worker."""
+    """Get ready for Python on the executors: they have this package, and Arrow batches are limited by bytes, so that
+    long texts cannot pile up in a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
