@@ -178,3 +178,11 @@ def test_statistics_without_groups(spark):
     assert {r.bin: r.n for r in h.collect()} == {0: 3, 4: 2}
     s = robust.histogram_moments(h, [], 5).first()
     assert s["count"] == 5 and s.mode_bin == 0 and abs(s["mean"] - 0.4) < 1e-12
+
+
+def test_priority_tables(spark):
+    a = spark.createDataFrame([("k", 0.0, 0.0), ("k", 10.0, 10.0)], "by string, x double, y double")
+    b = spark.createDataFrame([("k", 5.0, 100.0), ("k", 20.0, 130.0)], "by string, x double, y double")
+    p = spark.createDataFrame([("k", x) for x in (-1.0, 2.0, 7.0, 15.0, 30.0)] + [("none", 1.0)], "by string, x double")
+    got = {r.x: r.y for r in joins.asof_priority(p, [b, a], "by", "x", "y").where("by = 'k'").collect()}
+    assert got == {-1.0: 0.0, 2.0: 2.0, 7.0: 104.0, 15.0: 120.0, 30.0: 10.0}

@@ -186,3 +186,36 @@ def prefix_join(children: DataFrame, parents: DataFrame, child: str, parent: str
     c = children.withColumn("_l", lengths).withColumn("_n", F.explode(F.filter("_l", lambda n: n <= F.char_length(child)))).drop("_l")
     c = c.withColumn("_p", F.left(child, "_n"))
     return c.join(p, (c._n == p._n) & (c._p == p[parent])).drop("_n", "_p")
+
+
+def grid_interpolate(points: DataFrame, grid: DataFrame, x: str, y: str, value: str, key: str) -> DataFrame:
+    """(key, value): bilinear values of a grid (gx, gy whole numbers, value) at points; null where a corner is missing.
+
+    Each point meets the four corners of its cell by equality and their weighted values are summed.
+    """
+    corners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))
+    fx, fy = F.col(x) - F.floor(x), F.col(y) - F.floor(y)
+    p = points.select(key, fx.alias("_fx"), fy.alias("_fy"), F.floor(x).alias("_cx"), F.floor(y).alias("_cy"), F.explode(corners).alias("_k"))
+    w = F.when(F.col("_k.i") == 1, F.col("_fx")).otherwise(F.lit(1.0) - F.col("_fx")) * F.when(F.col("_k.j") == 1, F.col("_fy")).otherwise(F.lit(1.0) - F.col("_fy"))
+    p = p.select(key, (F.col("_cx") + F.col("_k.i")).cast("long").alias("gx"), (F.col("_cy") + F.col("_k.j")).cast("long").alias("gy"), w.alias("_w")).where("_w > 0")
+    g = grid.select(F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), F.col(value).alias("_v"))
+    s = p.join(g, ["gx", "gy"], "left").groupBy(key).agg(F.sum(F.col("_w") * F.col("_v")).alias(value), F.max(F.col("_v").isNull()).alias("_gap"))
+    return s.select(key, F.when(~F.col("_gap"), F.col(value)).alias(value))
+
+
+def asof_priority(points: DataFrame, tables: list[DataFrame], by: str, x: str, y: str) -> DataFrame:
+    """`points` with y interpolated from the first table whose range at `by` holds x, else from the last one that has any."""
+    out = points
+    for i, t in enumerate(tables):
+        ends = t.groupBy(by).agg(F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}"))
+        out = interpolate(out, t.select(by, x, F.col(y).alias(f"_y{i}")), by, x, f"_y{i}").join(ends, by, "left")
+    inside = [F.when(F.col(x).between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), F.col(f"_y{i}")) for i in range(len(tables))]
+    value = F.coalesce(*inside, *(F.col(f"_y{i}") for i in reversed(range(len(tables)))))
+    return out.select(*points.columns, value.alias(y))
+
+
+def rectangle_overlap(a: list, b: list) -> tuple:
+    """(left, top, right, bottom) columns of the overlap of two rectangles, null where they do not meet."""
+    left, top, right, bottom = F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3])
+    meets = (left <= right) & (top <= bottom)
+    return tuple(F.when(meets, c) for c in (left, top, right, bottom))

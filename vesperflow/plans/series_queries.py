@@ -262,3 +262,27 @@ def pchip_slopes(spark, sf_dir):
     return s.join(ends, "grp").where("x > lo AND x < hi").select("grp", "x", r("slope", 4).alias("slope"))
 
 
+
+
+@query("""WITH g AS (SELECT l_suppkey % 10 gx, l_partkey % 8 gy, avg(l_extendedprice) / 997.0E0 AS v FROM lineitem GROUP BY ALL), p AS (SELECT o_orderkey id, (o_orderkey % 89) / 10.0E0 x, (o_custkey % 67) / 10.0E0 y FROM orders)
+SELECT id, round(sum((CASE WHEN i = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN j = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * v), 5) AS v FROM p, range(2) a(i), range(2) b(j), g WHERE g.gx = floor(x) + i AND g.gy = floor(y) + j GROUP BY 1""")
+def grid_interpolation(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy(F.pmod("l_suppkey", F.lit(10)).alias("gx"), F.pmod("l_partkey", F.lit(8)).alias("gy")).agg((F.avg("l_extendedprice") / 997.0).alias("v"))
+    p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.pmod("o_orderkey", F.lit(89)) / 10.0).alias("x"), (F.pmod("o_custkey", F.lit(67)) / 10.0).alias("y"))
+    return joins.grid_interpolate(p, g, "x", "y", "v", "id").select("id", r("v", 5).alias("v"))
+
+
+@query("""SELECT o_orderkey id, CASE WHEN greatest(a0, b0) <= least(a1, b1) AND greatest(c0, d0) <= least(c1, d1) THEN greatest(a0, b0) END l, CASE WHEN greatest(a0, b0) <= least(a1, b1) AND greatest(c0, d0) <= least(c1, d1) THEN least(c1, d1) END b
+FROM (SELECT o_orderkey, o_orderkey % 50 a0, o_orderkey % 50 + 30 a1, o_custkey % 70 b0, o_custkey % 70 + 20 b1, o_orderkey % 31 c0, o_orderkey % 31 + 9 c1, o_custkey % 41 d0, o_custkey % 41 + 12 d1 FROM orders)""")
+def rectangle_overlap(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    m = lambda v, n, d=0: F.pmod(v, F.lit(n)) + d
+    o = joins.rectangle_overlap([m(k, 50), m(k, 31), m(k, 50, 30), m(k, 31, 9)], [m(c, 70), m(c, 41), m(c, 70, 20), m(c, 41, 12)])
+    return table(spark, sf_dir, "orders").select(k.alias("id"), o[0].alias("l"), o[3].alias("b"))
+
+
+@query(f"""WITH {SKY} SELECT CAST(floor((decl + {lit(math.pi / 2)}) / {lit(math.pi / 900)}) AS INTEGER) + 1 AS zone, count(*) n FROM sky WHERE ra < 0.5 AND decl BETWEEN -0.3 AND 0.4 GROUP BY 1""")
+def touched_zones(spark, sf_dir):
+    """The zones of a fifth of a degree that a box touches, with their rows."""
+    s = sky(spark, sf_dir).where("ra < 0.5D AND decl BETWEEN -0.3D AND 0.4D")
+    return s.groupBy((F.floor((F.col("decl") + math.pi / 2) / (math.pi / 900)) + 1).cast("int").alias("zone")).agg(F.count("*").alias("n"))
