@@ -55,28 +55,39 @@ class Lexicon:
     strong: frozenset = frozenset()
     weak: frozenset = frozenset()
 
-    def level(self, word: str) -> int:
-        found = entries(plain(word))
+    def __post_init__(self):
+        #: How entries begin: a word that begins otherwise matches none.
+        self.heads = {e.rstrip("*")[:4] for e in self.strong | self.weak}
+
+    def level(self, plain_word: str) -> int:
+        if plain_word[:4] not in self.heads:
+            return 0
+        found = entries(plain_word)
         return 2 if any(e in self.strong for e in found) else 1 if any(e in self.weak for e in found) else 0
 
 
+_ENDS = "\"'.,;:!?()[]{}<>|*&%#-_/\\"
+
+
+def word_traits(x: str, lexicon: Lexicon) -> tuple:
+    """(lexicon level, second person, capitals, all capitals, signs, exclamation marks, obfuscated, drawn out, length)."""
+    if x.isalpha() and x.islower():  # most words
+        drawn = _DRAWN.search(x) is not None
+        return (lexicon.level(plain(x) if drawn else x), x in SECOND_PERSON, 0, False, 0, 0, False, drawn, len(x))
+    inner = x.strip(_ENDS)
+    mixed = bool(inner) and not inner.isalnum() or any(map(str.isdigit, inner)) and any(map(str.isalpha, inner))
+    return (
+        lexicon.level(plain(x)), x.strip("\"'.,;:!?()").lower() in SECOND_PERSON, sum(map(str.isupper, x)), len(inner) > 1 and inner.isupper(), sum(not c.isalnum() for c in x), x.count("!"), mixed, _DRAWN.search(inner) is not None, len(x),
+    )
+
+
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     """One row of FEATURES for each text; all 0 for a text without words."""
     w, n = Words(texts), len(texts)
     if not len(w.codes):
         return np.zeros((n, len(FEATURES)))
-    level = np.array([lexicon.level(x) for x in w.uniq], np.int64)
-    you = np.array([x.strip("\"'.,;:!?()").lower() in SECOND_PERSON for x in w.uniq])
-    inner = [x.strip("\"'.,;:!?()[]{}<>|*&%#-_/\\") for x in w.uniq]
-    per_word = np.array(
-        [
-            (sum(map(str.isupper, x)), len(i) > 1 and i.isupper(), sum(not c.isalnum() for c in x), x.count("!"), bool(i) and not i.isalnum() or any(map(str.isdigit, i)) and any(map(str.isalpha, i)), bool(_DRAWN.search(i)), len(x))
-            if not (x.isalpha() and x.islower())
-            else (0, 0, 0, 0, 0, bool(_DRAWN.search(x)), len(x))
-            for x, i in zip(w.uniq, inner, strict=True)
-        ],
-        np.float64,
-    ).reshape(len(w.uniq), 7)
+    traits = np.array([word_traits(x, lexicon) for x in w.uniq], np.float64)
+    level, you, per_word = traits[:, 0].astype(np.int64), traits[:, 1] > 0, traits[:, 2:]
     rows = w.rows
     count = np.maximum(sums(rows, n), 1)
     lv, near = level[w.codes], np.zeros(len(rows))
