@@ -151,3 +151,42 @@ def test_indicator_features_are_sorted_and_distinct():
     row, x = quality.indicators(pa.array(["a a a B!! b", None, "", "x"]))
     assert set(row.tolist()) == {0, 3}
     assert len(set(zip(row.tolist(), x.tolist(), strict=True))) == len(row)
+
+
+def whole_bits(texts, target):
+    tok = [[lm_score.core(w) for w in (t or "").split()] for t in texts]
+    v, out = len({w for x in tok for w in x}), []
+    for aim in (True, False):
+        pair = Counter(p for x, y in zip(tok, target, strict=True) if y or not aim for p in zip([None, *x], x, strict=False))
+        one, n, kinds = Counter(), Counter(), Counter()
+        for (a, b), c in pair.items():
+            one[b] += c
+            n[a] += c
+            kinds[a] += 1
+        total = sum(one.values()) + v
+
+        def p(a, b, pair=pair, one=one, n=n, kinds=kinds, total=total):
+            u = (one[b] + 1) / total
+            return (pair[a, b] + kinds[a] * u) / (n[a] + kinds[a]) if n[a] else u
+
+        out.append([sum(-math.log2(p(a, b)) for a, b in zip([None, *x], x, strict=False)) / max(1, len(x)) for x in tok])
+    return out
+
+
+def test_lm_query_has_every_word(spark, tmp_path, monkeypatch):
+    from vesperflow.llm.queries import op8_lm_score
+
+    rng = random.Random(11)
+    docs = [(i, " ".join(f"{rng.choice('abc')}{int(rng.paretovariate(0.4)) % 5000}" for _ in range(rng.randrange(60)))) for i in range(800)]
+    docs += [(400, None), (401, ""), (3, "a repeated id"), (402, "ODD1 (x) !!! 99"), (None, "no id a1 a1"), (None, None)]
+    assert len({w for _, t in docs for w in (t or "").split()}) > 2 * lm_score.VOCABULARY
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    good = {i for i, _ in docs if i and i % 3 == 0}
+    spark.createDataFrame([(i, 1) for i in good] + [(None, 1), (3, 1), (1, 0), (9999, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    t, b = whole_bits([d[1] for d in docs], [d[0] in good for d in docs])
+    want = sorted((str(i), len((x or "").split()), p, q) for (i, x), p, q in zip(docs, t, b, strict=True))
+    for size in (lm_score.BLOCK_BYTES, 1500):  # one block, then several
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", size)
+        got = sorted((str(r.doc_id), r.n_tokens, r.target_bits, r.background_bits) for r in op8_lm_score(spark, str(tmp_path)).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-9)

@@ -100,7 +100,7 @@ FROM e GROUP BY conv_id
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of all documents; the target is the documents labelled as of good quality."""
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")))
+    return lm_score.score_whole(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
 
 
 @query
