@@ -34,10 +34,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def sketch(text: Column, k: int = K, bins: int = BINS, size: int = TUPLE) -> Column:
+def sketch(text: Column, k: int = K, bins: int = BINS, size: int = TUPLE, fill: bool = False) -> Column:
     """Sorted longs bin * 65536 + value, one for each bin that has a k-mer; value is 1 to 65535.
 
-    Null texts count as empty and have none. Fewer words than k make one k-mer.
+    With `fill`, a bin of fewer than `size` k-mers draws those it lacks from the bins that follow, round to the first,
+    so that all bins select `size` k-mers of any text that has as many, and short texts keep their order too. Null texts count as empty and have none. Fewer words than k make one k-mer.
     """
     high = -(1 << PLACE)
     shift = 64 - int(math.log2(bins))
@@ -70,11 +71,24 @@ def sketch(text: Column, k: int = K, bins: int = BINS, size: int = TUPLE) -> Col
             return F.shiftrightunsigned(x, shift)
 
         def tuple_hash(i: Column) -> Column:
-            own = F.filter(F.transform(F.sequence(i, i + size - 1), lambda j: F.get(w, j)), lambda x: x.isNotNull() & (bin_of(x) == bin_of(F.get(w, i))))
+            return hashed(F.filter(F.transform(F.sequence(i, i + size - 1), lambda j: F.get(w, j)), lambda x: x.isNotNull() & (bin_of(x) == bin_of(F.get(w, i)))))
+
+        def hashed(own: Column) -> Column:
             in_order = F.array_sort(own, lambda a, b: F.when(a.bitwiseAND(F.lit((1 << PLACE) - 1)) < b.bitwiseAND(F.lit((1 << PLACE) - 1)), -1).otherwise(1))
             return F.pmod(F.xxhash64(F.transform(in_order, lambda x: F.shiftright(x, PLACE))), F.lit(65535)) + 1
 
+        def place(x: Column) -> Column:  # of its bin, in the order of signed longs
+            return F.shiftright(x, shift).cast("int") + bins // 2
+
+        def filled(i: Column) -> Column:  # the bin of place i and the empty ones before it, which select the same
+            n = F.size(w)
+            own = F.transform(F.sequence(i, i + F.least(F.lit(size), n) - 1), lambda j: F.get(w, j % n))
+            before = F.when(i == 0, place(F.get(w, n - 1)) - bins).otherwise(place(F.get(w, i - 1)))
+            return let(hashed(own), lambda h: F.transform(F.sequence(before + 1, place(F.get(w, i))), lambda s: F.shiftleft(F.pmod(s + bins // 2, F.lit(bins)).cast("long"), 16) + h))
+
         firsts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (bin_of(F.get(w, i)) != bin_of(F.get(w, i - 1))))
+        if fill:
+            return F.when(F.size(w) > 0, F.sort_array(F.flatten(F.transform(firsts, filled)))).otherwise(w)
         return F.when(F.size(w) > 0, F.sort_array(F.transform(firsts, lambda i: F.shiftleft(bin_of(F.get(w, i)), 16) + tuple_hash(i)))).otherwise(w)
 
     hashes = F.transform(words, lambda x: F.xxhash64(x))
@@ -113,7 +127,7 @@ def _runs(docs: DataFrame) -> Column:
     return let(F.size(F.filter(inner, lambda e: e <= F.col("id"))), run)
 
 
-def next_documents(docs: DataFrame) -> DataFrame:
+def next_documents(docs: DataFrame, fill: bool = False) -> DataFrame:
     """(id, text, own, next_text, next_own) of rows (id, text) with an id: own is a text's sketch.
 
     Next is the row that follows by id, then text; after the last comes the first. Rows go through one exchange, by
@@ -127,14 +141,14 @@ def next_documents(docs: DataFrame) -> DataFrame:
     heads = runs.groupBy("block").agg(F.min("run").alias("lo"), F.max("run").alias("hi"))
     heads = heads.select("block", "lo", F.lag("hi").over(Window.orderBy("block")).alias("prev"), F.max("hi").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"))
     linked = runs.withColumn("before", F.lag("run").over(block)).join(heads, "block").select("run", F.coalesce("before", "prev", "top").alias("before"))
-    guards = firsts.join(linked, "run").select(F.col("before").alias("run"), F.col("f.text").alias("guard_text"), sketch(F.col("f.text")).alias("guard_own"))
+    guards = firsts.join(linked, "run").select(F.col("before").alias("run"), F.col("f.text").alias("guard_text"), sketch(F.col("f.text"), fill=fill).alias("guard_own"))
     w = Window.partitionBy("run").orderBy("id", "text")
-    rows = dealt.withColumn("own", sketch(F.col("text"))).withColumn("nx", F.lead(F.struct("text", "own")).over(w))
+    rows = dealt.withColumn("own", sketch(F.col("text"), fill=fill)).withColumn("nx", F.lead(F.struct("text", "own")).over(w))
     rows = rows.join(guards, "run")
     return rows.select("id", "text", "own", F.when(F.col("nx").isNull(), F.col("guard_text")).otherwise(F.col("nx.text")).alias("next_text"), F.when(F.col("nx").isNull(), F.col("guard_own")).otherwise(F.col("nx.own")).alias("next_own"))
 
 
-def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fill: bool = False) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
@@ -142,11 +156,11 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order: nothing replaces what its edited text loses, and near_next is null. A single row is its own next.
     """
     rows = pick(docs, [id_col, text_col]).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    placed = next_documents(rows.where("id IS NOT NULL"))
-    loose = rows.where("id IS NULL").select("id", "text", sketch(F.col("text")).alias("own"), F.lit("").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_own"))
+    placed = next_documents(rows.where("id IS NOT NULL"), fill)
+    loose = rows.where("id IS NULL").select("id", "text", sketch(F.col("text"), fill=fill).alias("own"), F.lit("").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_own"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
     both = placed.unionByName(loose).select(F.col("id").alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own", sketch(F.col("edited")).alias("other"))
+    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own", sketch(F.col("edited"), fill=fill).alias("other"))
     return both.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))

@@ -113,4 +113,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of all documents and of their edited texts."""
-    return order_minhash.edit_likeness(table(spark, sf_dir, "documents"))
+    return order_minhash.edit_likeness(table(spark, sf_dir, "documents"), fill=True)
