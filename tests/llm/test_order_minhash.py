@@ -49,7 +49,7 @@ def test_sketch_matches_brute_force(spark):
 
 
 def brute(docs):
-    known = sorted(((i, t or "") for i, t in docs if i is not None), key=lambda r: r)
+    known = sorted(((i, t or "") for i, t in docs if i is not None), key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1], 42) >> 11, r[1]))
     out = []
     for k, (i, t) in enumerate(known):
         nx = known[(k + 1) % len(known)][1]
@@ -134,3 +134,62 @@ def test_query_sees_swapped_halves_of_short_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     near = [r.near_next for r in op3_order_minhash(spark, str(tmp_path)).collect() if r.doc_id % 2 == 0]
     assert 0.3 < sum(near) / len(near) < 0.6
+
+
+def independent(text, n=64):
+    """Order MinHash with n hash functions over the whole text: what the dealt bins stand in for."""
+    h = [hash_longs(w) for w in text.split()]
+    kmers = [hash_longs(*h[i : i + o.K]) for i in range(max(1, len(h) - o.K + 1))]
+    out = []
+    for seed in range(n):
+        own = sorted((xxhash.xxh64_intdigest(struct.pack("<qi", k, kmers[:i].count(k)), seed), i) for i, k in enumerate(kmers))[: o.TUPLE]
+        out.append((seed, tuple(x for x, _ in sorted(own, key=lambda x: x[1]))))
+    return out
+
+
+def test_short_texts_are_as_likely_as_by_independent_hash_functions():
+    rng = random.Random(1)
+    for n in (10, 20, 40, 80):
+        for edit in (lambda w, n=n: w[n // 2 :] + w[: n // 2], lambda w, n=n: [*w[: n // 3], "x", *w[n // 3 + 1 :]]):
+            a = b = 0.0
+            for _ in range(20):
+                w = [f"w{rng.random()}" for _ in range(n)]
+                x, y = " ".join(w), " ".join(edit(w))
+                a += near(filled_sketch(x), filled_sketch(y)) / 20
+                b += sum(p == q for p, q in zip(independent(x), independent(y), strict=True)) / 64 / 20
+            assert abs(a - b) < 0.1, (n, a, b)
+
+
+def shares(df):
+    """The rows of each run."""
+    return sorted((r["n"] for r in o._dealt(df).groupBy("run").agg(F.count("*").alias("n")).collect()), reverse=True)
+
+
+def test_uneven_and_repeated_ids_spread_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(o, "RUN", 20)
+    monkeypatch.setattr(o, "CUTS", 16)
+    rng = random.Random(6)
+    uneven = [(2**60 - i if i % 3 else i, f"text {i}") for i in range(3000)]
+    one = [(7, f"text {i}") for i in range(3000)]
+    same = [(7, "same text")] * 2000 + [(i, f"text {i}") for i in range(1000)]
+    for rows in (uneven, one, same):
+        rng.shuffle(rows)
+        got = shares(spark.createDataFrame(rows, "id long, text string").repartition(8))
+        assert sum(got) == 3000 and got[0] < 150, got[:5]
+
+
+def test_next_document_among_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(o, "RUN", 4)
+    monkeypatch.setattr(o, "CUTS", 8)
+    rng = random.Random(7)
+    docs = [(rng.choice([3, 3, 3, 3, 9, 12, i]), " ".join(rng.choices(["one", "two", "three", "four"], k=rng.randrange(0, 6)))) for i in range(160)]
+    docs += [(3, "one two three")] * 60
+    check(docs_of(spark, [(i, t, "s") for i, t in docs]), docs)
+
+
+def test_ids_that_are_no_numbers_raise(spark):
+    import pytest
+
+    with pytest.raises(TypeError, match="ids are to be numbers"):
+        o.edit_likeness(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+    assert o.edit_likeness(spark.createDataFrame([(1, "x y z")], "doc_id int, text string")).count() == 1

@@ -6,7 +6,9 @@ into text order and hashes that tuple. Two texts' likeness is the share of bins
 the share of lost k-mers and with their reordering, and so with edit distance.
 
 Everything per text stays in the row, in sorted arrays of longs that hold several fields each; lambda functions read
-them by place. One exchange deals the rows to runs of neighbouring ids, where a window finds the next document.
+them by place. One exchange deals the rows to runs of neighbouring ids, where a window finds the next document. Runs
+are cut by quantiles of quantiles of the ids, and by the texts' hashes where one id has many rows, so that uneven or
+repeated ids spread too.
 """
 
 from __future__ import annotations
@@ -15,18 +17,21 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vesperflow.session import pick
 
 K = 2
 BINS = 64
 TUPLE = 2
-#: Bits of a word's place in packed longs: texts of up to 2 ** 28 words.
+#: Bits of a word's place in packed longs. A text of more than 2 ** PLACE words raises an error.
 PLACE = 28
-#: Rows in a run of neighbouring ids, on average.
-RUN = 1000
-#: Quantiles of the ids; runs are of equal width between two of them.
-QUANTILES = 64
+#: Rows in a run of neighbouring ids, on average, up to CUTS ** 2 runs; from there on runs grow.
+RUN = 250
+#: Quantiles of the ids, and again within each of them.
+CUTS = 256
+#: An id with more than HEAVY neighbouring quantiles has the quantiles of its texts' hashes too.
+HEAVY = 2
 
 
 def let(value: Column, body) -> Column:
@@ -43,6 +48,7 @@ def sketch(text: Column, k: int = K, bins: int = BINS, size: int = TUPLE, fill:
     high = -(1 << PLACE)
     shift = 64 - int(math.log2(bins))
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    words = F.when(F.octet_length(text) > 2 << PLACE, F.when(F.size(words) <= 1 << PLACE, words).otherwise(F.raise_error("a text of over 2 ** 28 words").cast("array<string>"))).otherwise(words)
 
     def kmers(h: Column) -> Column:  # hashed k-mers with their places, sorted by hash
         n = F.size(h)
@@ -110,39 +116,80 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def _runs(docs: DataFrame) -> Column:
-    """The run of a row's id: ascending with the id, about RUN rows each for ids that lie evenly between quantiles."""
-    n, low, cuts = docs.agg(F.count("id"), F.min("id"), F.percentile_approx("id", [i / QUANTILES for i in range(1, QUANTILES + 1)], 10000)).first()
-    if not n:
-        return F.lit(0).cast("long")
-    edges = sorted({low, *cuts})  # a fixed number of ids, whatever the corpus
-    parts = max(1, math.ceil(n / RUN / max(1, len(edges) - 1)))
-    inner, bounds = F.array(*map(F.lit, edges[1:-1])).cast("array<bigint>"), F.array(*(F.lit(float(e)) for e in [*edges, edges[-1] + 1]))
+def _unit(h: Column) -> Column:
+    """A 53-bit hash as 0 to 1."""
+    return h / F.lit(float(1 << 53))
 
-    def run(at: Column) -> Column:
-        a, b = F.get(bounds, at), F.get(bounds, at + 1)
-        inside = F.floor((F.col("id") - a) / F.greatest(b - a, F.lit(1.0)) * parts)
-        return at.cast("long") * parts + F.least(inside, F.lit(parts - 1)).cast("long")
 
-    return let(F.size(F.filter(inner, lambda e: e <= F.col("id"))), run)
+def _at(cuts: Column, x: Column, u: Column) -> Column:
+    """(n, u): the interval of x between sorted cuts, and u within it. Where cuts equal x, u chooses among them."""
+
+    def found(low: Column) -> Column:
+        equal = F.size(F.filter(cuts, lambda c: c == x)) + 1
+        inner = F.least(F.floor(u * equal), equal - 1)
+        return F.struct((low + inner).cast("long").alias("n"), (u * equal - inner).alias("u"))
+
+    return let(F.size(F.filter(cuts, lambda c: c < x)), found)
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """`docs` with its order within an id (u, then h: the text's hash) and its run, which ascend with (id, u, h).
+
+    What reaches the driver are CUTS quantiles; what is broadcast are CUTS lists of them at most, whatever the corpus.
+    """
+    kind = docs.schema["id"].dataType
+    if not isinstance(kind, T.NumericType):
+        raise TypeError(f"ids are to be numbers, not {kind.simpleString()}")
+    rows = docs.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 11))
+    n = docs.agg(F.count("id")).first()[0]
+    first = min(CUTS, max(1, math.ceil(n / RUN)))
+    second = min(CUTS, max(1, math.ceil(n / RUN / first)))
+
+    def quantiles(of: str, k: int) -> Column:
+        return F.percentile_approx(of, [i / k for i in range(1, k)], 10000) if k > 1 else F.array().cast(f"array<{docs.schema['id'].dataType.simpleString() if of == 'id' else 'bigint'}>")
+
+    edges = docs.agg(quantiles("id", first)).first()[0] or []
+    rows = rows.withColumn("u", _unit(F.col("h")))
+    heavy = sorted({e for e in edges if edges.count(e) >= HEAVY})
+    if heavy:  # CUTS / HEAVY ids at most
+        ids = docs.sparkSession.createDataFrame([(e,) for e in heavy], T.StructType([T.StructField("id", kind)]))
+        some = rows.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(quantiles("h", CUTS).alias("_hs"))
+        # equal rows of one id, which nothing else tells apart, by their number; their order among each other is no matter
+        salt = _unit(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 11))
+
+        def place(low: Column) -> Column:
+            equal = F.size(F.filter("_hs", lambda c: c == F.col("h")))
+            lo, hi = F.when(low > 0, F.get("_hs", low - 1)).otherwise(F.lit(0)), F.coalesce(F.get("_hs", low), F.lit(1 << 53))
+            return (low + F.when(equal > 0, 1 + salt * (equal - 1)).otherwise((F.col("h") - lo) / (hi - lo))) / CUTS
+
+        rows = rows.join(F.broadcast(some), "id", "left").withColumn("u", F.when(F.col("_hs").isNull(), F.col("u")).otherwise(let(F.size(F.filter("_hs", lambda c: c < F.col("h"))), place))).drop("_hs")
+    bounds = F.array(*map(F.lit, edges)).cast(f"array<{kind.simpleString()}>")
+    rows = rows.withColumn("a", _at(bounds, F.col("id"), F.col("u")))
+    if second > 1:
+        within = rows.groupBy(F.col("a.n").alias("_n")).agg(quantiles("id", second).alias("_ids"))
+        rows = rows.join(F.broadcast(within), F.col("a.n") == F.col("_n")).withColumn("_b", _at(F.col("_ids"), F.col("id"), F.col("a.u")))
+        return rows.select("id", "text", "h", "u", (F.col("a.n") * second + F.col("_b.n")).alias("run"))
+    return rows.select("id", "text", "h", "u", F.col("a.n").alias("run"))
 
 
 def next_documents(docs: DataFrame, fill: bool = False) -> DataFrame:
     """(id, text, own, next_text, next_own) of rows (id, text) with an id: own is a text's sketch.
 
-    Next is the row that follows by id, then text; after the last comes the first. Rows go through one exchange, by
-    run; only the first row of each run, one in about RUN, travels again.
+    Next is the row that follows by id, then the text's hash, then text; after the last comes the first. Rows go
+    through one exchange, by run; only the first row of each run travels again. Partitions are twice those of the
+    session, as runs are dealt by hash.
     """
-    dealt = docs.withColumn("run", _runs(docs)).repartition("run")
-    firsts = dealt.groupBy("run").agg(F.min(F.struct("id", "text")).alias("f"))
-    block = Window.partitionBy("block").orderBy("run")
-    runs = docs.select(_runs(docs).alias("run")).distinct().withColumn("block", F.floor(F.col("run") / RUN))
-    # the run before, in two levels: within blocks of runs, then between blocks (one row in about RUN ** 2 documents)
+    ordered = _dealt(docs)
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ordered.repartition(parts, "run")
+    firsts = dealt.groupBy("run").agg(F.min(F.struct("id", "u", "h", "text")).alias("f"))
+    # the run before, in two levels: within blocks of CUTS runs, then between the blocks
+    runs = ordered.select("run").distinct().withColumn("block", F.floor(F.col("run") / CUTS))
     heads = runs.groupBy("block").agg(F.min("run").alias("lo"), F.max("run").alias("hi"))
-    heads = heads.select("block", "lo", F.lag("hi").over(Window.orderBy("block")).alias("prev"), F.max("hi").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"))
-    linked = runs.withColumn("before", F.lag("run").over(block)).join(heads, "block").select("run", F.coalesce("before", "prev", "top").alias("before"))
+    heads = heads.select("block", F.lag("hi").over(Window.orderBy("block")).alias("prev"), F.max("hi").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"))
+    linked = runs.withColumn("before", F.lag("run").over(Window.partitionBy("block").orderBy("run"))).join(heads, "block").select("run", F.coalesce("before", "prev", "top").alias("before"))
     guards = firsts.join(linked, "run").select(F.col("before").alias("run"), F.col("f.text").alias("guard_text"), sketch(F.col("f.text"), fill=fill).alias("guard_own"))
-    w = Window.partitionBy("run").orderBy("id", "text")
+    w = Window.partitionBy("run").orderBy("id", "u", "h", "text")
     rows = dealt.withColumn("own", sketch(F.col("text"), fill=fill)).withColumn("nx", F.lead(F.struct("text", "own")).over(w))
     rows = rows.join(guards, "run")
     return rows.select("id", "text", "own", F.when(F.col("nx").isNull(), F.col("guard_text")).otherwise(F.col("nx.text")).alias("next_text"), F.when(F.col("nx").isNull(), F.col("guard_own")).otherwise(F.col("nx.own")).alias("next_own"))
@@ -152,8 +199,9 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document. Null texts count as empty. Rows are ordered by id, then text. A row with a null id has no place in the
-    order: nothing replaces what its edited text loses, and near_next is null. A single row is its own next.
+    document. Null texts count as empty. Rows are ordered by id, then by a hash of the text, then text. A row with a
+    null id has no place in the order: nothing replaces what its edited text loses, and near_next is null. A single
+    row is its own next. Ids are numbers; others raise a TypeError.
     """
     rows = pick(docs, [id_col, text_col]).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     placed = next_documents(rows.where("id IS NOT NULL"), fill)
