@@ -58,3 +58,54 @@ def test_query_rows(spark, odd, none, limit):
     assert not any(r.contaminated for r in d.contamination(odd, bench.limit(0)).collect())
     kept = d.drop_contaminated(odd, bench, limit=limit)
     assert kept.columns == odd.columns and kept.count() == sum(not brute(t, items)[4] for _, t, _ in ODD)
+
+
+def test_pieces_find_every_window():
+    rng = random.Random(5)
+    for window in (1, 2, 3, 5, 10):
+        for _ in range(60):
+            vocabulary = [f"w{i}" for i in range(rng.choice([1, 2, 40]))]
+            items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 40)))) for i in range(4)]
+            text = " ".join(rng.choices(vocabulary, k=rng.randrange(0, 50)) + items[0][1].split()[3:] + rng.choices(vocabulary, k=5))
+            w, hit, own = text.split(), set(), set()
+            for item, x in ((i, t.split()) for i, t in items):
+                for k in [x[i : i + window] for i in range(max(1, len(x) - window + 1))]:
+                    for j in range(len(w) - len(k) + 1):
+                        if w[j : j + len(k)] == k:
+                            hit.update(range(j, j + len(k)))
+                            own.add(str(item))
+            _, got, items_found = d.Automaton(items, window).scan(text)
+            assert set(map(int, got.nonzero()[0])) == hit and items_found == own
+
+
+def test_parts_are_built_once_a_chunk(monkeypatch):
+    import pyarrow as pa
+
+    built = []
+
+    class Counted(d.Automaton):
+        def __init__(self, *a):
+            built.append(1)
+            super().__init__(*a)
+
+    class Part:
+        def __init__(self, value):
+            self.value = value
+
+    monkeypatch.setattr(d, "Automaton", Counted)
+    parts = [Part([(1, "a b c")]), Part([(2, "c d")]), Part([])]
+    batches = [pa.RecordBatch.from_pydict({"t": ["x a b c d", None]}) for _ in range(6)] + [pa.RecordBatch.from_pydict({"t": pa.array([], pa.string())})]
+    got = list(d.scanned(iter(batches), parts, 10, 0, chunk=3 * batches[0].nbytes))
+    assert len(got) == 6 and len(built) == 6  # two chunks of three batches, three parts
+    for _, ((n, hit, items), (none, _, nothing)) in got:
+        assert n == 5 and hit.tolist() == [False, True, True, True, True] and items == {"1", "2"} and none == 0 and nothing == set()
+
+
+def test_automaton_is_as_large_as_the_items():
+    import resource
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(20000)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    a = d.Automaton([(i, " ".join(rng.choices(words, k=100))) for i in range(1000)])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 120_000 and len(a.digests) == 91_000
