@@ -181,13 +181,26 @@ def hashes(words: list[str]) -> np.ndarray:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest takes."""
+    """Counts in as few bytes each as the largest takes: all lowest bytes first, then the next, which are mostly zero
+    and vanish when the exchange is compressed."""
     t = np.min_scalar_type(int(x.max()) if x.size else 0)
-    return bytes([t.itemsize]) + x.astype(t).tobytes()
+    return bytes([t.itemsize]) + np.ascontiguousarray(x.astype(t).reshape(-1, 1)).view(np.uint8).T.tobytes()
 
 
 def unpack(b: bytes, *shape: int) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64).reshape(shape)
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").astype(np.int64).reshape(shape)
+
+
+def pack_hashes(h: np.ndarray) -> bytes:
+    """The upper six bytes of hashes that tell apart what follows one word."""
+    return np.ascontiguousarray(h.reshape(-1, 1).view(np.uint8)[:, 2:]).tobytes()
+
+
+def unpack_hashes(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 class Layout:
@@ -237,7 +250,7 @@ def counted(lay: Layout, aim: np.ndarray, block: int, hot: int) -> pa.Table:
         w, p = slice(*lay.word_cuts[j : j + 2]), slice(*lay.pair_cuts[j : j + 2])
         n = w.stop - w.start
         slot = np.where(lay.heat[p] >= 0, n + lay.heat[p], lay.ctx[p] - w.start)
-        row = (j, block, lay.words[w].tobytes(), pack(ones[:, w]), pack(np.bincount(slot, minlength=n + hot)), lay.words[lay.tok[p]].tobytes(), pack(counts[:, p]))
+        row = (j, block, lay.words[w].tobytes(), pack(ones[:, w]), pack(np.bincount(slot, minlength=n + hot)), pack_hashes(lay.words[lay.tok[p]]), pack(counts[:, p]))
         for c, v in zip(out.values(), row, strict=True):
             c.append(v)
     return pa.table({k: pa.array(v, pa.int32() if k in ("bucket", "block") else pa.binary()) for k, v in out.items()})
@@ -248,7 +261,7 @@ def totalled(chunks: pa.Table, hot: int) -> pa.Table:
     all), of its bigrams, of the hot contexts in this bucket, and of the bucket."""
     rows = chunks.to_pylist()
     words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    pairs = [np.frombuffer(r["pairs"], np.uint64) for r in rows]
+    pairs = [unpack_hashes(r["pairs"]) for r in rows]
     u, at = np.unique(np.concatenate(words), return_inverse=True)
     m, cuts = len(u), np.cumsum([0, *map(len, words)])
     at = [at[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
