@@ -60,3 +60,20 @@ def test_windows_keep_every_row(spark):
     check(got, rows, 16)
     assert sorted(r.doc_id for r in got) == list(range(500))
     assert len({r.bin_id for r in got}) == 500  # copies never share a bin
+
+
+def test_tasks_do_not_grow_with_rows_and_windows_follow_each_other(spark):
+    from conftest import docs_of
+
+    rows = [(i, "some words " * (i % 7), f"s{i % 11}") for i in range(900)]
+    got = p.pack_documents(docs_of(spark, rows), capacity=64, window=32)
+    assert got.rdd.getNumPartitions() <= 4
+    rows_ = got.collect()
+    check(rows_, rows, 64)
+    assert sorted((r.doc_id, r.piece) for r in rows_) == sorted({(r.doc_id, r.piece) for r in rows_}) and {r.doc_id for r in rows_} == set(range(900))
+
+
+def test_sources_of_any_type(spark):
+    df = spark.createDataFrame([(1, "a b", 7), (2, "c", 7), (3, "d", None)], "doc_id int, text string, source int")
+    got = p.pack_documents(df).collect()
+    assert {(r.doc_id, r.source) for r in got} == {(1, 7), (2, 7), (3, None)} and len({r.bin_id for r in got}) == 2

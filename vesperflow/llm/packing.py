@@ -1,8 +1,9 @@
 """Conflict-constrained best-fit packing of documents into training sequences of fixed capacity.
 
-Documents are dealt evenly (round robin, so no source or group of copies gathers in a task) into windows of about
-WINDOW rows of ids and lengths; texts stay where they are. Within a window pieces go by falling length into the
-tightest bin that holds no piece of the same source and none of the same duplicate cluster.
+Documents are dealt evenly (round robin, so no source or group of copies gathers in a task) into as many tasks as the
+session's exchanges have, and within a task into windows of WINDOW rows of ids and lengths; texts stay where they are.
+Within a window pieces go by falling length into the tightest bin that holds no piece of the same source and none of
+the same duplicate cluster.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from vesperflow.llm._common import bound_arrow
 from vesperflow.session import pick
 
 CAPACITY = 2048
-#: Pieces that are packed together; bins never span windows, so memory and time of a window are bounded.
+#: Rows that are packed together (up to twice as many at a task's end); bins never span windows, so memory and time of
+#: a window are bounded. The README has what that costs in bins.
 WINDOW = 8192
 
 
@@ -134,34 +136,33 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc
     else:
         rows = docs.select(F.col(id_col).alias("i"), F.col(source_col).alias("s"), length.cast("long").alias("n"), cluster.alias("c"))
     bound_arrow(docs.sparkSession)
-    total = docs.count()
-    id_type = docs.schema[id_col].dataType.simpleString()
-    dealt = rows.repartition(max(1, math.ceil(total / window)))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_type, source_type = (docs.schema[c].dataType.simpleString() for c in (id_col, source_col))
+    dealt = rows.repartition(min(tasks, max(1, math.ceil(docs.count() / window))))
 
     def run(batches):
         part, first = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
 
-        def packed():
+        def packed(t: pa.Table) -> pa.RecordBatch:
             nonlocal first
-            t = pa.Table.from_batches(held)
             placed = pack(t["n"].to_pylist(), t["s"].to_pylist(), t["c"].to_pylist(), capacity)
             row, piece, start, n, b, at = (np.array(x, np.int64) for x in zip(*placed, strict=True))
             by = np.lexsort((at, b))
             row, piece, start, n, b, at = (x[by] for x in (row, piece, start, n, b, at))
             head = np.concatenate([[True], b[1:] != b[:-1]])
             slot = np.arange(len(b)) - np.maximum.accumulate(np.where(head, np.arange(len(b)), 0))
-            ids, sources = t["i"].combine_chunks().take(pa.array(row)), t["s"].combine_chunks().take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array((part << 33) + first + b), pa.array(slot), ids, *map(pa.array, (piece, start, n, at)), sources], names=["bin_id", "slot", "doc_id", "piece", "start", "length", "bin_offset", "source"])
-            first += int(b.max()) + 1
+            ids, sources = (t[c].combine_chunks().take(pa.array(row)) for c in ("i", "s"))
+            first, base = first + int(b.max()) + 1, first
+            return pa.RecordBatch.from_arrays([pa.array((part << 33) + base + b), pa.array(slot), ids, *map(pa.array, (piece, start, n, at)), sources], names=["bin_id", "slot", "doc_id", "piece", "start", "length", "bin_offset", "source"])
 
         for b in batches:
-            for at in range(0, b.num_rows, window):
-                held.append(b.slice(at, window))
-                if sum(x.num_rows for x in held) >= 2 * window:
-                    yield from packed()
-                    held.clear()
-        if held:
-            yield from packed()
-
-    return dealt.mapInArrow(run, f"bin_id long, slot long, doc_id {id_type}, piece long, start long, length long, bin_offset long, source string")
+            held.append(b)
+            while sum(x.num_rows for x in held) >= 2 * window:
+                t = pa.Table.from_batches(held)
+                yield packed(t.slice(0, window))
+                held = t.slice(window).to_batches()
+        if any(x.num_rows for x in held):
+            yield packed(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, f"bin_id long, slot long, doc_id {id_type}, piece long, start long, length long, bin_offset long, source {source_type}")
