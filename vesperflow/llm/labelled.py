@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vesperflow.session import pick
+from vesperflow.session import materialize, pick
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -24,9 +24,21 @@ def sample_labels(labels: DataFrame, label: str, folds: int, held_out: int, boun
     return rows.orderBy(F.xxhash64("id"), "id").limit(bound)
 
 
-def join_sample(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, y, text) of the sampled documents. The sample is broadcast: its size is bounded by its own limit."""
-    return pick(docs, [id_col, text_col]).toDF("id", "text").join(F.broadcast(sample), "id").select("id", "y", "text")
+def join_sample(docs: DataFrame, sample: DataFrame, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, y, text) of the sampled documents, one an id (the least text of repeated ones), stored as it is read again.
+
+    The sample is broadcast: its own limit bounds it. Of its texts the first by a hash of the id are taken, up to
+    `most_bytes` in all, so very long texts bound the sample too.
+    """
+    rows = pick(docs, [id_col, text_col]).toDF("id", "text").join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = materialize(rows.withColumn("h", F.xxhash64("id")), "labelled")
+    left, last = most_bytes, None
+    for r in rows.select("h", F.octet_length("text").alias("n")).orderBy("h", "id").collect():  # a number a sampled row
+        left -= r.n or 0
+        if left < 0:
+            break
+        last = r.h
+    return rows.where(F.col("h") <= F.lit(last)).drop("h")
 
 
 def platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vesperflow.llm._common import Words, map_batches, map_rows, sums
@@ -22,8 +21,8 @@ from vesperflow.llm.labelled import fold, join_sample, platt, sample_labels
 from vesperflow.session import pick
 
 FOLDS, HELD_OUT = 3, 1
-#: The fit takes at most so many labelled rows.
-SAMPLE = 8000
+#: The fit takes at most so many labelled rows and bytes of text.
+SAMPLE, SAMPLE_BYTES = 8000, 64 << 20
 BITS = 20
 THRESHOLD = 0.5
 _SPLIT = re.compile(r"(\W*)(.*?)(\W*)", re.DOTALL)
@@ -167,7 +166,7 @@ def fit_arrays(docs: list[np.ndarray], y: np.ndarray, bits: int = BITS, parts: i
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Fit on at most `sample` labelled rows outside the held-out fold; without any the score is 0.5 throughout."""
-    rows = join_sample(docs, sample_labels(labels, label, FOLDS, HELD_OUT, sample), id_col, text_col)
+    rows = join_sample(docs, sample_labels(labels, label, FOLDS, HELD_OUT, sample), SAMPLE_BYTES, id_col, text_col)
 
     def make():
         def f(b: pa.RecordBatch) -> dict:
@@ -178,8 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return f
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    found = map_batches(rows, make, schema).groupBy("id", "y").agg(F.min("x").alias("x")).collect()
-    found.sort(key=lambda r: str(r.id))
+    found = sorted(map_batches(rows, make, schema).collect(), key=lambda r: str(r.id))
     return fit_arrays([np.frombuffer(r.x, "<i4") for r in found], np.array([r.y for r in found], np.int64), bits)
 
 

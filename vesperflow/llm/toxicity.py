@@ -20,12 +20,11 @@ from pyspark.sql import types as T
 
 from vesperflow.llm._common import Words, map_batches, sums
 from vesperflow.llm.labelled import fold, isotonic, join_sample, sample_labels
-from vesperflow.session import materialize, pick
+from vesperflow.session import pick
 
 FOLDS, HELD_OUT = 4, 2
-#: The fit takes at most so many labelled rows, the lexicon so many entries.
-SAMPLE = 16000
-LEXICON = 1024
+#: The fit takes at most so many labelled rows and bytes of text, which bound the lexicon too.
+SAMPLE, SAMPLE_BYTES = 16000, 128 << 20
 THRESHOLD = 0.3
 #: Lengths of the word beginnings that may enter the lexicon; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
@@ -89,7 +88,8 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     traits = np.array([word_traits(x, lexicon) for x in w.uniq], np.float64)
     level, you, per_word = traits[:, 0].astype(np.int64), traits[:, 1] > 0, traits[:, 2:]
     rows = w.rows
-    count = np.maximum(sums(rows, n), 1)
+    own = sums(rows, n)
+    count = np.maximum(own, 1)
     lv, near = level[w.codes], np.zeros(len(rows))
     spots = np.flatnonzero(you[w.codes])
     for d in range(-REACH, REACH + 1):
@@ -101,7 +101,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     total = np.stack([sums(rows, n, per_word[w.codes, k]) for k in range(7)], 1)
     strong, weak = sums(rows, n, (lv == 2).astype(float)), sums(rows, n, (lv == 1).astype(float))
     chars = np.maximum(total[:, 6], 1)
-    return np.stack([strong / count, weak / count, strong, sums(rows, n, near) / count, total[:, 0] / chars, total[:, 1] / count, total[:, 2] / chars, total[:, 3] / count, total[:, 4] / count, total[:, 5] / count, np.log1p(count), total[:, 6] / count], 1)
+    return np.stack([strong / count, weak / count, strong, sums(rows, n, near) / count, total[:, 0] / chars, total[:, 1] / count, total[:, 2] / chars, total[:, 3] / count, total[:, 4] / count, total[:, 5] / count, np.log1p(own), total[:, 6] / count], 1)
 
 
 @dataclass
@@ -184,7 +184,7 @@ class Model:
         return np.interp(self.trees.margins(features(texts, self.lexicon)), self.xs, self.ps)
 
 
-def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> Lexicon:
+def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Entries that texts with label 1 have far more often than others, from rows (id, y, text).
 
     A text with label 1 counts for an entry only as far as the entry's neighbours differ from text to text, so the
@@ -196,12 +196,15 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> Lexicon:
 
     def spots():
         def f(b: pa.RecordBatch) -> dict:
-            w = Words(b.column(0))
+            w = Words(b.column(1))
             own = [entries(plain(x)) for x in w.uniq]
             h = np.array([xxhash.xxh32_intdigest(x) for x in w.uniq], np.int64)[w.codes] if w.uniq else np.zeros(0, np.int64)
-            around = np.concatenate([[0], h[:-1]])[: len(h)] * 31 + h * 7 + np.concatenate([h[1:], [0]])[: len(h)]
+            before, after = np.concatenate([[0], h[:-1]])[: len(h)], np.concatenate([h[1:], [0]])[: len(h)]
+            some = np.diff(w.first) > 0  # neighbours end with the text
+            before[w.first[:-1][some]] = after[w.first[1:][some] - 1] = 0
+            around = before * 31 + h * 7 + after
             out: dict[str, list] = {"e": [], "text": [], "around": []}
-            rows = w.rows + (xxhash.xxh32_intdigest(str(b.column(0)[0])) << 20)
+            rows = np.asarray(b.column(0))[w.rows]
             for c, r, k in zip(w.codes.tolist(), rows.tolist(), around.tolist(), strict=True):
                 for e in own[c]:
                     out["e"].append(e)
@@ -224,13 +227,13 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> Lexicon:
         return f
 
     e = T.StructField("e", T.StringType())
-    toxic = map_batches(rows.where("y = 1").select("text"), spots, T.StructType([e, T.StructField("text", T.LongType()), T.StructField("around", T.LongType())]))
+    toxic = map_batches(rows.where("y = 1").select(F.xxhash64("id"), "text"), spots, T.StructType([e, T.StructField("text", T.LongType()), T.StructField("around", T.LongType())]))
     toxic = toxic.groupBy("e").agg(F.least(F.count_distinct("text"), F.count_distinct("around")).alias("a")).where("a >= 3")
     clean = map_batches(rows.where("y = 0").select("text"), others, T.StructType([e, T.StructField("b", T.LongType())])).groupBy("e").agg(F.sum("b").alias("b"))
     both = toxic.join(clean, "e", "left").select("e", "a", F.coalesce("b", F.lit(0)).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (na + 1.0)) - F.log((F.col("b") + 0.5) / (nb + 1.0))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = both.withColumn("z", z).where((odds > 1.5) & (F.col("z") > 2.2)).orderBy(F.desc("a"), "e").limit(limit).collect()
+    top = both.withColumn("z", z).where((odds > 1.5) & (F.col("z") > 2.2)).collect()
     strong = frozenset(r.e for r in top if r.z > 3 and r.a >= max(5, 0.01 * na) and r.b <= 0.02 * r.a)
     return Lexicon(strong, frozenset(r.e for r in top if r.a >= max(4, 0.004 * na)) - strong)
 
@@ -241,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The calibration's margins come from trees that have not seen the row: `parts` parts by hash of the id. With too
     few rows of a label every text scores the labelled share of label 1, smoothed.
     """
-    rows = materialize(join_sample(docs, sample_labels(labels, label, FOLDS, HELD_OUT, sample), id_col, text_col), "labelled")  # the bounded sample, read some times
+    rows = join_sample(docs, sample_labels(labels, label, FOLDS, HELD_OUT, sample), SAMPLE_BYTES, id_col, text_col)
     lexicon = learn_lexicon(rows)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -252,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return f
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    found = map_batches(rows, make, schema).groupBy("id", "y").agg(F.min("x").alias("x")).collect()
+    found = map_batches(rows, make, schema).collect()
     found.sort(key=lambda r: xxhash.xxh32_intdigest(str(r.id)))
     x, y = np.array([r.x for r in found], np.float64).reshape(-1, len(FEATURES)), np.array([r.y for r in found], np.float64)
     if min(y.sum(), len(y) - y.sum()) < 2 * parts:
