@@ -121,15 +121,26 @@ def _unit(h: Column) -> Column:
     return h / F.lit(float(1 << 53))
 
 
+def _below(cuts: Column, x: Column, also: bool = False) -> Column:
+    """How many of fewer than CUTS sorted cuts are less than x, or also equal to it: by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(CUTS.bit_length()))))
+
+    def step(n: Column, by: Column) -> Column:
+        c = F.get(cuts, n + by - 1)
+        return n + F.when((c <= x) if also else (c < x), by).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def _at(cuts: Column, x: Column, u: Column) -> Column:
     """(n, u): the interval of x between sorted cuts, and u within it. Where cuts equal x, u chooses among them."""
 
     def found(low: Column) -> Column:
-        equal = F.size(F.filter(cuts, lambda c: c == x)) + 1
+        equal = _below(cuts, x, True) - low + 1
         inner = F.least(F.floor(u * equal), equal - 1)
         return F.struct((low + inner).cast("long").alias("n"), (u * equal - inner).alias("u"))
 
-    return let(F.size(F.filter(cuts, lambda c: c < x)), found)
+    return let(_below(cuts, x), found)
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
@@ -158,11 +169,11 @@ def _dealt(docs: DataFrame) -> DataFrame:
         salt = _unit(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 11))
 
         def place(low: Column) -> Column:
-            equal = F.size(F.filter("_hs", lambda c: c == F.col("h")))
+            equal = _below(F.col("_hs"), F.col("h"), True) - low
             lo, hi = F.when(low > 0, F.get("_hs", low - 1)).otherwise(F.lit(0)), F.coalesce(F.get("_hs", low), F.lit(1 << 53))
             return (low + F.when(equal > 0, 1 + salt * (equal - 1)).otherwise((F.col("h") - lo) / (hi - lo))) / CUTS
 
-        rows = rows.join(F.broadcast(some), "id", "left").withColumn("u", F.when(F.col("_hs").isNull(), F.col("u")).otherwise(let(F.size(F.filter("_hs", lambda c: c < F.col("h"))), place))).drop("_hs")
+        rows = rows.join(F.broadcast(some), "id", "left").withColumn("u", F.when(F.col("_hs").isNull(), F.col("u")).otherwise(let(_below(F.col("_hs"), F.col("h")), place))).drop("_hs")
     bounds = F.array(*map(F.lit, edges)).cast(f"array<{kind.simpleString()}>")
     rows = rows.withColumn("a", _at(bounds, F.col("id"), F.col("u")))
     if second > 1:
