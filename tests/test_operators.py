@@ -186,3 +186,39 @@ def test_priority_tables(spark):
     p = spark.createDataFrame([("k", x) for x in (-1.0, 2.0, 7.0, 15.0, 30.0)] + [("none", 1.0)], "by string, x double")
     got = {r.x: r.y for r in joins.asof_priority(p, [b, a], "by", "x", "y").where("by = 'k'").collect()}
     assert got == {-1.0: 0.0, 2.0: 2.0, 7.0: 104.0, 15.0: 120.0, 30.0: 10.0}
+
+
+def test_streams_keep_every_key_over_several_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    for batch, rows in enumerate(([("a", 0.0, 1.0), ("b", 0.0, 2.0)], [("a", 1.0, 3.0), ("c", 1.0, 4.0)], [("c", 9.0, 5.0)])):
+        df = spark.createDataFrame(rows, "session string, s double, e double").withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long"))).drop("s")
+        df.coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema("session string, e double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
+    got = {r.session: (r.n, r.dropped) for r in frames.settle(frames.guide(stream, "session", "ts", "e", gap=5.0), "update", "guide", ["session"]).collect()}
+    assert got == {"a": (2, 0), "b": (1, 0), "c": (2, 1)}
+    n = frames.settle(frames.latest(stream, ["session"], ["ts"], ["e"]), "update", "latest", ["session"])
+    assert {(r.session, r.e, r.updates) for r in n.collect()} == {("a", 3.0, 2), ("b", 2.0, 1), ("c", 5.0, 2)}
+
+
+def test_nearest_matches_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(f, i, *( (rng.gauss(0, 1e-3), rng.random()) if f == 1 and i % 2 else (rng.uniform(-5, 500), rng.choice([1.0, 2.0, 2.0])))) for f, n in ((0, 1), (1, 90), (2, 4), (3, 60), (4, 2)) for i in range(n)]
+    rows += [(5, i, 7.0, 7.0) for i in range(20)]  # all in one place
+    got = {(r.f, r.i, r["rank"]): (r.r_i, round(r.d2, 9)) for r in joins.nearest(spark.createDataFrame(rows, "f int, i int, x double, y double"), 3, "f", key="i").collect()}
+    want = {}
+    for f, i, x, y in rows:
+        near = sorted(((x - u) ** 2 + (y - v) ** 2, j) for g, j, u, v in rows if g == f and j != i)[:3]
+        want |= {(f, i, k + 1): (j, round(d, 9)) for k, (d, j) in enumerate(near)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_nearest_on_sphere_matches_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(c, i, rng.uniform(0, 2 * math.pi) if c else rng.gauss(6.28, 0.01) % 6.283, math.asin(rng.uniform(-1, 1)) if c != 2 else 1.5707 - rng.random() * 0.01) for c, n in ((0, 50), (1, 80), (2, 40), (3, 3)) for i in range(n)]
+    got = {(r.c, r.i, r["rank"]): r.r_i for r in joins.nearest_on_sphere(spark.createDataFrame(rows, "c int, i int, ra double, decl double"), 4, "c", key="i").collect()}
+    v = {(c, i): np.array([math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d)]) for c, i, a, d in rows}
+    want = {}
+    for c, i, _, _ in rows:
+        near = sorted((float(np.linalg.norm(v[c, i] - v[c, j])), j) for g, j, _, _ in rows if g == c and j != i)[:4]
+        want |= {(c, i, k + 1): j for k, (_, j) in enumerate(near)}
+    assert got == want

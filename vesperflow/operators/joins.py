@@ -7,13 +7,13 @@ residual; as-of lookups sort the union of both sides by key and time in one exch
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vesperflow.functions.sphere import separation
+from vesperflow.session import materialize
 
 
 def asof(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str], direction: str = "backward") -> DataFrame:
@@ -97,8 +97,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, xy: tuple[str,
     return l.join(r, on).drop("_cx", "_cy").withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
-def sky_join(left: DataFrame, right: DataFrame, radius: float, ra: str = "ra", dec: str = "decl") -> DataFrame:
-    """All pairs at most `radius` apart on the sphere: columns of both, right ones prefixed r_, and sep.
+def sky_join(left: DataFrame, right: DataFrame, radius: float, ra: str = "ra", dec: str = "decl", by: str | None = None) -> DataFrame:
+    """All pairs at most `radius` apart on the sphere (of equal `by`): columns of both, right ones prefixed r_, and sep.
 
     The sphere is cut into declination bands of the radius' width and each band into cells that are at least as wide
     on the sky, so partners lie in neighbouring cells of the same or a neighbouring band; the right side is sent to
@@ -122,39 +122,83 @@ def sky_join(left: DataFrame, right: DataFrame, radius: float, ra: str = "ra", d
     r = r.withColumn("_c", F.explode(F.array_distinct(F.array(*(F.pmod(cell(F.col(f"r_{ra}"), n) + d, n) for d in (-1, 0, 1))))))
     l = left.withColumn("_b", band(F.col(dec)))
     l = l.withColumn("_c", cell(F.col(ra), cells(F.col("_b"))))
-    pairs = l.join(r, ["_b", "_c"]).drop("_b", "_c")
+    on = [l._b == r._b, l._c == r._c] + ([l[by] == r[f"r_{by}"]] if by else [])
+    pairs = l.join(r, on).drop("_b", "_c")
     return pairs.withColumn("sep", separation(F.col(ra), F.col(dec), F.col(f"r_{ra}"), F.col(f"r_{dec}"))).where(F.col("sep") <= radius)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, frame: str, xy: tuple[str, str] = ("x", "y"), key: str = "idx") -> DataFrame:
-    """For each left row the k nearest right rows of its frame by squared distance, ties by key: (frame, key, r_key, d2, rank).
+def _growing(left: DataFrame, group: str, key: str, k: int, first: Column, pairs) -> DataFrame:
+    """(group, key, r_key, dist, rank) of the k nearest by `pairs(rows, all_)`, which gives rows' partners within each
+    row's `_r`, or all of the group's with `all_`.
 
-    A row is not its own neighbour (equal keys). Frames are images of some hundred stars; both sides of a frame meet
-    in one task, in blocks of rows, and only the k nearest leave it.
+    A row with k partners within its radius is done, as no nearer one can lie beyond; the others go on with twice the
+    radius. Groups with no more than k others are joined whole at once. Each round is stored, so rounds are not redone.
+    """
+    size = left.groupBy(group).agg(F.count("*").alias("_n"))
+    rows = materialize(left.join(size, group).withColumn("_r", first), "rows")
+    small, todo = rows.where(F.col("_n") <= k + 1), rows.where(F.col("_n") > k + 1)
+    w = Window.partitionBy(group, key).orderBy("dist", f"r_{key}")
+
+    def ranked(df: DataFrame) -> DataFrame:
+        return df.select(group, key, f"r_{key}", "dist").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    found = [ranked(pairs(small, True))]
+    while not todo.isEmpty():
+        near = ranked(pairs(todo, False))
+        got = materialize(near.withColumn("_m", F.max("rank").over(Window.partitionBy(group, key))).where(F.col("_m") == k).drop("_m"), "near")
+        found.append(got)
+        todo = materialize(todo.join(got.where("rank = 1").select(group, key), [group, key], "left_anti").withColumn("_r", F.col("_r") * 2), "todo")
+    return reduce(DataFrame.unionByName, found)
+
+
+def nearest(left: DataFrame, k: int, frame: str, xy: tuple[str, str] = ("x", "y"), key: str = "idx") -> DataFrame:
+    """For each row the k nearest other rows of its frame by squared distance, ties by key: (frame, key, r_key, d2, rank).
+
+    Keys are distinct within a frame. Rows meet in cells of their frame, at first of a width that has some k rows if a
+    frame's rows lie evenly, so a frame of any size is spread over tasks and none compares all its pairs.
     """
     x, y = xy
-    kinds = {c: left.schema[c].dataType.simpleString() for c in (frame, key)}
-
-    def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("_k", kind="stable")
-        bk, bx, by = b["_k"].to_numpy(), b["_x"].to_numpy(float), b["_y"].to_numpy(float)
-        parts = []
-        for at in range(0, len(a), 1024):
-            p = a.iloc[at : at + 1024]
-            pk = p[key].to_numpy()
-            d2 = (p[x].to_numpy(float)[:, None] - bx) ** 2 + (p[y].to_numpy(float)[:, None] - by) ** 2
-            d2[pk[:, None] == bk] = np.inf
-            n = min(k, len(bk))
-            near = np.argsort(d2, axis=1, kind="stable")[:, :n]  # stable over rising keys: ties by key
-            dist = np.take_along_axis(d2, near, 1)
-            ok = np.isfinite(dist)
-            row, rank = np.nonzero(ok)
-            parts.append(pd.DataFrame({frame: p[frame].to_numpy()[row], key: pk[row], f"r_{key}": bk[near[row, rank]], "d2": dist[row, rank], "rank": (rank + 1).astype(np.int32)}))
-        return pd.concat(parts) if parts else pd.DataFrame({frame: [], key: [], f"r_{key}": [], "d2": [], "rank": []})
-
-    other = right.select(*(F.col(c).alias(n) for c, n in ((frame, "_f"), (key, "_k"), (x, "_x"), (y, "_y"))))  # own names, also when both sides are one table
-    both = left.select(frame, key, x, y).groupBy(frame).cogroup(other.groupBy("_f"))
-    return both.applyInPandas(find, f"{frame} {kinds[frame]}, {key} {kinds[key]}, r_{key} {kinds[key]}, d2 double, rank int")
+    rows = left.select(frame, key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    span = rows.groupBy(frame).agg((F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"), F.lit(1e-12)) * F.sqrt(F.lit(2.0 * k) / math.pi / F.count("*"))).alias("_w"))
+    rows = rows.join(span, frame)
+    other = rows.select(F.col(frame).alias("_f"), F.col(key).alias(f"r_{key}"), F.col("_x").alias("_u"), F.col("_y").alias("_v"))
+
+    def pairs(some: DataFrame, all_: bool) -> DataFrame:
+        d2 = F.pow(F.col("_x") - F.col("_u"), 2) + F.pow(F.col("_y") - F.col("_v"), 2)
+        if all_:
+            return some.join(other, some[frame] == other._f).where(F.col(key) != F.col(f"r_{key}")).withColumn("dist", d2)
+        # every row of the frame goes to the cell it lies in; a searching row to its own cell and those around it
+        width = some.groupBy(frame).agg(F.max("_r").alias("_c"))
+        near = F.array(*(F.lit(d) for d in (-1, 0, 1)))
+        cell = lambda v: F.floor(F.col(v) / F.col("_c")).cast("long")
+        l = some.join(width, frame).withColumn("_cx", F.explode(F.transform(near, lambda d: cell("_x") + d))).withColumn("_cy", F.explode(F.transform(near, lambda d: cell("_y") + d)))
+        o = other.join(width.withColumnRenamed(frame, "_f"), "_f").withColumn("_ox", cell("_u")).withColumn("_oy", cell("_v")).drop("_c")
+        both = l.join(o, (l[frame] == o._f) & (l._cx == o._ox) & (l._cy == o._oy)).where(F.col(key) != F.col(f"r_{key}"))
+        return both.withColumn("dist", d2).where(F.col("dist") <= F.col("_r") * F.col("_r"))
+
+    return _growing(rows, frame, key, k, F.col("_w"), pairs).withColumnRenamed("dist", "d2")
+
+
+def nearest_on_sphere(left: DataFrame, k: int, by: str, ra: str = "ra", dec: str = "decl", key: str = "id") -> DataFrame:
+    """For each row the k nearest other rows of the same class by separation, ties by key: (by, key, r_key, sep, rank).
+
+    As `nearest`, by cells of the sphere. Radii are the least power of two that holds some k rows of an even sky.
+    """
+    rows = left.select(by, key, F.col(ra).alias("_ra"), F.col(dec).alias("_dec"))
+    even = F.acos(F.greatest(F.lit(-1.0), F.lit(1.0) - F.lit(4.0 * k) / F.col("_n")))
+    first = F.least(F.lit(math.pi), F.pow(F.lit(2.0), F.ceil(F.log2(even))))
+
+    def pairs(some: DataFrame, all_: bool) -> DataFrame:
+        if all_:
+            o = rows.toDF(*(f"r_{c}" for c in rows.columns))
+            both = some.join(o, some[by] == o[f"r_{by}"]).withColumn("sep", separation(F.col("_ra"), F.col("_dec"), F.col("r__ra"), F.col("r__dec")))
+        else:  # classes have few different radii: powers of two
+            radii = sorted(x[0] for x in some.select("_r").distinct().collect())
+            parts = [sky_join(some.where(F.col("_r") == v), rows, min(v, math.pi), "_ra", "_dec", by) for v in radii]
+            both = reduce(DataFrame.unionByName, parts)
+        return both.where(F.col(key) != F.col(f"r_{key}")).withColumn("dist", F.col("sep"))
+
+    return _growing(rows, by, key, k, first, pairs).withColumnRenamed("dist", "sep")
 
 
 def descriptor_votes(current: DataFrame, reference: DataFrame, dims: list[str], tolerance: float, k: int = 3, key: str = "id", frame: str | None = None) -> DataFrame:

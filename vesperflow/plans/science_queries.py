@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vesperflow.functions import healpix
 from vesperflow.operators import events, models, orbits
-from vesperflow.plans.common import PIXELS, query, r, sky
+from vesperflow.plans.common import PIXELS, SKY, query, r, sky
+from vesperflow.plans.region_queries import _nested_sql
 from vesperflow.session import table
 from vesperflow.streaming import frames
 
@@ -38,7 +39,23 @@ def sun_rise_transit_set(spark, sf_dir):
     return events.sun_events(c)
 
 
-@query()
+def _phases_sql() -> str:
+    d = "pi() / 180"
+    full, quarter = "q = 2", "q % 2 = 1"
+    pick = lambda a, b: f"CASE WHEN {full} THEN {a} ELSE {b} END"
+    new = (
+        f"{pick(-0.40614, -0.40720)} * sin(mp) + {pick(0.17302, 0.17241)} * e * sin(m) + {pick(0.01614, 0.01608)} * sin(2 * mp) + {pick(0.01043, 0.01039)} * sin(2 * f) + {pick(0.00734, 0.00739)} * e * sin(mp - m)"
+        f" - {pick(0.00515, 0.00514)} * e * sin(mp + m) + {pick(0.00209, 0.00208)} * e * e * sin(2 * m) - 0.00111 * sin(mp - 2 * f) - 0.00017 * sin(om)"
+    )
+    half = "-0.62801 * sin(mp) + 0.17172 * e * sin(m) - 0.01183 * e * sin(mp + m) + 0.00862 * sin(2 * mp) + 0.00804 * sin(2 * f) + 0.00454 * e * sin(mp - m) + 0.00204 * e * e * sin(2 * m) - 0.00180 * sin(mp - 2 * f) - 0.00017 * sin(om)"
+    w = "0.00306 - 0.00038 * e * cos(m) + 0.00026 * cos(mp) - 0.00002 * cos(mp - m) + 0.00002 * cos(mp + m) + 0.00002 * cos(2 * f)"
+    return f"""WITH a AS (SELECT CAST(i AS INTEGER) id, i / 4.0E0 k, i % 4 q, i / 4.0E0 / 1236.85E0 t FROM range(400) r(i)),
+    b AS (SELECT *, 1 - 0.002516E0 * t - 0.0000074E0 * t * t e, (2.5534E0 + 29.10535670E0 * k - 0.0000014E0 * t * t) * {d} m, (201.5643E0 + 385.81693528E0 * k + 0.0107582E0 * t * t) * {d} mp, (160.7108E0 + 390.67050284E0 * k - 0.0016118E0 * t * t) * {d} f,
+      (124.7746E0 - 1.56375588E0 * k + 0.0020672E0 * t * t) * {d} om, 2451550.09766E0 + 29.530588861E0 * k + t * t * (0.00015437E0 - t * (0.00000015E0 - 0.00000000073E0 * t)) jd FROM a)
+    SELECT id k, round(jd + CASE WHEN {quarter} THEN {half} + CASE WHEN q = 1 THEN 1 ELSE -1 END * ({w}) ELSE {new} END, 6) jd FROM b"""
+
+
+@query(_phases_sql())
 def moon_phases(spark, sf_dir):
     return spark.range(0, 400).select(F.col("id").cast("int").alias("k"), r(events.moon_phase_jd(F.col("id") / 4.0), 6).alias("jd"))
 
@@ -54,9 +71,9 @@ def pointing_model_fit(spark, sf_dir):
     return f.select("mount", *(r(F.element_at("coefficients", n), 6).alias(n.lower()) for n in t), "n")
 
 
-@query()
+@query(f"WITH {SKY}, p AS ({_nested_sql(4)}) SELECT pixel AS cell, count(*) n, round(median(mag), 6) median FROM p GROUP BY 1")
 def healpix_flagship(spark, sf_dir):
-    """Robust statistics of the sky's cells; rows are those of the cells' own queries."""
+    """Robust statistics of the sky's cells."""
     s = healpix.with_nested_pixel(sky(spark, sf_dir), "cell", 4)
     return s.groupBy("cell").agg(F.count("*").alias("n"), r(F.median("mag")).alias("median"))
 
@@ -87,8 +104,9 @@ def windowed_stream(spark, sf_dir):
     return frames.settle(w, "append", "windows").withColumn("total", r("total", 4))
 
 
-@query()
+@query("""WITH f AS (SELECT user_id, epoch_us(ts) / 1e6 t, CAST(value AS DOUBLE) e FROM events), s AS (SELECT *, count(*) OVER (PARTITION BY user_id) n, row_number() OVER w i, t - lag(t) OVER w gap FROM f WINDOW w AS (PARTITION BY user_id ORDER BY t, e))
+SELECT user_id, count(*) n, CAST(coalesce(sum(CASE WHEN gap > 3600 THEN floor(gap / 3600) END), 0) AS BIGINT) dropped, round(sum(0.9E0 * 0.7E0 * e * pow(0.1E0, n - i)), 6) output FROM s GROUP BY 1""")
 def guiding_stream(spark, sf_dir):
-    return frames.settle(frames.guide(_stream(spark, sf_dir, "events"), "user_id", "ts", "value", gap=3600.0), "update", "guide").select("user_id", "n", "dropped", r("output").alias("output"))
-
-
+    """A correction mixed with the one before is a sum of errors by falling powers of the mixture."""
+    s = frames.settle(frames.guide(_stream(spark, sf_dir, "events"), "user_id", "ts", "value", gap=3600.0), "update", "guide", ["user_id"])
+    return s.select("user_id", "n", "dropped", r("output").alias("output"))

@@ -28,12 +28,12 @@ def asof_hot_keys(spark, sf_dir):
     return joins.asof_bucketed(e, o, "user_id", "ts", ["latest"], 86400).select("event_id", "latest")
 
 
-@query("""WITH p AS (SELECT o_orderkey id, CAST(o_custkey % 20 AS INTEGER) k, o_totalprice / 1000.0E0 x FROM orders), s AS (SELECT CAST(l_suppkey % 20 AS INTEGER) k, CAST(l_partkey % 500 AS DOUBLE) x, avg(l_extendedprice) / 997.0E0 y FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY ALL),
+@query("""WITH p AS (SELECT o_orderkey id, CAST(o_custkey % 20 AS INTEGER) k, o_totalprice / 1000.0E0 x FROM orders), s AS (SELECT CAST(l_suppkey % 20 AS INTEGER) k, CAST(l_partkey % 500 AS DOUBLE) x, avg(l_extendedprice) / 997.0E0 y FROM lineitem GROUP BY ALL),
 a AS (SELECT p.id, p.x, max(s.x) ax, max_by(s.y, s.x) ay FROM p LEFT JOIN s ON s.k = p.k AND s.x <= p.x GROUP BY ALL), b AS (SELECT p.id, min(s.x) bx, min_by(s.y, s.x) byv FROM p LEFT JOIN s ON s.k = p.k AND s.x >= p.x GROUP BY ALL)
 SELECT id, round(CASE WHEN ax IS NULL THEN byv WHEN bx IS NULL OR bx = ax THEN ay ELSE ay + (byv - ay) * (x - ax) / (bx - ax) END, 5) y FROM a JOIN b USING (id)""")
 def asof_linear_interp(spark, sf_dir):
     p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.pmod("o_custkey", F.lit(20)).cast("int").alias("k"), (F.col("o_totalprice") / 1000.0).alias("x"))
-    s = table(spark, sf_dir, "lineitem").where(F.pmod("l_partkey", F.lit(3)) == 0).groupBy(F.pmod("l_suppkey", F.lit(20)).cast("int").alias("k"), F.pmod("l_partkey", F.lit(500)).cast("double").alias("x")).agg((F.avg("l_extendedprice") / 997.0).alias("y"))
+    s = table(spark, sf_dir, "lineitem").groupBy(F.pmod("l_suppkey", F.lit(20)).cast("int").alias("k"), F.pmod("l_partkey", F.lit(500)).cast("double").alias("x")).agg((F.avg("l_extendedprice") / 997.0).alias("y"))
     return joins.interpolate(p, s, "k", "x", "y").select("id", r("y", 5).alias("y"))
 
 
@@ -55,7 +55,7 @@ def segment_priority_join(spark, sf_dir):
 SELECT frame, idx, r_idx, round(d2, 4) d2, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY frame, idx ORDER BY d2, r_idx) rank FROM d) WHERE rank <= 3""")
 def knn_planar(spark, sf_dir):
     s = stars(spark, sf_dir).select("frame", "idx", "x", "y").distinct()
-    return joins.nearest(s, s, 3, "frame").select("frame", "idx", "r_idx", r("d2", 4).alias("d2"), "rank")
+    return joins.nearest(s, 3, "frame").select("frame", "idx", "r_idx", r("d2", 4).alias("d2"), "rank")
 
 
 def _sep_sql(a: str, b: str) -> str:
@@ -63,22 +63,16 @@ def _sep_sql(a: str, b: str) -> str:
     return f"atan2(sqrt({x} * {x} + {y} * {y}), sin({a}.decl) * sin({b}.decl) + cos({a}.decl) * cos({b}.decl) * cos({b}.ra - {a}.ra))"
 
 
-@query(f"""WITH {SKY}, s AS (SELECT *, CAST(id % 50 AS INTEGER) side FROM sky WHERE id % 10 = 0), q AS (SELECT *, CAST(id % 50 AS INTEGER) side FROM sky WHERE id % 100 = 0),
-n AS (SELECT q.id, s.mag, {_sep_sql("q", "s")} sep, row_number() OVER (PARTITION BY q.id ORDER BY {_sep_sql("q", "s")}, s.id) k FROM q JOIN s ON q.side = s.side AND q.id <> s.id),
+@query(f"""WITH {SKY}, s AS (SELECT *, CAST(id % 50 AS INTEGER) side FROM sky),
+n AS (SELECT q.id, s.mag, {_sep_sql("q", "s")} sep, row_number() OVER (PARTITION BY q.id ORDER BY {_sep_sql("q", "s")}, s.id) k FROM s q JOIN s ON q.side = s.side AND q.id <> s.id),
 w AS (SELECT *, max(sep) OVER (PARTITION BY id) h FROM n WHERE k <= 8) SELECT id, round(sum(mag * pow(1 - pow(sep / (h * 1.000001E0), 3), 3)) / sum(pow(1 - pow(sep / (h * 1.000001E0), 3), 3)), 4) local FROM w GROUP BY 1""")
 def knn_spherical_by_class(spark, sf_dir):
     """A tricube-weighted mean over the eight nearest neighbours of the same class, bandwidth the farthest of them."""
-    from pyspark.sql import Window
-
-    from vesperflow.functions.sphere import separation
-
     s = sky(spark, sf_dir).withColumn("side", F.pmod("id", F.lit(50)).cast("int"))
-    b = s.where("id % 10 = 0").select("side", F.col("id").alias("j"), F.col("ra").alias("u"), F.col("decl").alias("v"), F.col("mag").alias("m"))
-    n = s.where("id % 100 = 0").join(b, "side").where("id != j").withColumn("sep", separation("ra", "decl", "u", "v"))
-    n = n.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("sep", "j"))).where("k <= 8")
+    n = joins.nearest_on_sphere(s, 8, "side").join(s.select(F.col("id").alias("r_id"), "mag"), "r_id")
     n = n.join(n.groupBy("id").agg((F.max("sep") * 1.000001).alias("h")), "id")
     w = F.pow(F.lit(1.0) - F.pow(F.col("sep") / F.col("h"), 3), 3)
-    return n.groupBy("id").agg(r(F.sum(F.col("m") * w) / F.sum(w), 4).alias("local"))
+    return n.groupBy("id").agg(r(F.sum(F.col("mag") * w) / F.sum(w), 4).alias("local"))
 
 
 _JIT = "jit AS (SELECT id + 1000000 id, ra + ((id * 31) % 101 - 50) * 2e-5 ra, greatest(-1.57E0, least(1.57E0, decl + ((id * 17) % 103 - 51) * 2e-5)) decl FROM sky WHERE id % 2 = 0)"
@@ -120,21 +114,27 @@ def self_anti_exclude(spark, sf_dir):
     return s.select("id").join(near, "id", "left_anti")
 
 
-@query(f"""WITH {STARS}, p AS (SELECT frame, idx, x, y, x + (idx % 7 - 3) / 3.0E0 u, y + (idx % 5 - 2) / 3.0E0 AS v FROM stars WHERE frame < 40)
+@query(f"""WITH {STARS}, p AS (SELECT frame, idx, x, y, x + (idx % 7 - 3) / 3.0E0 u, y + (idx % 5 - 2) / 3.0E0 AS v FROM stars)
 SELECT a.frame, count(*) pairs, round(min(pow(a.x - b.u, 2) + pow(a.y - b.v, 2)), 4) least FROM p a JOIN p b ON a.frame = b.frame AND pow(a.x - b.u, 2) + pow(a.y - b.v, 2) <= 400 GROUP BY 1""")
 def radius_join_frames(spark, sf_dir):
-    s = stars(spark, sf_dir).where("frame < 40").select("frame", "idx", "x", "y")
+    s = stars(spark, sf_dir).select("frame", "idx", "x", "y")
     t = s.select("frame", "idx", (F.col("x") + (F.pmod("idx", F.lit(7)) - 3) / 3.0).alias("x"), (F.col("y") + (F.pmod("idx", F.lit(5)) - 2) / 3.0).alias("y"))
     return joins.radius_join(s, t, 20.0, frame="frame").groupBy("frame").agg(F.count("*").alias("pairs"), r(F.min("d2"), 4).alias("least"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {STARS}, u AS (SELECT DISTINCT frame, idx, x, y FROM stars), c AS (SELECT a.frame, a.idx, b.idx r_idx, pow(a.x - (b.x + (b.idx % 7 - 3) / 3.0E0), 2) + pow(a.y - (b.y + (b.idx % 5 - 2) / 3.0E0), 2) d2 FROM u a JOIN u b ON a.frame = b.frame
+  AND pow(a.x - (b.x + (b.idx % 7 - 3) / 3.0E0), 2) + pow(a.y - (b.y + (b.idx % 5 - 2) / 3.0E0), 2) <= 400),
+g AS (SELECT frame, list({{'a': idx, 'b': r_idx, 'd': d2}} ORDER BY d2, idx, r_idx) p FROM c GROUP BY 1),
+w AS (SELECT frame, p, CAST(1 AS BIGINT) i, [p[1].a] l, [p[1].b] r, [p[1]] k FROM g
+  UNION ALL SELECT frame, p, i + 1, CASE WHEN ok THEN list_append(l, p[i + 1].a) ELSE l END, CASE WHEN ok THEN list_append(r, p[i + 1].b) ELSE r END, CASE WHEN ok THEN list_append(k, p[i + 1]) ELSE k END
+  FROM (SELECT *, NOT list_contains(l, p[i + 1].a) AND NOT list_contains(r, p[i + 1].b) ok FROM w WHERE i < len(p)))
+SELECT frame, e.a idx, e.b r_idx, round(e.d, 6) d2 FROM (SELECT frame, unnest(k) e FROM w WHERE i = len(p))""")
 def greedy_one_to_one(spark, sf_dir):
-    """One-to-one pairs of two star lists by rising distance: order decides, so rows only."""
-    s = stars(spark, sf_dir).where("frame < 40").select("frame", "idx", "x", "y").dropDuplicates(["idx"])
+    """One-to-one pairs of two star lists by rising distance: a pair is kept if neither side is taken yet."""
+    s = stars(spark, sf_dir).select("frame", "idx", "x", "y").distinct()
     t = s.select("frame", "idx", (F.col("x") + (F.pmod("idx", F.lit(7)) - 3) / 3.0).alias("x"), (F.col("y") + (F.pmod("idx", F.lit(5)) - 2) / 3.0).alias("y"))
     pairs = joins.radius_join(s, t, 20.0, frame="frame").select("frame", "idx", "r_idx", "d2")
-    return stack.greedy_pairs(pairs, "frame", "idx", "r_idx", "d2")
+    return stack.greedy_pairs(pairs, "frame", "idx", "r_idx", "d2").withColumn("d2", r("d2"))
 
 
 _EMB = "e AS (SELECT vec_id id, label, CAST(embedding[1] AS DOUBLE) a, CAST(embedding[2] AS DOUBLE) b, CAST(embedding[3] AS DOUBLE) c FROM embeddings)"
@@ -161,15 +161,16 @@ def prefix_group_join(spark, sf_dir):
     return joins.prefix_join(c, table(spark, sf_dir, "nation").select("n_name"), "code", "n_name").select("c_custkey", "n_name")
 
 
-@query(f"""WITH {SKY}, t AS (SELECT CAST(id // 30 AS INTEGER) obj, CAST(id % 30 AS INTEGER) step, ra, decl FROM sky WHERE id < 6000)
-SELECT a.obj, round(min({_sep_sql('a', 'b')}), 8) sep, min_by(a.step, ({_sep_sql('a', 'b')}, a.step)) step FROM t a JOIN t b ON b.obj = a.obj + 100 AND a.step = b.step WHERE a.obj < 100 GROUP BY 1""")
+@query(f"""WITH {SKY}, t AS (SELECT CAST(id // 30 AS INTEGER) obj, CAST(id % 30 AS INTEGER) step, ra, decl FROM sky), h AS (SELECT (max(obj) + 1) // 2 half FROM t)
+SELECT a.obj, round(min({_sep_sql('a', 'b')}), 8) sep, min_by(a.step, ({_sep_sql('a', 'b')}, a.step)) step FROM t a JOIN h ON a.obj < half JOIN t b ON b.obj = a.obj + half AND a.step = b.step GROUP BY 1""")
 def conjunction_min_separation(spark, sf_dir):
-    """The closest approach of two tracks on a common time grid."""
+    """The closest approach of two tracks on a common time grid: each of the first half's with one of the second's."""
     from vesperflow.functions.sphere import separation
 
-    t = sky(spark, sf_dir).where("id < 6000").select(F.floor(F.col("id") / 30).cast("int").alias("obj"), F.pmod("id", F.lit(30)).cast("int").alias("step"), "ra", "decl")
-    b = t.select((F.col("obj") - 100).alias("obj"), "step", F.col("ra").alias("u"), F.col("decl").alias("v"))
-    j = t.where("obj < 100").join(b, ["obj", "step"]).withColumn("sep", separation("ra", "decl", "u", "v"))
+    t = sky(spark, sf_dir).select(F.floor(F.col("id") / 30).cast("int").alias("obj"), F.pmod("id", F.lit(30)).cast("int").alias("step"), "ra", "decl")
+    half = t.agg(F.floor((F.max("obj") + 1) / 2).cast("int").alias("h")).scalar()
+    b = t.select((F.col("obj") - half).alias("obj"), "step", F.col("ra").alias("u"), F.col("decl").alias("v")).where("obj >= 0")
+    j = t.join(b, ["obj", "step"]).where(F.col("obj") < half).withColumn("sep", separation("ra", "decl", "u", "v"))
     return j.groupBy("obj").agg(r(F.min("sep"), 8).alias("sep"), F.min(F.struct("sep", "step"))["step"].alias("step"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vesperflow.session import scratch_path
 
@@ -51,7 +52,7 @@ def guide(frames: DataFrame, session: str, ts: str, error: str, aggressiveness:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, out, n, dropped = state.get if state.exists else (float("nan"), 0.0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("t")
+        rows = pd.concat(list(batches)).sort_values(["t", "e"], kind="stable")
         for t, e in zip(rows["t"], rows["e"], strict=True):
             if last == last and t - last > gap:
                 dropped += int((t - last) // gap)
@@ -65,17 +66,28 @@ def guide(frames: DataFrame, session: str, ts: str, error: str, aggressiveness:
     return d.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, n long, dropped long, output double", _STATE, "update", "NoTimeout")
 
 
-def settle(stream: DataFrame, mode: str, name: str = "result") -> DataFrame:
-    """Run a streaming query over all that is there now and return what its last batch (or all, appended) left."""
-    spark = stream.sparkSession
+def settle(stream: DataFrame, mode: str, name: str = "result", keys: list[str] | None = None) -> DataFrame:
+    """Run a streaming query over all that is there now and return what it leaves.
+
+    Appended rows of all batches; the last batch of a complete result; of an updated one the last row of each of
+    `keys`, the first column unless given. A batch writes a folder of its own, and writes it again if it runs again.
+    """
+    spark, keys = stream.sparkSession, keys or stream.columns[:1]
     out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    last: list[int] = []
 
     def write(df: DataFrame, batch: int) -> None:
-        if mode == "append":
-            df.write.mode("append").parquet(out)
-        elif not df.isEmpty():
-            df.write.mode("overwrite").parquet(out)
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        last[:] = [batch]
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[0]}")
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", out).parquet(out)
+    if mode == "append":
+        return rows.select(*stream.columns)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in keys and c != "batch")), "batch").alias("_s"))
+    return newest.select(*keys, "_s.*").select(*stream.columns)
