@@ -73,3 +73,22 @@ def test_many_small_shards(spark, tmp_path):
     got = sorted(t.read_shards(spark, path, made).collect(), key=lambda r: r.doc_id)
     assert [r.doc_id for r in got] == list(range(200))
     assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])])[:-1].tolist()
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import pyarrow as pa
+
+    assert t.parts_at_words(open(PATH, "rb").read())
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    blob, tok = open(other, "rb").read(), Tokenizer.from_file(other)
+    enc = t.WordEncoder(blob)
+    assert not enc.by_word and not t.parts_at_words(b"{}") and not t.parts_at_words(b"no json")
+    texts = ["Two  words here", " x", "", "don't!!"]
+    ids, n = enc.encode(pa.array(texts))
+    for x, p in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert p.tolist() == tok.encode(x, add_special_tokens=False).ids
+
+
+def test_ids_that_are_no_numbers_raise(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        t.round_trip(spark.createDataFrame([("x1", "a")], "doc_id string, text string"), PATH)

@@ -150,19 +150,24 @@ def _stars(codes: np.ndarray, order: tuple[int, ...], equal: int) -> tuple[np.nd
     """(member, first member) of each group of linked codes, the first itself left out."""
     index = GrayIndex(_permute(codes, order))
     label = np.arange(len(codes))
-    us, vs = [], []
-    for q, at in index.search(index.codes, RADIUS, equal):
-        us.append(q[at > q])
-        vs.append(at[at > q])
-    u, v = np.concatenate(us), np.concatenate(vs)
-    while len(u):
-        low = np.minimum(label[u], label[v])
-        before = label.copy()
-        np.minimum.at(label, u, low)
-        np.minimum.at(label, v, low)
-        label = label[label]
-        if (before == label).all():
-            break
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        r = label[x]
+        while len(moved := np.flatnonzero(label[r] != r)):
+            r[moved] = label[r[moved]]
+        label[x] = r
+        return r
+
+    for q, at in index.search(index.codes, RADIUS, equal):  # folded step by step: pairs are not kept
+        u, v = roots(q[at > q]), roots(at[at > q])
+        while len(u):
+            low, high = np.minimum(u, v), np.maximum(u, v)
+            apart = low < high
+            low, high = low[apart], high[apart]
+            np.minimum.at(label, high, low)  # a root joins the smallest it is linked to; its other links go on from there
+            u, v = roots(low), roots(high)
+            u, v = u[u != v], v[u != v]
+    label = roots(np.arange(len(codes)))
     own = codes[index.order]
     moved = label != np.arange(len(codes))
     return own[moved], own[label[moved]]

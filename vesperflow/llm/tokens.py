@@ -12,6 +12,7 @@ rest. Documents are dealt to shards by range of their id; file names sort like t
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -38,6 +39,8 @@ SHARD_IDS = 1 << 26
 _FOOT = struct.Struct("<QQQQ8s")
 #: Distinct words whose ids a worker keeps; a cache only, what is not in it is encoded again.
 CACHE = 3 << 17
+#: The one pattern of matches that is known to part at words.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
@@ -143,13 +146,37 @@ class Reader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    """The normaliser's or pre-tokenizer's steps, sequences opened."""
+    return [] if part is None else [x for p in part[inner] for x in _steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+
+def parts_at_words(vocabulary: bytes) -> bool:
+    """Whether a tokenizer's ids of a text are those of its white-space separated words, one after another, and those
+    of a word of letters with a tail of punctuation the letters' and the tail's: it lowers, it keeps only matches of a
+    pattern that has no white space and parts letters from other signs, and its merges end with the match.
+
+    What is not known to do so does not: then whole texts are encoded.
+    """
+    try:
+        j = json.loads(vocabulary)
+        norm, pre = _steps(j.get("normalizer"), "normalizers"), _steps(j.get("pre_tokenizer"), "pretokenizers")
+        return (
+            j["model"]["type"] == "BPE" and j["model"].get("end_of_word_suffix") == "</w>" and not j["model"].get("dropout")
+            and [x["type"] for x in norm] in (["NFC", "Replace", "Lowercase"], ["NFC", "Lowercase"], ["Lowercase"]) and all(x["pattern"] == {"Regex": r"\s+"} for x in norm if x["type"] == "Replace")
+            and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": _PATTERN} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+            and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"] and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in j["added_tokens"])
+        )
+    except (ValueError, KeyError, TypeError):
+        return False
+
+
 class WordEncoder:
     """Ids of texts, as the tokenizer gives for each whole text.
 
-    For tokenizers that drop white space, lower letters and mark word ends, a text's ids are those of its white-space
-    separated words one after another, and those of a word of plain letters and a tail of ASCII punctuation are the
-    letters' and then the tail's. Each distinct part is encoded once, plain letters many at a time in one string that
-    is cut after the ids of word ends; other words go to the library one by one. With by_word off, whole texts do.
+    For tokenizers of which `parts_at_words` holds, each distinct part is encoded once, plain letters many at a time in
+    one string that is cut after the ids of word ends; other words go to the library one by one. Of other tokenizers,
+    and with by_word off, whole texts do.
     """
 
     def __init__(self, vocabulary: bytes, by_word: bool = True):
@@ -157,7 +184,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_buffer(vocabulary)
-        self.by_word = by_word
+        self.by_word = by_word and parts_at_words(vocabulary)
         ends = {i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t.endswith("</w>")}
         self.ends = np.zeros(max(ends, default=0) + 1, bool)
         self.ends[list(ends)] = True
@@ -244,8 +271,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     Returns (file name, documents, ids) of the shards in id order (null ids first; equal ids by their text). A task
     writes under a name of its attempt and renames when whole, and its content depends on its rows only, so a lost
-    executor's task can run again.
+    executor's task can run again. Ids are whole numbers (the format has 64 bits for them); others raise a TypeError.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"ids are to be whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
     base, blob = path.rstrip("/"), Path(tokenizer).read_bytes()
     bits = bits_for(max(WordEncoder(blob).tok.get_vocab_size(with_added_tokens=True), end_id + 1))
     shared = docs.sparkSession.sparkContext.broadcast(blob)  # the vocabulary, a few MB whatever the corpus
