@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -45,9 +46,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; a temporary one only where that is unset."""
+    """The folder all executors share: `spark.checkpoint.dir`. Where that is unset, a temporary one if the driver runs all tasks itself; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='vesperflow-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named
