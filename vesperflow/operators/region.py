@@ -49,6 +49,11 @@ class Box:
     def exact(self, ra="ra", dec="decl") -> Column:
         return self.coarse(ra, dec)
 
+    def sql(self, ra: str = "ra", dec: str = "decl", degrees: bool = False) -> str:
+        """The box as SQL text for a remote catalogue."""
+        k = 180 / math.pi if degrees else 1.0
+        return " OR ".join(f"({ra} >= {a * k!r} AND {ra} <= {b * k!r} AND {dec} >= {lo * k!r} AND {dec} <= {hi * k!r})" for a, b, lo, hi in self.parts())
+
 
 @dataclass(frozen=True)
 class Cone:

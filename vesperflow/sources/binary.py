@@ -11,14 +11,16 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAS = math.pi / 648000000
+TAU = 2 * math.pi
 
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -39,6 +41,15 @@ def _decode(df: DataFrame, decode, schema: str, rows: int = 1 << 16) -> DataFram
     return df.mapInPandas(run, schema)
 
 
+def _encode(df: DataFrame, by: str, encode, name: str) -> DataFrame:
+    """(name, content) of one file for each value of `by`: `encode(rows)` gives a group's bytes, `name` formats its key."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"name": [name.format(p[by].iloc[0])], "content": [encode(p)]})
+
+    return df.groupBy(by).applyInPandas(run, "name string, content binary")
+
+
 # ---- UCAC4 zones: 78-byte little-endian records, the zone in the file's name ---------------------------------------
 
 UCAC4 = np.dtype(
@@ -65,6 +76,25 @@ def read_ucac4(spark: SparkSession, path: str) -> DataFrame:
     return _decode(files(spark, path, "z*"), decode_ucac4, "zone int, record int, ra double, decl double, mag double, pm_ra double, pm_dec double, object_type int")
 
 
+def encode_ucac4(stars: DataFrame) -> DataFrame:
+    """(name, content) of the zone files of stars (zone, record, ra, decl, mag), angles to a milliarcsecond, magnitudes to 0.001."""
+
+    def encode(p: pd.DataFrame) -> bytes:
+        p = p.sort_values("record")
+        a = np.zeros(len(p), UCAC4)
+        a["ra"], a["spd"] = np.floor(p["ra"].to_numpy() / MAS + 0.5), np.floor((p["decl"].to_numpy() + math.pi / 2) / MAS + 0.5)
+        a["aperture_mag"] = np.where(p["mag"].isna(), 20000, np.floor(p["mag"].fillna(0).to_numpy() * 1000 + 0.5))
+        a["model_mag"], a["pm_ra"], a["pm_dec"] = 20000, 32767, 32767
+        return a.tobytes()
+
+    return _encode(stars, "zone", encode, "z{:03d}")
+
+
+def lookup(records: DataFrame, zone: int, record: int) -> DataFrame:
+    """A catalogue's record by zone (or area) and number; no row where there is none. Partitions by zone prune the scan."""
+    return records.where((F.col(records.columns[0]) == zone) & (F.col("record") == record))
+
+
 # ---- SAO binary: a 28-byte header names the record layout ----------------------------------------------------------
 
 
@@ -92,6 +122,19 @@ def read_sao(spark: SparkSession, path: str) -> DataFrame:
     return _decode(files(spark, path), decode_sao, "id long, ra double, decl double, mag double, pm_ra double, pm_dec double, sp_type string, epoch_system string")
 
 
+def encode_sao(stars: DataFrame, by: str, big_endian: bool = False) -> DataFrame:
+    """(name, content) of one file for each `by`: stars (id, ra, decl, mag, sp_type) as J2000 records, ids in order."""
+    e = ">" if big_endian else "<"
+
+    def encode(p: pd.DataFrame) -> bytes:
+        p = p.sort_values("id")
+        a = np.zeros(len(p), np.dtype([("id", f"{e}f4"), ("ra", f"{e}f8"), ("decl", f"{e}f8"), ("type", "S2"), ("mag0", f"{e}i2")]))
+        a["id"], a["ra"], a["decl"], a["type"], a["mag0"] = p["id"], p["ra"], p["decl"], [t.encode() for t in p["sp_type"]], np.floor(p["mag"] * 100 + 0.5)
+        return struct.pack(f"{e}7i", 0, 1, -len(p), 1, 0, 1, a.itemsize) + a.tobytes()
+
+    return _encode(stars, by, encode, "sao{}.bin")
+
+
 # ---- tiled star archives: 110-byte header, 5 to 11 byte records in sections of one magnitude ------------------------
 
 
@@ -100,7 +143,7 @@ def decode_tile(path: str, content: bytes) -> pd.DataFrame:
 
     Sizes 5 and 6 keep the high declination byte in the section's record too; 6 and more also have a colour byte.
     """
-    size, area = content[109], int(re.search(r"(\d+)", path.rsplit("/", 1)[-1].split("_")[-1])[1])
+    size, area = 11 if content[109] == 32 else content[109], int(re.search(r"(\d+)", path.rsplit("/", 1)[-1].split("_")[-1])[1])
     a = np.frombuffer(content, np.uint8, (len(content) - 110) // size * size, 110).reshape(-1, size).astype(np.int64)
     skip = {5: 0, 6: 0, 7: 0, 9: 0, 10: 4, 11: 4}[size]
     short = size in (5, 6)
@@ -123,8 +166,129 @@ def decode_tile(path: str, content: bytes) -> pd.DataFrame:
     return out[ok]
 
 
-def read_tiles(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    return _decode(files(spark, path, glob), decode_tile, "area int, record long, ra double, decl double, mag double, colour double")
+def read_tiles(spark: SparkSession, path: str, glob: str | None = None, tiling: Tiling | None = None) -> DataFrame:
+    """(area, record, ra, decl, mag, colour) of a tiled archive. area is the file's number as its name has it (band and
+    cell), or, with a tiling, the area's own."""
+    t = _decode(files(spark, path, glob), decode_tile, "area int, record long, ra double, decl double, mag double, colour double")
+    if tiling is None:
+        return t
+    numbers = F.create_map(*(F.lit(x) for k, name, *_ in tiling.areas() for x in (int(name[:4]), k)))
+    return t.withColumn("area", F.element_at(numbers, F.col("area")))
+
+
+def encode_tiles(stars: DataFrame, tiling: Tiling) -> DataFrame:
+    """(name, content) of 5-byte tiles of stars (ra, decl, mag), in sections of one magnitude and high declination byte."""
+    names = {k: name for k, name, *_ in tiling.areas()}
+
+    def encode(p: pd.DataFrame) -> bytes:
+        ra = np.floor(p["ra"].to_numpy() / (2 * math.pi) * (256**3 - 1) + 0.5).astype(np.int64) % (256**3 - 1)
+        dec = np.floor(p["decl"].to_numpy() / (math.pi / 2) * (128 * 65536 - 1) + 0.5).astype(np.int64)
+        mag, high = np.floor(p["mag"].to_numpy() * 10 + 0.5).astype(np.int64), dec >> 16
+        out, last = [], None
+        for i in np.lexsort((dec, ra, high, mag)):
+            if (mag[i], high[i]) != last:
+                last = (mag[i], high[i])
+                out.append(bytes([255, 255, 255, int(high[i]) + 128, int(mag[i]) + 16]))
+            out.append(struct.pack("<I", int(ra[i]))[:3] + struct.pack("<H", int(dec[i]) & 0xFFFF))
+        return "Epoch=2000.0".ljust(109).encode() + bytes([5]) + b"".join(out)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"name": [f"t_{names[int(p['area'].iloc[0])]}"], "content": [encode(p)]})
+
+    return stars.withColumn("area", tiling.area_of("ra", "decl")).groupBy("area").applyInPandas(run, "name string, content binary")
+
+
+def tile_header(content) -> Column:
+    """(epoch, size) of a tile's 110-byte header: its Epoch= tag, 2000 without one, and the bytes of a record."""
+    text = F.decode(F.substring(content, 1, 109), "ISO-8859-1")
+    epoch = F.regexp_extract(text, r"Epoch=\s*([0-9.]+)", 1).try_cast("double")
+    return F.struct(F.coalesce(epoch, F.lit(2000.0)).alias("epoch"), F.conv(F.hex(F.substring(content, 110, 1)), 16, 10).cast("int").alias("size"))
+
+
+def decode_designation(value) -> Column:
+    """(catalogue, region, star, component) of a packed designation: UCAC4 zone and record, or, where it is negative,
+    Tycho region, star and component. The bits are the format's."""
+    v = value if isinstance(value, Column) else F.col(value)
+    u = -v
+    bits = lambda x, shift, mask: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask)).cast("int")
+    ucac = F.struct(F.lit("UCAC4").alias("catalogue"), bits(v, 20, 0xFFF).alias("region"), bits(v, 0, 0xFFFFF).alias("star"), F.lit(None).cast("int").alias("component"))
+    component = F.when(bits(u, 15, 1) == 1, 3).when(bits(u, 30, 1) == 1, 2).otherwise(1)
+    tycho = F.struct(F.lit("TYC").alias("catalogue"), bits(u, 16, 0x3FFF).alias("region"), bits(u, 0, 0x7FFF).alias("star"), component.alias("component"))
+    return F.when(v >= 0, ucac).when(v < 0, tycho)
+
+
+@dataclass(frozen=True)
+class Tiling:
+    """A sky cut into bands of declination from south to north, each into so many equal cells from RA 0; areas count
+    from 1. cells: of each band; edges: the declinations between the bands."""
+
+    cells: tuple[int, ...]
+    edges: tuple[float, ...]
+    suffix: str
+
+    def areas(self) -> list[tuple[int, str, float, float, float, float]]:
+        """(area, file, ra_min, ra_max, dec_min, dec_max) of every cell."""
+        bounds, out = (-math.pi / 2, *self.edges, math.pi / 2), []
+        for band, n in enumerate(self.cells):
+            for k in range(n):
+                out.append((len(out) + 1, f"{band + 1:02d}{k + 1:02d}{self.suffix}", TAU * k / n, TAU * (k + 1) / n, bounds[band], bounds[band + 1]))
+        return out
+
+    def _band(self, dec: Column) -> dict[str, Column]:
+        at = F.size(F.filter(F.array(*map(F.lit, self.edges)), lambda e: e < dec))
+        get = lambda xs: F.get(F.array(*map(F.lit, xs)), at)
+        bounds = (-math.pi / 2, *self.edges, math.pi / 2)
+        return {"n": get(self.cells), "before": get([sum(self.cells[:i]) for i in range(len(self.cells))]), "south": get(bounds[:-1]), "north": get(bounds[1:])}
+
+    def area_of(self, ra, dec) -> Column:
+        """The area that a direction falls into."""
+        a, d = (F.col(x) if isinstance(x, str) else x for x in (ra, dec))
+        b = self._band(d)
+        return (b["before"] + F.least(F.floor(F.pmod(a, F.lit(TAU)) / TAU * b["n"]), b["n"] - 1) + 1).cast("int")
+
+    def touched(self, boxes: list[tuple[float, float, float, float]]) -> list[int]:
+        """The areas whose bounds meet any of some boxes (ra_min, ra_max, dec_min, dec_max)."""
+        return [k for k, _, a0, a1, d0, d1 in self.areas() if any(a1 >= b0 and a0 <= b1 and d1 >= c0 and d0 <= c1 for b0, b1, c0, c1 in boxes)]
+
+    def overlapping(self, points: DataFrame, radius: float, ra: str = "ra", dec: str = "decl", least: float = 0.01) -> DataFrame:
+        """`points` with (area, share): the one to four areas that a square field of half side `radius` lies on.
+
+        Each corner's area has the part of the field between the corner and the area's edges; shares of one area add up to
+        1 at most, and corners of under `least` are left out.
+        """
+        turn, side = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (1, -1) for i in (1, -1))), 2 * radius
+        p = points.withColumn("_k", F.explode(turn)).withColumn("_d", F.col(dec) + F.col("_k.j") * radius)
+        flat = F.abs(F.cos("_d")) < 1e-12
+        p = p.withColumn("_a", F.pmod(F.col(ra) + F.col("_k.i") * F.when(flat, 0.0).otherwise(F.lit(radius) / F.cos("_d")), F.lit(TAU)))
+        b = self._band(F.greatest(F.lit(-math.pi / 2), F.least(F.lit(math.pi / 2), F.col("_d"))))
+        p = p.withColumns({f"_{k}": v for k, v in b.items()})
+        cell = F.col("_a") * F.col("_n") / TAU
+        width = F.cos("_d") * TAU / F.col("_n")
+        beyond = F.abs("_d") >= math.pi / 2
+        inside = cell - F.floor(cell)
+        space_a = F.when((F.col("_n") == 1) | beyond, TAU).otherwise(width * F.when(F.col("_k.i") == 1, inside).otherwise(F.lit(1.0) - inside))
+        space_d = F.when(beyond, F.col("_north") - F.col("_south")).when(F.col("_k.j") == 1, F.col("_d") - F.col("_south")).otherwise(F.col("_north") - F.col("_d"))
+        share = F.least(space_a, F.lit(side)) * F.least(space_d, F.lit(side)) / side**2
+        area = (F.col("_before") + F.least(F.floor(cell), F.col("_n") - 1) + 1).cast("int")
+        p = p.withColumn("area", area).withColumn("share", share).where(F.col("share") >= least)
+        return p.groupBy(*points.columns, "area").agg(F.least(F.lit(1.0), F.sum("share")).alias("share"))
+
+
+#: Fixed values of the two archives in use: cells of each band, and the first one's band edges.
+CELLS_290 = (1, 4, 8, 12, 16, 20, 24, 28, 32, 32, 28, 24, 20, 16, 12, 8, 4, 1)
+EDGES_290 = (-1.4875825298262766, -1.3205739884259363, -1.151794878239301, -0.9799125667090463, -0.8034034496024828, -0.6203423859368793, -0.4281907604698024, -0.2233034646423629, 0.0, 0.2233034646423629, 0.4281907604698024, 0.6203423859368793, 0.8034034496024828, 0.9799125667090463, 1.151794878239301, 1.3205739884259363, 1.4875825298262766)
+CELLS_1476 = (1, 3, 9, 15, 21, 27, 33, 38, 43, 48, 52, 56, 60, 63, 65, 67, 68, 69, 69, 68, 67, 65, 63, 60, 56, 52, 48, 43, 38, 33, 27, 21, 15, 9, 3, 1)
+TILING_290 = Tiling(CELLS_290, EDGES_290, ".290")
+#: Its bands are 36 / 7 degrees high, those at the poles half as much.
+TILING_1476 = Tiling(CELLS_1476, tuple((math.radians(36 / 7 * (i - 17)) for i in range(35))), ".1476")
+
+
+def query_tiles(spark: SparkSession, path: str, tiling: Tiling, region) -> DataFrame:
+    """The stars of a tiled archive that lie in a region, brightest first: only the files of touched areas are read."""
+    names = {k: name for k, name, *_ in tiling.areas()}
+    touched = tiling.touched((region.box() if hasattr(region, "box") else region).parts())
+    found = read_tiles(spark, path, "*{%s}" % ",".join(names[k] for k in touched), tiling)
+    return found.where(region.coarse() & region.exact()).orderBy("mag", "area", "ra")
 
 
 # ---- FITS -----------------------------------------------------------------------------------------------------------
@@ -207,6 +371,21 @@ def encode_fits(planes: np.ndarray, bitpix: int = -32, extra: dict | None = None
     return head.encode("ascii") + data + b"\0" * (-len(data) % 2880)
 
 
+def images_of(pixels: DataFrame, by: str, encode=None, suffix: str = "fits") -> DataFrame:
+    """(name, content) of an image file for each `by`, from pixels (by, x, y, c, value): `encode(planes)` gives the bytes.
+
+    A pixel that is not there is 0. Write them with `bytes.write_files`.
+    """
+    encode = encode or (lambda planes: encode_fits(planes, -64))
+
+    def make(p: pd.DataFrame) -> bytes:
+        planes = np.zeros((int(p["c"].max()) + 1, int(p["y"].max()) + 1, int(p["x"].max()) + 1))
+        planes[p["c"], p["y"], p["x"]] = p["value"]
+        return encode(planes)
+
+    return _encode(pixels, by, make, f"image{{}}.{suffix}")
+
+
 # ---- DAF / SPK ------------------------------------------------------------------------------------------------------
 
 
@@ -282,6 +461,30 @@ def crc(data: bytes, width: int, poly: int, init: int, reflect_in: bool, reflect
     return reg ^ xor
 
 
+def _crc_table(width: int, poly: int, reflect: bool) -> list[int]:
+    """What each byte does to a register whose low (reflected) or high bits it meets."""
+    out = []
+    for b in range(256):
+        reg = int(f"{b:08b}"[::-1], 2) if reflect else b
+        reg <<= width - 8
+        for _ in range(8):
+            reg = ((reg << 1) ^ (poly if reg >> (width - 1) & 1 else 0)) & ((1 << width) - 1)
+        out.append(int(f"{reg:0{width}b}"[::-1], 2) if reflect else reg)
+    return out
+
+
+def crc_by_table(data: bytes, width: int, poly: int, init: int, reflect_in: bool, reflect_out: bool, xor: int) -> int:
+    """As `crc`, a byte at a time; for widths of 8 and more whose two reflections agree."""
+    if width < 8 or reflect_in != reflect_out:
+        return crc(data, width, poly, init, reflect_in, reflect_out, xor)
+    table, mask = _TABLES.setdefault((width, poly, reflect_in), _crc_table(width, poly, reflect_in)), (1 << width) - 1
+    reg = int(f"{init:0{width}b}"[::-1], 2) if reflect_in else init
+    for b in data:
+        reg = (reg >> 8) ^ table[(reg ^ b) & 255] if reflect_in else ((reg << 8) & mask) ^ table[(reg >> (width - 8)) ^ b]
+    return reg ^ xor
+
+
+_TABLES: dict[tuple, list[int]] = {}
 #: Parameters of common checksums: width, polynomial, start, reflected in, reflected out, final xor.
 CRCS = {"CRC-16/ARC": (16, 0x8005, 0, True, True, 0), "CRC-16/CCITT-FALSE": (16, 0x1021, 0xFFFF, False, False, 0), "CRC-16/MODBUS": (16, 0x8005, 0xFFFF, True, True, 0), "CRC-8": (8, 0x07, 0, False, False, 0), "CRC-32": (32, 0x04C11DB7, 0xFFFFFFFF, True, True, 0xFFFFFFFF)}
 
@@ -294,7 +497,7 @@ def crc_column(data, name: str):
 
     @F.pandas_udf("long")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: None if b is None else crc(bytes(b), *p))
+        return s.map(lambda b: None if b is None else crc_by_table(bytes(b), *p))
 
     return f(data)
 
@@ -400,6 +603,26 @@ def rice_encode(values: np.ndarray, size: int = 2, block: int = 32) -> bytes:
     return int(s + "0" * (-len(s) % 8), 2).to_bytes((len(s) + 7) // 8, "big")
 
 
+def rice_column(values, size: int = 2) -> Column:
+    """Rice code of a column of integer arrays, as bytes; null stays null."""
+
+    @F.pandas_udf("binary")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else rice_encode(np.asarray(v, np.int64), size))
+
+    return f(values)
+
+
+def unrice_column(data, n, size: int = 2) -> Column:
+    """The first n integers of Rice coded bytes."""
+
+    @F.pandas_udf("array<long>")
+    def f(s: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else rice_decode(bytes(b), int(m), size).tolist() for b, m in zip(s, k, strict=True)])
+
+    return f(data, n)
+
+
 def rice_decode(data: bytes, n: int, size: int = 2, block: int = 32) -> np.ndarray:
     head, most = _RICE[size]
     bits, mask = size * 8, (1 << size * 8) - 1

@@ -10,14 +10,22 @@ from pyspark.sql import functions as F
 DEG = math.pi / 180
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", quote: str | None = '"', comment: str = "#", header: bool = True, trim: bool = True, schema: str | None = None) -> DataFrame:
-    """CSV or TSV as strings (or a schema): quotes doubled inside quotes, newlines within them, comments and blank lines skipped."""
-    r = spark.read.option("sep", delimiter).option("quote", quote or "").option("escape", quote or "\\").option("comment", comment).option("header", header).option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", quote: str | None = '"', comment: str = "#", header: bool = True, trim: bool = True, schema: str | None = None, stream: bool = False) -> DataFrame:
+    """CSV or TSV as strings (or a schema): quotes doubled inside quotes, newlines within them, comments and blank lines
+    skipped. A stream, which needs a schema, takes files as they come."""
+    r = (spark.readStream if stream else spark.read).option("sep", delimiter).option("quote", quote or "").option("escape", quote or "\\").option("comment", comment).option("header", header).option("multiLine", True)
     r = r.option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).option("mode", "PERMISSIVE")
     df = (r.schema(schema) if schema else r).csv(path)
     return df.select(*(F.trim(c).alias(c) if trim and t == "string" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
+def parse_line(line, schema: str, delimiter: str = ",", quote: str = '"', force_trim: bool = False) -> Column:
+    """A line's fields as a struct of text columns; padding within quotes stays unless `force_trim`."""
+    names = [x.strip().split()[0] for x in schema.split(",")]
+    row = F.from_csv(line, schema, {"sep": delimiter, "quote": quote, "escape": quote, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    return F.struct(*(F.trim(row[n]).alias(n) for n in names)) if force_trim else row
+
+
 def read_lines(spark: SparkSession, path: str, trim: bool = True, keep_empty: bool = False) -> DataFrame:
     df = spark.read.text(path)
     df = df.select(F.trim("value").alias("value")) if trim else df
@@ -143,3 +151,33 @@ def star_catalogue(df: DataFrame) -> DataFrame:
     pm_ra = F.when(F.abs(F.cos(dec)) > 1e-9, F.col("pmra").try_cast("double") * mas / F.cos(dec)).otherwise(0.0)
     ints = [F.col(c).try_cast("int").alias(c) for c in ("id", "hip", "hd", "hr") if c in df.columns]
     return df.select(*ints, ra.alias("ra"), dec.alias("decl"), pm_ra.alias("pm_ra"), (F.col("pmdec").try_cast("double") * mas).alias("pm_dec"), F.col("rv").try_cast("double").alias("rv"), F.col("mag").try_cast("double").alias("mag"), F.col("dist").try_cast("double").alias("distance"), F.lit(2000.0).alias("epoch"))
+
+
+def mean_elements(df: DataFrame, json: str = "value") -> DataFrame:
+    """Orbit mean-elements messages in JSON as the columns that `two_line_elements` gives."""
+    m = F.from_json(F.col(json), "NORAD_CAT_ID string, EPOCH string, BSTAR string, INCLINATION string, RA_OF_ASC_NODE string, ECCENTRICITY string, ARG_OF_PERICENTER string, MEAN_ANOMALY string, MEAN_MOTION string")
+    num = lambda n: F.col(f"_m.{n}").try_cast("double")
+    return df.withColumn("_m", m).select(
+        *df.columns, F.col("_m.NORAD_CAT_ID").try_cast("int").alias("satellite"), F.col("_m.EPOCH").try_cast("timestamp_ntz").alias("epoch"), num("BSTAR").alias("bstar"), *((num(n) * DEG).alias(a) for n, a in (("INCLINATION", "inclination"), ("RA_OF_ASC_NODE", "node"))),
+        num("ECCENTRICITY").alias("eccentricity"), *((num(n) * DEG).alias(a) for n, a in (("ARG_OF_PERICENTER", "argument"), ("MEAN_ANOMALY", "mean_anomaly"))), (num("MEAN_MOTION") * (2 * math.pi / 1440)).alias("mean_motion"),
+    )
+
+
+def canonical_designation(value) -> Column:
+    """A designation in capitals with single blanks and none at its ends."""
+    return F.upper(F.regexp_replace(F.trim(value), r"\s+", " "))
+
+
+def designation_kind(value) -> Column:
+    """numbered, provisional, comet, survey or name, by the shape of a canonical designation."""
+    d = canonical_designation(value)
+    return (
+        F.when(d.rlike(r"^\(?\d+\)?$"), "numbered").when(d.rlike(r"^\d+[PDI](-[A-Z]+)?$|^[PCDXAI]/\d{4} [A-Z]\d+(-[A-Z]+)?$"), "comet")
+        .when(d.rlike(r"^\d{4} (P-L|T-[123])$"), "survey").when(d.rlike(r"^\d{4} [A-Z]{2}\d*$"), "provisional").otherwise("name")
+    )
+
+
+def fragment_of(candidate, parent) -> Column:
+    """Whether a designation names a fragment of another: the parent's, a hyphen, and letters."""
+    c, p = canonical_designation(candidate), canonical_designation(parent)
+    return c.startswith(F.concat(p, F.lit("-"))) & F.substr(c, F.char_length(p) + 2).rlike("^[A-Z]+[0-9]*$")
