@@ -99,15 +99,45 @@ def reach(nside: int) -> float:
     return min(math.pi, 1.6 / nside)
 
 
-def cone_cover(a: float, d: float, radius: float, nside: int) -> list[int]:
-    """NESTED pixels that may touch a cone, by refining those whose parents may; none that touches is left out."""
-    v = np.array([math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d)])
+def _cover(nside: int, touches) -> list[int]:
+    """NESTED pixels that may touch a region, by refining those whose parents may. `touches(u, reach)` says of centres as
+    unit vectors whether a pixel of that reach may."""
     pixels, n = np.arange(12), 1
     while True:
         lon, lat = nested_centre(pixels, n)
         u = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
-        pixels = pixels[np.arccos(np.clip(u @ v, -1, 1)) <= radius + reach(n)]
+        pixels = pixels[touches(u, reach(n))]
         if n == nside:
             return pixels.tolist()
         n *= 2
         pixels = (pixels[:, None] * 4 + np.arange(4)).ravel()
+
+
+def polygon_cover(normals, nside: int) -> list[int]:
+    """Pixels that may touch a convex spherical polygon, given by the inward normals of its sides."""
+    m = np.asarray(normals, float)
+    m = m / np.linalg.norm(m, axis=1)[:, None]
+    return _cover(nside, lambda u, r: (np.arcsin(np.clip(u @ m.T, -1, 1)) >= -r).all(1))
+
+
+def box_cover(parts: list[tuple[float, float, float, float]], nside: int) -> list[int]:
+    """Pixels that may touch any of some boxes (ra_min, ra_max, dec_min, dec_max) that do not cross RA 0."""
+
+    def touches(u: np.ndarray, r: float) -> np.ndarray:
+        lat, lon = np.arcsin(np.clip(u[:, 2], -1, 1)), np.arctan2(u[:, 1], u[:, 0]) % (2 * math.pi)
+        out = np.zeros(len(u), bool)
+        for a0, a1, d0, d1 in parts:
+            rows = (lat >= d0 - r) & (lat <= d1 + r)
+            near_pole = np.minimum(np.abs(lat) + r, math.pi / 2)
+            wide = np.where(near_pole >= math.pi / 2 - 1e-9, math.pi, np.arcsin(np.minimum(1.0, np.sin(min(r, math.pi / 2)) / np.maximum(np.cos(np.abs(lat)), 1e-12))))
+            mid, half = (a0 + a1) / 2, (a1 - a0) / 2
+            out |= rows & (np.abs((lon - mid + math.pi) % (2 * math.pi) - math.pi) <= half + wide)
+        return out
+
+    return _cover(nside, touches)
+
+
+def cone_cover(a: float, d: float, radius: float, nside: int) -> list[int]:
+    """NESTED pixels that may touch a cone, by refining those whose parents may; none that touches is left out."""
+    v = np.array([math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d)])
+    return _cover(nside, lambda u, r: np.arccos(np.clip(u @ v, -1, 1)) <= radius + r)

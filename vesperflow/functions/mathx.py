@@ -130,3 +130,68 @@ def require_range(v, low: float, high: float) -> Column:
 
 def require_positive(v) -> Column:
     return require(finite(v).isNotNull() & (col(v) > 0), v, "value must be positive")
+
+
+# ---- arrays ----------------------------------------------------------------------------------------------------------
+
+
+def is_number_array(df, column: str) -> bool:
+    """Whether a column holds arrays of numbers."""
+    from pyspark.sql import types as T
+
+    t = df.schema[column].dataType
+    return isinstance(t, T.ArrayType) and isinstance(t.elementType, T.NumericType)
+
+
+def binary_search(values, key, steps: int = 31) -> Column:
+    """The place, from 0, of a key in a sorted array without repeats; -(insertion place + 1) where it is not there.
+
+    By halving steps over the array's places, up to 2 ** steps of them.
+    """
+    a, k = col(values), col(key)
+    n = F.size(a)
+
+    def step(at: Column, by: Column) -> Column:
+        return F.when((at + by <= n) & (F.get(a, (at + by - 1).cast("int")) < k), at + by).otherwise(at)
+
+    low = F.aggregate(F.array(*(F.lit(1 << i).cast("long") for i in reversed(range(steps)))), F.lit(0).cast("long"), step)
+    return let(low, lambda i: F.when(F.get(a, i.cast("int")) == k, i).otherwise(-(i + 1)))
+
+
+def dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def cross(a, b) -> Column:
+    a, b = col(a), col(b)
+    return F.array(*(a[i] * b[j] - a[j] * b[i] for i, j in ((1, 2), (2, 0), (0, 1))))
+
+
+def norm(a) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def angle_between(a, b) -> Column:
+    """The angle of two vectors, well behaved also where it is near 0 or pi."""
+    return F.atan2(norm(cross(a, b)), dot(a, b))
+
+
+def rotate_about(v, axis, angle) -> Column:
+    """A vector turned about a unit axis by an angle, counterclockwise seen from its tip."""
+    v, k, t = col(v), col(axis), col(angle)
+    c, s, d = F.cos(t), F.sin(t), dot(k, v)
+    x = cross(k, v)
+    return F.array(*(v[i] * c + x[i] * s + k[i] * d * (F.lit(1.0) - c) for i in range(3)))
+
+
+def solve3(m, y) -> Column:
+    """The solution of three linear equations, rows of m against y; null where they have none or many."""
+    m, y = col(m), col(y)
+    det = dot(m[0], cross(m[1], m[2]))
+    columns = [F.array(*(m[i][j] for i in range(3))) for j in range(3)]
+
+    def with_(j: int) -> Column:
+        c = [y if k == j else columns[k] for k in range(3)]
+        return dot(c[0], cross(c[1], c[2])) / det
+
+    return F.when(F.abs(det) > 1e-300, F.array(*(with_(j) for j in range(3))))

@@ -263,3 +263,40 @@ def rectangle_overlap(a: list, b: list) -> tuple:
     left, top, right, bottom = F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3])
     meets = (left <= right) & (top <= bottom)
     return tuple(F.when(meets, c) for c in (left, top, right, bottom))
+
+
+def all_pairs_of_bodies(states: DataFrame, time: str, body: str, x: str, y: str, reach: str) -> DataFrame:
+    """(time, a, b, gap): at each time all pairs of a few bodies, a before b, whose distance is less than both reaches.
+
+    Bodies are a system's few moons, so a time has few pairs; they meet by an equality of time.
+    """
+    a = states.select(time, F.col(body).alias("a"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(reach).alias("_r"))
+    b = states.select(time, F.col(body).alias("b"), F.col(x).alias("_u"), F.col(y).alias("_v"), F.col(reach).alias("_q"))
+    gap = F.sqrt(F.pow(F.col("_x") - F.col("_u"), 2) + F.pow(F.col("_y") - F.col("_v"), 2))
+    return a.join(b, time).where("a < b").withColumn("gap", gap).where(F.col("gap") < F.col("_r") + F.col("_q")).select(time, "a", "b", "gap")
+
+
+def overlap_events(near: DataFrame, keys: list[str], time: str, step) -> DataFrame:
+    """(keys, start, end, n): runs of times one step apart, as events."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    new = (F.col(time) - F.lag(time).over(w) > step) | F.lag(time).over(w).isNull()
+    runs = near.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "_run").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n")).drop("_run")
+
+
+def select_index_files(files: DataFrame, scale_low: float, scale_high: float, disc: tuple[float, float, float] | None = None) -> DataFrame:
+    """Rows (file, low, high, ra, decl, radius) of a manifest whose scales overlap and whose disc meets the one asked for."""
+    out = files.where((F.col("low") <= scale_high) & (F.col("high") >= scale_low))
+    return out if disc is None else out.where(separation("ra", "decl", F.lit(disc[0]), F.lit(disc[1])) <= F.col("radius") + disc[2])
+
+
+def history_at(points: DataFrame, history: DataFrame, by: str, time: str, values: list[str], seq: str) -> DataFrame:
+    """`points` with values of a recorded path at their time, linear between the records around it; before the first and
+    after the last null. Records of one time keep a jump: the last of them holds at and after it, the first before it."""
+    pair = history.select(F.col(by), F.col(time), F.struct(F.col(time).alias("t"), F.col(seq).alias("_q"), *(F.col(v).alias(v) for v in values)).alias("_s"))
+    before = asof(points, pair.withColumnRenamed("_s", "_a"), by, time, ["_a"])
+    both = asof(before, pair.withColumnRenamed("_s", "_b"), by, time, ["_b"], "forward")
+    a, b, t = F.col("_a"), F.col("_b"), F.col(time)
+    exact = a.isNotNull() & (a["t"] == t)
+    share = (t - a["t"]) / (b["t"] - a["t"])
+    return both.select(*points.columns, *(F.when(exact, a[v]).when(a.isNotNull() & b.isNotNull(), a[v] + (b[v] - a[v]) * share).alias(v) for v in values))

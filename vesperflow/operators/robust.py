@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,26 +16,40 @@ MAD_SCALE = 1.482602218505602
 
 
 def summary(df: DataFrame, by: list[str], x: str, key: str) -> DataFrame:
-    """n, min and max with the key of their first row, mean, median, population deviation and RMS of finite values."""
+    """n, min and max with the key of their first row, mean, median, population deviation and RMS of finite values.
+
+    All but the median are partial sums; the median is by `quantiles`.
+    """
     v = finite(F.col(x))
     at = F.when(v.isNotNull(), F.struct(v.alias("v"), F.col(key).alias("k")))
     down = F.when(v.isNotNull(), F.struct((-v).alias("v"), F.col(key).alias("k")))
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         F.count(v).alias("n"), F.min(at)["v"].alias("min"), F.min(at)["k"].alias("min_key"), (-F.min(down)["v"]).alias("max"), F.min(down)["k"].alias("max_key"),
-        F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("stddev"), F.sqrt(F.avg(v * v)).alias("rms"),
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), F.sqrt(F.avg(v * v)).alias("rms"),
     )
+    median = quantiles(df, by, x, [0.5]).withColumnRenamed("p0", "median")
+    return out.join(median, by, "left") if by else out.withColumn("median", median.select("median").scalar())
 
 
-def mad(df: DataFrame, by: list[str], x: str, normalized: bool = False) -> DataFrame:
-    """median and mad of each group: a second aggregate over deviations from the first's median."""
+def mad(df: DataFrame, by: list[str], x: str, normalized: bool = False, large: bool = False) -> DataFrame:
+    """median and mad of each group: a second aggregate over deviations from the first's median.
+
+    A group's values meet in one task, as suits frames of stars; `large` groups are cut into intervals by `quantiles`.
+    """
     d = df.withColumn("_v", finite(F.col(x)))
+    if large:
+        centre = quantiles(d, by, "_v", [0.5]).withColumnRenamed("p0", "median")
+        away = _attach(d, centre, by).withColumn("_d", F.abs(F.col("_v") - F.col("median")))
+        spread = quantiles(away, by, "_d", [0.5]).withColumnRenamed("p0", "mad")
+        out = _attach(centre, spread, by)
+        return out.withColumn("mad", F.col("mad") * MAD_SCALE) if normalized else out
     centre = d.groupBy(*by).agg(F.median("_v").alias("median"))
     out = _attach(d, centre, by).groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col("_v") - F.col("median"))).alias("mad"))
     return out.withColumn("mad", F.col("mad") * MAD_SCALE) if normalized else out
 
 
 def percentiles(df: DataFrame, by: list[str], x: str, ps: list[float]) -> DataFrame:
-    """p0, p1, ..: linear percentiles of each group."""
+    """p0, p1, ..: linear percentiles of each group, whose values meet in one task; `quantiles` is for large groups."""
     q = F.percentile(finite(F.col(x)), F.array(*map(F.lit, ps)))
     return df.groupBy(*by).agg(q.alias("_q")).select(*by, *(F.col("_q")[i].alias(f"p{i}") for i in range(len(ps))))
 
@@ -81,7 +97,7 @@ def histogram_quantile(hist: DataFrame, by: list[str], bins: int, ps: list[float
 
 def stretch_parameters(df: DataFrame, by: list[str], x: str, target: float = 0.25, shadows: float = -2.8) -> DataFrame:
     """(midtone, shadow, highlight) of a screen stretch that brings the median to a target, from median and MAD."""
-    s = mad(df, by, x, normalized=True)
+    s = mad(df, by, x, normalized=True, large=True)
     low = F.when(F.col("mad") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("median") + F.col("mad") * shadows))).otherwise(0.0)
     m = F.col("median") - low
     mid = F.when(m == 0, 0.0).when(m == target, 0.5).when(m == 1, 1.0).otherwise((target - 1) * m / ((2 * target - 1) * m - target))
@@ -208,3 +224,91 @@ def circular_mean(by_column) -> Column:
     """An aggregate: the mean direction of angles, in (-pi, pi]."""
     a = col(by_column)
     return F.atan2(F.sum(F.sin(a)), F.sum(F.cos(a)))
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, ps: list[float], cuts: int = 64) -> DataFrame:
+    """(by, p0, p1, ..): exact linear percentiles of groups of any size, without bringing a group into one task.
+
+    Approximate quantiles cut each group into some intervals; interval counts say which of them hold the ranks that are
+    asked for, and only their distinct values, counted, are put in order, an interval in one task.
+    """
+    keys = by or ["_all"]
+    d = (df if by else df.withColumn("_all", F.lit(0))).select(*keys, finite(F.col(x)).alias("_v")).where("_v IS NOT NULL")
+    edges = d.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 10 * cuts)).alias("_e"))
+    d = d.join(edges, keys).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e")
+    counts = d.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_n"))  # distinct values
+    sizes = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
+    w = Window.partitionBy(*keys)  # at most `cuts` rows a group
+    sizes = sizes.withColumn("_before", F.sum("_m").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")).withColumn("_total", F.sum("_m").over(w))
+    ranks = F.array(*(r for p in ps for h in (F.col("_total") - 1,) for r in (F.floor(h * p), F.ceil(h * p))))
+    held = sizes.withColumn("_ranks", F.filter(F.array_distinct(ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))).where(F.size("_ranks") > 0)
+    order = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    some = counts.join(held, [*keys, "_b"]).withColumn("_last", F.col("_before") + F.sum("_n").over(order))
+    hit = some.withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r < F.col("_last")) & (r >= F.col("_last") - F.col("_n")))))
+    at = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"), F.first("_total").alias("_total"))  # two entries a percentile
+
+    def value(p: float) -> Column:
+        h = (F.col("_total") - 1) * p
+        lo, hi = F.element_at("_at", F.floor(h)), F.element_at("_at", F.ceil(h))
+        return lo + (hi - lo) * (h - F.floor(h))
+
+    return at.select(*by, *(value(p).alias(f"p{i}") for i, p in enumerate(ps)))
+
+
+def approximate_median(df: DataFrame, by: list[str], x: str, error: float = 0.001) -> DataFrame:
+    """(by, median, sigma): median and scaled MAD within `error` of the ranks, from sketches of bounded size."""
+    accuracy = max(100, int(1 / error))
+    d = df.withColumn("_v", finite(F.col(x)))
+    m = d.groupBy(*by).agg(F.percentile_approx("_v", 0.5, accuracy).alias("median"))
+    s = _attach(d, m, by).groupBy(*by).agg(F.first("median").alias("median"), (F.percentile_approx(F.abs(F.col("_v") - F.col("median")), 0.5, accuracy) * MAD_SCALE).alias("sigma"))
+    return s
+
+
+def polynomial(df: DataFrame, by: list[str], x: str, y: str, degree: int, through_zero: bool = False) -> DataFrame:
+    """(by, coefficients): y = c0 + c1 x + .. by least squares, lowest power first, from power sums about the mean x
+    (about 0 without c0). Sums go through the exchange; a group's few are solved in Arrow batches."""
+    mean = df.groupBy(*by).agg(F.avg(x).alias("_m"))
+    d = _attach(df, mean, by).withColumn("_u", F.col(x) - (F.lit(0.0) if through_zero else F.col("_m")))
+    s = d.groupBy(*by).agg(F.first("_m").alias("_m"), F.array(*(F.sum(F.pow("_u", F.lit(float(k)))) for k in range(2 * degree + 1))).alias("_s"), F.array(*(F.sum(F.col(y) * F.pow("_u", F.lit(float(k)))) for k in range(degree + 1))).alias("_t"))
+    first = 1 if through_zero else 0
+
+    @F.pandas_udf("array<double>")
+    def solve(m: pd.Series, sums: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for centre, a, b in zip(m, sums, t, strict=True):
+            a, b = np.asarray(a, float), np.asarray(b, float)
+            c = np.zeros(degree + 1)
+            c[first:] = np.linalg.lstsq(np.array([[a[i + j] for j in range(first, degree + 1)] for i in range(first, degree + 1)]), b[first:], rcond=None)[0]
+            if not through_zero:  # from powers about the mean to powers of x
+                shifted = np.polynomial.Polynomial(c)(np.polynomial.Polynomial([-centre, 1.0])).coef
+                c = np.concatenate([shifted, np.zeros(degree + 1 - len(shifted))])
+            out.append(c.tolist())
+        return pd.Series(out)
+
+    return s.select(*by, solve("_m", "_s", "_t").alias("coefficients"))
+
+
+def affine(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, b, c, d, e, f): u = a x + b y + c, v = d x + e y + f of points (x, y, u, v) by least squares, from moments."""
+    m = df.groupBy(*by).agg(*(F.avg(c).alias(f"_m{c}") for c in "xyuv"))
+    c = _attach(df, m, by)
+    g = {k: F.col(k) - F.col(f"_m{k}") for k in "xyuv"}
+    s = c.groupBy(*by).agg(*(F.first(f"_m{k}").alias(f"_m{k}") for k in "xyuv"), *(F.sum(g[p] * g[q]).alias(f"_{p}{q}") for p, q in ("xx", "xy", "yy", "xu", "yu", "xv", "yv")))
+    det = F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy")
+    a, b = ((F.col("_xu") * F.col("_yy") - F.col("_yu") * F.col("_xy")) / det, (F.col("_yu") * F.col("_xx") - F.col("_xu") * F.col("_xy")) / det)
+    d, e = ((F.col("_xv") * F.col("_yy") - F.col("_yv") * F.col("_xy")) / det, (F.col("_yv") * F.col("_xx") - F.col("_xv") * F.col("_xy")) / det)
+    return s.where(det != 0).select(*by, a.alias("a"), b.alias("b"), (F.col("_mu") - a * F.col("_mx") - b * F.col("_my")).alias("c"), d.alias("d"), e.alias("e"), (F.col("_mv") - d * F.col("_mx") - e * F.col("_my")).alias("f"))
+
+
+def image_histogram(pixels: DataFrame, by: list[str], bits: int = 16, weights: dict[int, float] | None = None, roi: tuple[int, int, int, int] | None = None, mask: Column | None = None, transform=None) -> DataFrame:
+    """(by, bin, n): histogram of 2 ** bits bins of pixels (by, x, y, c, value) within a region and not masked.
+
+    weights: of the channels whose sum is a pixel's one value; transform: of that value, a function of a Column.
+    """
+    p = pixels if mask is None else pixels.where(~mask)
+    if roi:
+        p = p.where(F.col("x").between(roi[0], roi[2]) & F.col("y").between(roi[1], roi[3]))
+    if weights:
+        w = reduce(lambda e, k: e.when(F.col("c") == k, F.lit(weights[k])), list(weights)[1:], F.when(F.col("c") == list(weights)[0], F.lit(weights[list(weights)[0]])))
+        p = p.where(w.isNotNull()).groupBy(*by, "x", "y").agg(F.sum(F.col("value") * w).alias("value"))
+    return histogram(p.withColumn("value", transform(F.col("value")) if transform else F.col("value")), by, "value", 1 << bits)

@@ -124,3 +124,9 @@ def pchip_slopes(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     inner = F.when(d0 * d1 <= 0, 0.0).otherwise((w1 + w2) / (w1 / d0 + w2 / d1))
     slope = F.when(d0.isNull() & d1.isNull(), 0.0).when(d0.isNull(), end(h1, F.col("_h1"), d1, F.col("_d1"))).when(d1.isNull(), end(h0, F.col("_g"), d0, F.col("_e"))).otherwise(inner)
     return d.select(by, x, y, slope.alias("slope"))
+
+
+def last_rows(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
+    """The last n rows of each series: what a ring buffer of that size keeps."""
+    w = Window.partitionBy(by).orderBy(*(F.desc(c) for c in order))
+    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -228,3 +230,110 @@ def score_gap_cut(stars: DataFrame, by: str, score: str, most: int = 128, least:
     s = stars.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).withColumn("_drop", F.lag(score).over(w) / F.when(F.col(score) > 0, F.col(score)))
     cut = s.where((F.col("_r") > least) & (F.col("_drop") > ratio)).groupBy(by).agg(F.max(F.struct("_drop", (-F.col("_r")).alias("r")))["r"].alias("_cut"))
     return s.join(cut, by, "left").where(F.col("_cut").isNull() | (F.col("_r") < -F.col("_cut"))).drop("_r", "_drop", "_cut")
+
+
+def assign_in_order(references: DataFrame, stars: DataFrame, frame: str, key: str, order: str, radius: float) -> DataFrame:
+    """(frame, key, r_key, d2): each reference in turn takes the nearest star of its frame, within the radius, that none
+    before it took; references without one have null.
+
+    The order decides, so a frame's candidates, pairs within the radius, are walked in one task.
+    """
+    from vesperflow.operators.joins import radius_join
+
+    near = radius_join(references.select(frame, key, order, "x", "y"), stars.select(frame, key, "x", "y"), radius, frame=frame)
+    kinds = {c: references.schema[c].dataType.simpleString() for c in (frame, key)}
+
+    def walk(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values([order, key, "d2", f"r_{key}"], kind="stable")
+        taken, done, keep = set(), set(), []
+        for a, b in zip(p[key], p[f"r_{key}"], strict=True):
+            ok = a not in done and b not in taken
+            keep.append(ok)
+            if ok:
+                done.add(a)
+                taken.add(b)
+        return p.loc[keep, [frame, key, f"r_{key}", "d2"]]
+
+    got = near.groupBy(frame).applyInPandas(walk, f"{frame} {kinds[frame]}, {key} {kinds[key]}, r_{key} {kinds[key]}, d2 double")
+    return references.select(frame, key).join(got, [frame, key], "left")
+
+
+def thin_out(stars: DataFrame, frame: str, key: str, rank: list[str], distance: float) -> DataFrame:
+    """Stars none of which lies within the distance of a better one that stays: by falling `rank` columns, ties by key.
+
+    The order decides. Only stars with a neighbour within the distance are walked, a frame in one task; all others stay.
+    """
+    from vesperflow.operators.joins import radius_join
+
+    own = stars.select(frame, key, *rank, "x", "y")
+    near = radius_join(own, own.select(frame, key, "x", "y"), distance, frame=frame).where(F.col(key) != F.col(f"r_{key}"))
+    links = near.select(frame, key, *rank, F.col(f"r_{key}").alias("_o"))
+    kinds = {c: stars.schema[c].dataType.simpleString() for c in (frame, key)}
+
+    def walk(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values([*rank, key], ascending=[False] * len(rank) + [True], kind="stable")
+        kept, gone = set(), []
+        for k, others in p.groupby(key, sort=False)["_o"]:
+            if kept.isdisjoint(others):
+                kept.add(k)
+            else:
+                gone.append(k)
+        return pd.DataFrame({frame: [p[frame].iloc[0]] * len(gone), key: gone})
+
+    gone = links.groupBy(frame).applyInPandas(walk, f"{frame} {kinds[frame]}, {key} {kinds[key]}")
+    return stars.join(gone, [frame, key], "left_anti")
+
+
+def arithmetic(a: DataFrame, b: DataFrame, op: str, by: list[str] = PIXEL) -> DataFrame:
+    """Pixels of two images combined by plus, minus, times or over; they are to cover the same places, a quotient by 0 is null."""
+    x, y = F.col("value"), F.col("_b")
+    value = {"plus": x + y, "minus": x - y, "times": x * y, "over": F.when(y != 0, x / y)}[op]
+    return a.join(b.select(*by, F.col("value").alias("_b")), by).select(*by, value.alias("value"))
+
+
+def sigma_clip_mask(pixels: DataFrame, by: str = "frame", low: float = 3.0, high: float = 3.0, iterations: int = 5, centre: str = "median", spread: str = "mad") -> DataFrame:
+    """`pixels` with `rejected`: outside centre - low s to centre + high s of the frame's pixels not rejected before, again
+    and again until none is or for so many rounds. centre: mean or median; spread: std or mad, scaled.
+
+    Each round is two aggregates over bounded figures; rounds are planned at once, as there are few.
+    """
+    p = pixels.withColumn("rejected", F.lit(False))
+    for _ in range(iterations):
+        live = F.when(~F.col("rejected"), F.col("value"))
+        m = p.groupBy(by).agg((F.avg(live) if centre == "mean" else F.median(live)).alias("_m"), F.median(live).alias("_d0"), F.stddev_pop(live).alias("_s"))
+        q = p.join(m, by)
+        if spread == "mad":
+            d = q.groupBy(by).agg((F.median(F.when(~F.col("rejected"), F.abs(F.col("value") - F.col("_d0")))) * 1.482602218505602).alias("_s"))
+            q = q.drop("_s").join(d, by)
+        out = (F.col("_s") > 0) & ((F.col("value") < F.col("_m") - F.col("_s") * low) | (F.col("value") > F.col("_m") + F.col("_s") * high))
+        p = q.withColumn("rejected", F.col("rejected") | F.coalesce(out, F.lit(False))).drop("_m", "_d0", "_s")
+    return p
+
+
+def background_level(pixels: DataFrame, by: str = "frame", sigma: float = 3.0, iterations: int = 5) -> DataFrame:
+    """(by, background): the median of each frame's pixels that a clip by median and MAD leaves."""
+    p = sigma_clip_mask(pixels, by, sigma, sigma, iterations)
+    return p.groupBy(by).agg(F.median(F.when(~F.col("rejected"), F.col("value"))).alias("background"))
+
+
+def spatial_moments(pixels: DataFrame, by: str = "frame", tile: int = 8) -> DataFrame:
+    """(by, tx, ty, n, mean, variance) of each tile of frames after a high pass: a pixel less the mean of the 3 x 3 around
+    it, which reaches into the tiles beside."""
+    smooth = convolve(pixels, [[1, 1, 1]] * 3, [by]).select(by, "x", "y", F.col("value").alias("_s"))
+    d = pixels.join(smooth, [by, "x", "y"]).withColumn("_v", F.col("value") - F.col("_s"))
+    return d.groupBy(by, F.floor(F.col("x") / tile).cast("int").alias("tx"), F.floor(F.col("y") / tile).cast("int").alias("ty")).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.var_pop("_v").alias("variance"))
+
+
+def star_profiles(pixels: DataFrame, by: list[str], background: str | None = None) -> DataFrame:
+    """(by, flux, cx, cy, fwhm, eccentricity) of stars' pixels (by, x, y, value) above the background, from their moments.
+
+    Sums of value, place and products alone, so partial sums go through the exchange.
+    """
+    v = F.greatest(F.col("value") - (F.col(background) if background else F.lit(0.0)), F.lit(0.0))
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    m = pixels.groupBy(*by).agg(F.sum(v).alias("flux"), *(F.sum(v * e).alias(n) for n, e in (("_x", x), ("_y", y), ("_xx", x * x), ("_yy", y * y), ("_xy", x * y))))
+    m = m.where("flux > 0").withColumn("cx", F.col("_x") / F.col("flux")).withColumn("cy", F.col("_y") / F.col("flux"))
+    m = m.withColumns({"_sx": F.col("_xx") / F.col("flux") - F.col("cx") * F.col("cx"), "_sy": F.col("_yy") / F.col("flux") - F.col("cy") * F.col("cy"), "_sxy": F.col("_xy") / F.col("flux") - F.col("cx") * F.col("cy")})
+    half, gap = (F.col("_sx") + F.col("_sy")) / 2, F.sqrt(F.pow((F.col("_sx") - F.col("_sy")) / 2, 2) + F.col("_sxy") * F.col("_sxy"))
+    major, minor = half + gap, F.greatest(half - gap, F.lit(0.0))
+    return m.select(*by, "flux", "cx", "cy", (F.sqrt(F.greatest(half, F.lit(0.0))) * (2 * math.sqrt(2 * math.log(2)))).alias("fwhm"), F.when(major > 1e-9, F.sqrt(F.greatest(F.lit(1.0) - minor / major, F.lit(0.0)))).otherwise(0.0).alias("eccentricity"))

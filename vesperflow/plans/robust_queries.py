@@ -23,12 +23,12 @@ def robust_summary(spark, sf_dir):
 @query("""WITH m AS (SELECT o_orderpriority grp, median(o_totalprice) m FROM orders GROUP BY 1)
 SELECT grp, round(any_value(m), 4) median, round(median(abs(o_totalprice - m)) * 1.482602218505602E0, 4) mad FROM orders JOIN m ON grp = o_orderpriority GROUP BY 1""")
 def robust_mad(spark, sf_dir):
-    return robust.mad(_orders(spark, sf_dir), ["grp"], "v", normalized=True).select("grp", r("median", 4).alias("median"), r("mad", 4).alias("mad"))
+    return robust.mad(_orders(spark, sf_dir), ["grp"], "v", normalized=True, large=True).select("grp", r("median", 4).alias("median"), r("mad", 4).alias("mad"))
 
 
 @query("SELECT o_orderpriority grp, round(quantile_cont(o_totalprice, 0.1), 4) p0, round(quantile_cont(o_totalprice, 0.5), 4) p1, round(quantile_cont(o_totalprice, 0.9), 4) p2 FROM orders GROUP BY 1")
 def robust_percentile(spark, sf_dir):
-    return robust.percentiles(_orders(spark, sf_dir), ["grp"], "v", [0.1, 0.5, 0.9]).select("grp", *(r(f"p{i}", 4).alias(f"p{i}") for i in range(3)))
+    return robust.quantiles(_orders(spark, sf_dir), ["grp"], "v", [0.1, 0.5, 0.9]).select("grp", *(r(f"p{i}", 4).alias(f"p{i}") for i in range(3)))
 
 
 @query("SELECT event_type grp, round(median(CASE WHEN value >= 5 AND event_id % 7 <> 0 THEN value END), 6) median, count(CASE WHEN value >= 5 AND event_id % 7 <> 0 THEN 1 END) n FROM events GROUP BY 1")
