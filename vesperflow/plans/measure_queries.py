@@ -72,7 +72,7 @@ def validated_values(spark, sf_dir):
     return o.select("id", r(mathx.require_positive(mathx.require_finite("p")), 4).alias("p"), mathx.require_range(F.pmod("id", F.lit(9)).cast("double"), 0.0, 8.0).alias("q"))
 
 
-@query(f"""SELECT o_orderkey id, round((o_orderkey % 360) * {lit(DEG)}, 9) deg, round((o_orderkey % 24) * {lit(15 * DEG)}, 9) AS "hour", round((o_orderkey % 1000) / 60.0E0 * {lit(DEG)}, 9) arcmin, round((CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END) * (o_orderkey % 80 + (o_orderkey % 60) / 60.0E0 + (o_orderkey % 50) / 3600.0E0) * {lit(DEG)}, 9) dms,
+@query(f"""SELECT o_orderkey id, round((o_orderkey % 360) * {lit(DEG)}, 9) deg, round((o_orderkey % 24) * {lit(15 * DEG)}, 9) AS "hour", round((o_orderkey % 1000) / 60.0E0 * {lit(DEG)}, 9) arcmin, round((CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END) * (o_orderkey % 80 + (o_orderkey % 60) / 60.0E0 + (o_orderkey % 50) / 3600.0E0) * {lit(DEG)}, 9) + 0.0E0 dms,
 round((o_orderkey % 24 + (o_orderkey % 60) / 60.0E0 + (o_orderkey % 50) / 3600.0E0) * {lit(15 * DEG)}, 9) hms FROM orders""")
 def angle_constructors(spark, sf_dir):
     m = lambda n: F.pmod("id", F.lit(n)).cast("double")
@@ -98,8 +98,8 @@ def seeded_generators(spark, sf_dir):
 _U, _V = _unit_sql("o_orderkey", 7919, 10007), _unit_sql("o_orderkey", 104729, 9973)
 
 
-@query(f"""SELECT id, round(-ln(1 - u) / 2, 6) exponential, round(1.5E0 * pow(-ln(1 - u), 1 / 2.5E0), 6) weibull, round(exp(-ln(1 - u) / 3), 6) pareto, round(2 * sqrt(-2 * ln(1 - u)), 6) rayleigh, 1 + floor(ln(1 - u) / ln(0.7E0)) geometric, CASE WHEN u < 0.3 THEN 1 ELSE 0 END bernoulli,
-round(CASE WHEN u < 0.25 THEN 1 + sqrt(u * 4) ELSE 5 - sqrt((1 - u) * 12) END, 6) triangular, round(10 + 2 * sqrt(-2 * ln(u)) * cos({lit(2 * math.pi)} * v), 6) normal, round(tan((u - 0.5E0) * {lit(math.pi)}), 3) cauchy FROM (SELECT o_orderkey id, {_U} u, {_V} v FROM orders) WHERE u > 0.001 AND u < 0.999""")
+@query(f"""SELECT id, round(-ln(1 - u) / 2, 6) + 0.0E0 exponential, round(1.5E0 * pow(-ln(1 - u), 1 / 2.5E0), 6) weibull, round(exp(-ln(1 - u) / 3), 6) pareto, round(2 * sqrt(-2 * ln(1 - u)), 6) rayleigh, 1 + floor(ln(1 - u) / ln(0.7E0)) geometric, CASE WHEN u < 0.3 THEN 1 ELSE 0 END bernoulli,
+round(CASE WHEN u < 0.25 THEN 1 + sqrt(u * 4) ELSE 5 - sqrt((1 - u) * 12) END, 6) triangular, round(10 + 2 * sqrt(-2 * ln(u)) * cos({lit(2 * math.pi)} * v), 6) normal, round(tan((u - 0.5E0) * {lit(math.pi)}), 3) + 0.0E0 cauchy FROM (SELECT o_orderkey id, {_U} u, {_V} v FROM orders) WHERE u > 0.001 AND u < 0.999""")
 def distributions(spark, sf_dir):
     u, v = _unit("id", 7919, 10007), _unit("id", 104729, 9973)
     o = _orders(spark, sf_dir).select("id", u.alias("u"), v.alias("v")).where("u > 0.001 AND u < 0.999")
@@ -326,7 +326,7 @@ def _small(spark, sf_dir):
 
 
 @query(f"""WITH {_SMALL}, s AS (SELECT grp, sum(x * x) s2, sum(x * x * x) s3, sum(pow(x, 4)) s4, sum(x * y) t1, sum(x * x * y) t2, count(DISTINCT x) k FROM d GROUP BY 1)
-SELECT grp, round((t1 * s4 - t2 * s3) / (s2 * s4 - s3 * s3), 4) c1, round((t2 * s2 - t1 * s3) / (s2 * s4 - s3 * s3), 4) c2 FROM s WHERE k >= 8""")
+SELECT grp, round((t1 * s4 - t2 * s3) / (s2 * s4 - s3 * s3), 4) + 0.0E0 c1, round((t2 * s2 - t1 * s3) / (s2 * s4 - s3 * s3), 4) + 0.0E0 c2 FROM s WHERE k >= 8""")
 def polynomial_through_zero(spark, sf_dir):
     d = _small(spark, sf_dir)
     big = d.groupBy("grp").agg(F.count_distinct("x").alias("k")).where("k >= 8")
@@ -335,7 +335,7 @@ def polynomial_through_zero(spark, sf_dir):
 
 
 @query(f"""WITH {_SMALL}, m AS (SELECT *, avg(x) OVER (PARTITION BY grp) m FROM d), s AS (SELECT grp, any_value(m) m, count(*) s0, sum(x - m) s1, sum(pow(x - m, 2)) s2, sum(pow(x - m, 3)) s3, sum(pow(x - m, 4)) s4, sum(y) t0, sum(y * (x - m)) t1, sum(y * pow(x - m, 2)) t2 FROM m GROUP BY 1 HAVING count(DISTINCT x) >= 8),
-c AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) det FROM s) SELECT grp, round((s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det, 4) c2 FROM c""")
+c AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) det FROM s) SELECT grp, round((s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det, 4) + 0.0E0 c2 FROM c""")
 def polynomial_fit(spark, sf_dir):
     d = _small(spark, sf_dir)
     big = d.groupBy("grp").agg(F.count_distinct("x").alias("k")).where("k >= 8")
@@ -399,17 +399,17 @@ def index_file_selection(spark, sf_dir):
     return joins.select_index_files(m, 12.0, 20.0, (1.0, 0.2, 0.3)).select("file")
 
 
-@query("""WITH h AS (SELECT o_custkey % 20 AS k, CAST(o_orderkey % 400 AS DOUBLE) t, o_orderkey seq, o_totalprice / 1000.0E0 AS v FROM orders), p AS (SELECT l_orderkey id, l_linenumber line, l_suppkey % 20 AS k, (l_partkey % 4400) / 10.0E0 - 20 t FROM lineitem WHERE l_linenumber = 1),
-a AS (SELECT p.id, p.line, p.k, any_value(p.t) t, max_by({'t': h.t, 'v': h.v}, (h.t, h.seq)) a FROM p LEFT JOIN h ON h.k = p.k AND h.t <= p.t GROUP BY 1, 2, 3), b AS (SELECT p.id, p.line, p.k, min_by({'t': h.t, 'v': h.v}, (h.t, h.seq)) b FROM p LEFT JOIN h ON h.k = p.k AND h.t >= p.t GROUP BY 1, 2, 3)
-SELECT DISTINCT id, round(CASE WHEN a.a.t = t THEN a.a.v WHEN a.a IS NOT NULL AND b.b IS NOT NULL THEN a.a.v + (b.b.v - a.a.v) * (t - a.a.t) / (b.b.t - a.a.t) END, 5) AS v FROM a JOIN b USING (id, line, k)""")
+@query("""WITH h AS (SELECT o_custkey % 20 AS k, CAST(o_orderkey % 400 AS DOUBLE) t, o_orderkey seq, o_totalprice / 997.0E0 AS v FROM orders), p AS (SELECT l_orderkey id, l_linenumber line, l_suppkey % 20 AS k, (l_partkey % 4400) / 10.0E0 - 20 t FROM lineitem WHERE l_linenumber = 1),
+a AS (SELECT p.id, p.k, p.t, max_by({'t': h.t, 'v': h.v}, (h.t, h.seq)) a FROM p LEFT JOIN h ON h.k = p.k AND h.t <= p.t GROUP BY 1, 2, 3), b AS (SELECT p.id, p.k, p.t, min_by({'t': h.t, 'v': h.v}, (h.t, h.seq)) b FROM p LEFT JOIN h ON h.k = p.k AND h.t >= p.t GROUP BY 1, 2, 3)
+SELECT DISTINCT id, round(CASE WHEN a.a.t = t THEN a.a.v WHEN a.a IS NOT NULL AND b.b IS NOT NULL THEN a.a.v + (b.b.v - a.a.v) * (t - a.a.t) / (b.b.t - a.a.t) END, 5) AS v FROM a JOIN b USING (id, k, t)""")
 def path_history(spark, sf_dir):
     """A recorded path's value at points in time, jumps kept, nothing beyond its ends."""
-    h = _orders(spark, sf_dir).select(F.pmod("c", F.lit(20)).alias("k"), F.pmod("id", F.lit(400)).cast("double").alias("t"), F.col("id").alias("seq"), (F.col("p") / 1000.0).alias("v"))
+    h = _orders(spark, sf_dir).select(F.pmod("c", F.lit(20)).alias("k"), F.pmod("id", F.lit(400)).cast("double").alias("t"), F.col("id").alias("seq"), (F.col("p") / 997.0).alias("v"))
     p = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.pmod("l_suppkey", F.lit(20)).alias("k"), (F.pmod("l_partkey", F.lit(4400)) / 10.0 - 20).alias("t"))
     return joins.history_at(p, h, "k", "t", ["v"], "seq").select("id", r("v", 5).alias("v")).distinct()
 
 
-@query("""WITH p AS (SELECT o_orderkey id, CAST(o_custkey % 5 AS INTEGER) k, CAST(o_orderkey % 1000 AS DOUBLE) x FROM orders), b AS (SELECT CAST(l_suppkey % 5 AS INTEGER) k, CAST(300 + l_partkey % 300 AS DOUBLE) x, avg(l_quantity) y FROM lineitem GROUP BY ALL), a AS (SELECT CAST(l_suppkey % 5 AS INTEGER) k, CAST(l_partkey % 800 AS DOUBLE) x, avg(l_extendedprice) / 1000.0E0 y FROM lineitem GROUP BY ALL),
+@query("""WITH p AS (SELECT o_orderkey id, CAST(o_custkey % 5 AS INTEGER) k, CAST(o_orderkey % 1000 AS DOUBLE) x FROM orders), b AS (SELECT CAST(l_suppkey % 5 AS INTEGER) k, CAST(300 + l_partkey % 300 AS DOUBLE) x, avg(l_quantity) / 0.997E0 y FROM lineitem GROUP BY ALL), a AS (SELECT CAST(l_suppkey % 5 AS INTEGER) k, CAST(l_partkey % 800 AS DOUBLE) x, avg(l_extendedprice) / 997.0E0 y FROM lineitem GROUP BY ALL),
 ib AS (SELECT p.id, max_by({'x': b.x, 'y': b.y}, b.x) FILTER (b.x <= p.x) lo, min_by({'x': b.x, 'y': b.y}, b.x) FILTER (b.x >= p.x) hi, any_value(p.x) x FROM p JOIN b USING (k) GROUP BY 1), ia AS (SELECT p.id, max_by({'x': a.x, 'y': a.y}, a.x) FILTER (a.x <= p.x) lo, min_by({'x': a.x, 'y': a.y}, a.x) FILTER (a.x >= p.x) hi, any_value(p.x) x FROM p JOIN a USING (k) GROUP BY 1),
 vb AS (SELECT id, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN CASE WHEN lo.x = hi.x THEN lo.y ELSE lo.y + (hi.y - lo.y) * (x - lo.x) / (hi.x - lo.x) END END v FROM ib), va AS (SELECT id, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN CASE WHEN lo.x = hi.x THEN lo.y ELSE lo.y + (hi.y - lo.y) * (x - lo.x) / (hi.x - lo.x) END WHEN lo IS NULL THEN hi.y ELSE lo.y END v FROM ia)
 SELECT id, round(coalesce(vb.v, va.v), 5) y FROM vb JOIN va USING (id)""")
@@ -418,8 +418,8 @@ def priority_interpolation(spark, sf_dir):
     p = _orders(spark, sf_dir).select("id", F.pmod("c", F.lit(5)).cast("int").alias("k"), F.pmod("id", F.lit(1000)).cast("double").alias("x"))
     l = table(spark, sf_dir, "lineitem")
     k = F.pmod("l_suppkey", F.lit(5)).cast("int").alias("k")
-    b = l.groupBy(k, (F.pmod("l_partkey", F.lit(300)) + 300).cast("double").alias("x")).agg(F.avg("l_quantity").alias("y"))
-    a = l.groupBy(k, F.pmod("l_partkey", F.lit(800)).cast("double").alias("x")).agg((F.avg("l_extendedprice") / 1000.0).alias("y"))
+    b = l.groupBy(k, (F.pmod("l_partkey", F.lit(300)) + 300).cast("double").alias("x")).agg((F.avg("l_quantity") / 0.997).alias("y"))
+    a = l.groupBy(k, F.pmod("l_partkey", F.lit(800)).cast("double").alias("x")).agg((F.avg("l_extendedprice") / 997.0).alias("y"))
     return joins.asof_priority(p, [b, a], "k", "x", "y").select("id", r("y", 5).alias("y"))
 
 
