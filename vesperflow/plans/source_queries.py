@@ -454,7 +454,7 @@ def property_messages(spark, sf_dir):
     return p.select("device", "property", "state", F.element_at("elements", "X").cast("decimal(18,2)").alias("value"))
 
 
-@query("""SELECT CAST(l_suppkey % 10 AS INTEGER) target, l_orderkey id, l_linenumber line, round(t + 2 * (l_partkey % 7) * t * t - (l_partkey % 7), 6) + 0.0E0 x, round((1 + 4 * (l_partkey % 7) * t) * 0.0142469135E0, 7) + 0.0E0 vx FROM (SELECT *, (l_extendedprice - 100000 * floor(l_extendedprice / 100000)) / 50000.0E0 - 1 t FROM lineitem)""".replace("t + 2 * (l_partkey % 7) * t * t - (l_partkey % 7)", "t + (2 * t * t - 1) * (l_partkey % 7)"))
+@query("""SELECT CAST(l_suppkey % 10 AS INTEGER) target, l_orderkey id, l_linenumber line, round((t + 2 * (l_partkey % 7) * t * t - (l_partkey % 7)) * 0.99712345E0, 7) + 0.0E0 x, round((1 + 4 * (l_partkey % 7) * t) * 0.0142469135E0, 7) + 0.0E0 vx FROM (SELECT *, (l_extendedprice - 100000 * floor(l_extendedprice / 100000)) / 50000.0E0 - 1 t FROM lineitem)""")
 def kernel_segments(spark, sf_dir):
     """Positions and rates of Chebyshev records at times within them."""
     t = table(spark, sf_dir, "lineitem")
@@ -463,4 +463,4 @@ def kernel_segments(spark, sf_dir):
     zero = F.lit(0.0)
     state = binary.chebyshev_state(s, F.lit(2), F.lit(50.0), F.lit(50.0), F.array(zero, F.lit(1.0), a, zero, zero, zero, zero, zero, zero))
     d = t.select(F.pmod("l_suppkey", F.lit(10)).cast("int").alias("target"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), state.alias("s"))
-    return d.select("target", "id", "line", r(F.col("s")[0]).alias("x"), r(F.col("s")[3] * 0.712345675, 7).alias("vx"))
+    return d.select("target", "id", "line", r(F.col("s")[0] * 0.99712345, 7).alias("x"), r(F.col("s")[3] * 0.712345675, 7).alias("vx"))
