@@ -222,3 +222,35 @@ def test_nearest_on_sphere_matches_brute_force(spark):
         near = sorted((float(np.linalg.norm(v[c, i] - v[c, j])), j) for g, j, _, _ in rows if g == c and j != i)[:4]
         want |= {(c, i, k + 1): j for k, (_, j) in enumerate(near)}
     assert got == want
+
+
+def test_median_slopes_by_counting(monkeypatch):
+    from vesperflow.operators import robust
+
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 50, 200):
+        for x in (rng.normal(size=n), rng.integers(0, 7, n).astype(float)):
+            y = 2 * x + rng.normal(size=n)
+            direct = robust._median_slope(x, y)
+            monkeypatch.setattr(robust, "PAIRS", 0)
+            counted = robust._median_slope(x, y)
+            monkeypatch.undo()
+            assert np.isnan(direct) and np.isnan(counted) or abs(direct - counted) < 1e-9
+    x, y = rng.normal(size=300), rng.normal(size=300)
+    i, j = np.triu_indices(300, 1)
+    slopes = (y[j] - y[i]) / (x[j] - x[i])
+    order = np.argsort(x)
+    for m in (-1.0, 0.0, 0.3):
+        assert robust._slopes_below(x[order], y[order], m) == (slopes < m).sum()
+
+
+def test_quantiles_of_large_groups_are_exact(spark):
+    from vesperflow.operators import robust
+
+    rng = random.Random(8)
+    rows = [(g, rng.choice([rng.random(), 0.5, float(rng.randrange(5))])) for g in "abc" for _ in range({"a": 1, "b": 997, "c": 3000}[g])] + [("b", float("nan")), ("c", None), ("d", None)]
+    got = {r.g: (r.p0, r.p1, r.p2) for r in robust.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.37, 0.5]).collect()}
+    for g in "abc":
+        v = np.array([x for k, x in rows if k == g and x is not None and x == x])
+        assert np.allclose(got[g], np.quantile(v, [0, 0.37, 0.5]), atol=1e-12)
+    assert set(got) == set("abc")

@@ -32,3 +32,14 @@ def test_exchanges_are_few(spark, name, most):
 def test_scans_read_only_what_is_used(spark):
     p = plan(registry.QUERIES["stack_median"](spark, SF))
     assert "l_shipdate" not in p.split("ReadSchema")[1] and "l_tax" not in p.split("ReadSchema")[1]
+
+
+def test_tiles_prune_the_folders(spark):
+    p = plan(registry.QUERIES["tile_pruned_scan"](spark, SF))
+    assert re.search(r"PartitionFilters: \[[^\]]*tile", p)
+
+
+@pytest.mark.parametrize("name", ["asof_linear_interp", "path_history"])
+def test_brackets_take_one_exchange(spark, name):
+    p = plan(registry.QUERIES[name](spark, SF))
+    assert len(re.findall(r"Exchange hashpartitioning\(_k", p)) == 1

@@ -52,13 +52,27 @@ def asof_bucketed(left: DataFrame, right: DataFrame, by: str, time: str, values:
     return asof(l.withColumn("_kb", key).drop("_b"), own, "_kb", time, values).drop("_kb")
 
 
+def brackets(points: DataFrame, series: DataFrame, by: str, x: str, values: list[str]) -> DataFrame:
+    """`points` with `_a` and `_b`, structs of x and the values of the last row of `series` at or before and the first at
+    or after their x, within `by`; null where there is none.
+
+    Both sides go through one exchange on `by` and are sorted there twice, once for each direction.
+    """
+    v = F.struct(F.col(x).alias("x"), *(F.col(c) for c in values))
+    kind = series.select(v.alias("v")).schema["v"].dataType
+    left = points.select(F.struct(*points.columns).alias("_l"), F.col(by).alias("_k"), F.col(x).alias("_t"), F.lit(None).cast(kind).alias("_v"), F.lit(1).alias("_o"))
+    right = series.select(F.lit(None).cast(left.schema["_l"].dataType).alias("_l"), F.col(by).alias("_k"), F.col(x).alias("_t"), v.alias("_v"), F.lit(0).alias("_o"))
+    up = Window.partitionBy("_k").orderBy("_t", "_o", F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_k").orderBy(F.desc("_t"), "_o", F.col("_v").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right).withColumn("_a", F.last("_v", ignorenulls=True).over(up)).withColumn("_b", F.last("_v", ignorenulls=True).over(down))
+    return both.where(F.col("_l").isNotNull()).select("_l.*", "_a", "_b")
+
+
 def interpolate(points: DataFrame, series: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """`points` with y of `series` at their x, linear between the bracketing rows, held beyond the ends, within `by`."""
-    pair = series.select(F.col(by), F.col(x), F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("_s"))
-    before = asof(points, pair.withColumnRenamed("_s", "_a"), by, x, ["_a"])
-    both = asof(before, pair.withColumnRenamed("_s", "_b"), by, x, ["_b"], "forward")
+    both = brackets(points, series, by, x, [y])
     a, b = F.col("_a"), F.col("_b")
-    value = F.when(a.isNull(), b["y"]).when(b.isNull() | (b["x"] == a["x"]), a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col(x) - a["x"]) / (b["x"] - a["x"]))
+    value = F.when(a.isNull(), b[y]).when(b.isNull() | (b["x"] == a["x"]), a[y]).otherwise(a[y] + (b[y] - a[y]) * (F.col(x) - a["x"]) / (b["x"] - a["x"]))
     return both.withColumn(y, value).drop("_a", "_b")
 
 
@@ -293,10 +307,8 @@ def select_index_files(files: DataFrame, scale_low: float, scale_high: float, di
 def history_at(points: DataFrame, history: DataFrame, by: str, time: str, values: list[str], seq: str) -> DataFrame:
     """`points` with values of a recorded path at their time, linear between the records around it; before the first and
     after the last null. Records of one time keep a jump: the last of them holds at and after it, the first before it."""
-    pair = history.select(F.col(by), F.col(time), F.struct(F.col(time).alias("t"), F.col(seq).alias("_q"), *(F.col(v).alias(v) for v in values)).alias("_s"))
-    before = asof(points, pair.withColumnRenamed("_s", "_a"), by, time, ["_a"])
-    both = asof(before, pair.withColumnRenamed("_s", "_b"), by, time, ["_b"], "forward")
+    both = brackets(points, history, by, time, [seq, *values])
     a, b, t = F.col("_a"), F.col("_b"), F.col(time)
-    exact = a.isNotNull() & (a["t"] == t)
-    share = (t - a["t"]) / (b["t"] - a["t"])
+    exact = a.isNotNull() & (a["x"] == t)
+    share = (t - a["x"]) / (b["x"] - a["x"])
     return both.select(*points.columns, *(F.when(exact, a[v]).when(a.isNotNull() & b.isNotNull(), a[v] + (b[v] - a[v]) * share).alias(v) for v in values))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesperflow.session import ship, table
+from vesperflow.session import scratch_path, ship, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -33,6 +34,23 @@ def query(sql: str | None = None):
     return put
 
 
+_LAYOUTS: dict[tuple, str] = {}
+
+
+def layout(spark: SparkSession, sf_dir: str, name: str, write) -> DataFrame:
+    """A table laid out for its queries, written once an application and table folder by `write(path)`, read from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _LAYOUTS:
+        try:
+            return spark.read.parquet(_LAYOUTS[key])
+        except AnalysisException:  # the shared folder has been cleared
+            pass
+    path = scratch_path(spark, name)
+    write(path)
+    _LAYOUTS[key] = path
+    return spark.read.parquet(path)
+
+
 def lit(x: float) -> str:
     """A double literal for SQL."""
     s = repr(float(x))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from vesperflow.functions import healpix
 from vesperflow.operators import region, robust, stack
-from vesperflow.plans.common import DEG, SKY, lit, query, r, sky
-from vesperflow.session import materialize, table
+from vesperflow.plans.common import DEG, SKY, layout, lit, query, r, sky
+from vesperflow.session import table
 
 CONE = region.Cone(83.0 * DEG, -5.0 * DEG, 12.0 * DEG)
 BOX = region.Box(350.0 * DEG, 15.0 * DEG, -20.0 * DEG, 35.0 * DEG)
@@ -118,8 +118,8 @@ def healpix_nested_count(spark, sf_dir):
 
 @query(f"WITH {SKY} SELECT id, round(mag, 6) mag FROM sky WHERE {_sep(CONE.ra, CONE.dec)} <= {lit(CONE.radius)}")
 def healpix_cover_semijoin(spark, sf_dir):
-    """The pixel is stored with the sky, sorted by it, so the cover's list prunes the scan."""
-    s = materialize(healpix.with_nested_pixel(sky(spark, sf_dir), "hpx", 64).sortWithinPartitions("hpx"), "sky")
+    """The sky is stored once by its pixel, so the cover's list prunes the scans of all that ask."""
+    s = layout(spark, sf_dir, "sky-by-pixel", lambda path: healpix.with_nested_pixel(sky(spark, sf_dir), "hpx", 64).repartitionByRange("hpx").sortWithinPartitions("hpx").write.parquet(path))
     return region.by_cover(s, CONE, 64).select("id", r("mag").alias("mag"))
 
 
@@ -134,11 +134,11 @@ hit AS (SELECT CAST(band AS INTEGER) band, k FROM tiles WHERE -90 + 15 * band <=
 s AS (SELECT *, CAST(least(floor((decl + {lit(math.pi / 2)}) / {lit(15 * DEG)}), 11) AS INTEGER) band, CAST(floor(ra / {lit(15 * DEG)}) AS INTEGER) k FROM sky)
 SELECT band, k, count(*) n FROM s JOIN hit USING (band, k) WHERE (ra >= {lit(350 * DEG)} OR ra <= {lit(15 * DEG)}) AND decl BETWEEN {lit(-20 * DEG)} AND {lit(35 * DEG)} GROUP BY ALL""")
 def tile_pruned_scan(spark, sf_dir):
-    """A box over a sky in tiles: only the tiles whose bounds meet it are scanned."""
-    s = sky(spark, sf_dir).withColumn("band", F.least(F.floor((F.col("decl") + math.pi / 2) / (15 * DEG)), F.lit(11)).cast("int")).withColumn("k", F.floor(F.col("ra") / (15 * DEG)).cast("int"))
-    hit = [(b, k) for b in range(12) for k in range(24) if -90 + 15 * b <= 35 and -75 + 15 * b >= -20 and (15 * (k + 1) >= 350 or 15 * k <= 15)]
-    tiles = spark.createDataFrame(hit, "band int, k int")  # the tiling's own size, 288 at most
-    return region.within(s.join(F.broadcast(tiles), ["band", "k"], "left_semi"), BOX).groupBy("band", "k").agg(F.count("*").alias("n"))
+    """A box over a sky stored in tiles: only the folders of tiles whose bounds meet it are scanned."""
+    tiles = sky(spark, sf_dir).withColumn("band", F.least(F.floor((F.col("decl") + math.pi / 2) / (15 * DEG)), F.lit(11)).cast("int")).withColumn("k", F.floor(F.col("ra") / (15 * DEG)).cast("int"))
+    s = layout(spark, sf_dir, "sky-in-tiles", lambda path: tiles.withColumn("tile", F.col("band") * 24 + F.col("k")).repartition("tile").write.partitionBy("tile").parquet(path))
+    hit = [24 * b + k for b in range(12) for k in range(24) if -90 + 15 * b <= 35 and -75 + 15 * b >= -20 and (15 * (k + 1) >= 350 or 15 * k <= 15)]
+    return region.within(s.where(F.col("tile").isin(hit)), BOX).groupBy("band", "k").agg(F.count("*").alias("n"))
 
 
 @query("""WITH f AS (SELECT o_custkey frame, count(*) n, median(o_totalprice) / 10000.0E0 snr, median(o_orderkey % 97) / 10.0E0 hfd, avg(o_totalprice) / 1e5 AS background FROM orders GROUP BY 1)
