@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vesperflow.operators import events, joins, models, orbits, series, stack
@@ -200,7 +201,9 @@ def test_streams_keep_every_key_over_several_batches(spark, tmp_path):
     assert {(r.session, r.e, r.updates) for r in n.collect()} == {("a", 3.0, 2), ("b", 2.0, 1), ("c", 5.0, 2)}
 
 
-def test_nearest_matches_brute_force(spark):
+@pytest.mark.parametrize("whole", [joins.WHOLE, 5])
+def test_nearest_matches_brute_force(spark, monkeypatch, whole):
+    monkeypatch.setattr(joins, "WHOLE", whole)
     rng = random.Random(3)
     rows = [(f, i, *( (rng.gauss(0, 1e-3), rng.random()) if f == 1 and i % 2 else (rng.uniform(-5, 500), rng.choice([1.0, 2.0, 2.0])))) for f, n in ((0, 1), (1, 90), (2, 4), (3, 60), (4, 2)) for i in range(n)]
     rows += [(5, i, 7.0, 7.0) for i in range(20)]  # all in one place
@@ -249,8 +252,12 @@ def test_quantiles_of_large_groups_are_exact(spark):
 
     rng = random.Random(8)
     rows = [(g, rng.choice([rng.random(), 0.5, float(rng.randrange(5))])) for g in "abc" for _ in range({"a": 1, "b": 997, "c": 3000}[g])] + [("b", float("nan")), ("c", None), ("d", None)]
-    got = {r.g: (r.p0, r.p1, r.p2) for r in robust.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.37, 0.5]).collect()}
-    for g in "abc":
-        v = np.array([x for k, x in rows if k == g and x is not None and x == x])
-        assert np.allclose(got[g], np.quantile(v, [0, 0.37, 0.5]), atol=1e-12)
-    assert set(got) == set("abc")
+    df = spark.createDataFrame(rows, "g string, v double")
+    for whole in (0, None):
+        got = {r.g: (r.p0, r.p1, r.p2) for r in robust.quantiles(df, ["g"], "v", [0.0, 0.37, 0.5], whole=whole).collect()}
+        for g in "abc":
+            v = np.array([x for k, x in rows if k == g and x is not None and x == x])
+            assert np.allclose(got[g], np.quantile(v, [0, 0.37, 0.5]), atol=1e-12)
+        assert set(got) == set("abc")
+    every = np.array([x for _, x in rows if x is not None and x == x])
+    assert abs(robust.quantiles(df, [], "v", [0.5], whole=0).first().p0 - np.median(every)) < 1e-12

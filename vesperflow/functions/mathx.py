@@ -158,6 +158,12 @@ def binary_search(values, key, steps: int = 31) -> Column:
     return let(low, lambda i: F.when(F.get(a, i.cast("int")) == k, i).otherwise(-(i + 1)))
 
 
+def count_below(values, key, bits: int) -> Column:
+    """How many of a sorted array's values, fewer than 2 ** bits, are less than a key."""
+    a, k = col(values), col(key)
+    return F.aggregate(F.array(*(F.lit(1 << i) for i in reversed(range(bits)))), F.lit(0), lambda n, by: n + F.when(F.get(a, n + by - 1) < k, by).otherwise(0))
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

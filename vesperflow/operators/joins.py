@@ -9,10 +9,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vesperflow.functions.sphere import separation
+from vesperflow.operators.groups import map_groups
 from vesperflow.session import materialize
 
 
@@ -165,14 +168,38 @@ def _growing(left: DataFrame, group: str, key: str, k: int, first: Column, pairs
     return reduce(DataFrame.unionByName, found)
 
 
+#: Rows of a frame up to which all its distances are made at once.
+WHOLE = 2048
+
+
 def nearest(left: DataFrame, k: int, frame: str, xy: tuple[str, str] = ("x", "y"), key: str = "idx") -> DataFrame:
     """For each row the k nearest other rows of its frame by squared distance, ties by key: (frame, key, r_key, d2, rank).
 
-    Keys are distinct within a frame. Rows meet in cells of their frame, at first of a width that has some k rows if a
-    frame's rows lie evenly, so a frame of any size is spread over tasks and none compares all its pairs.
+    Keys are distinct within a frame. Frames of up to WHOLE rows, an image's stars, are done one after another in
+    batches. Rows of larger ones meet in cells of their frame, at first of a width that has some k rows if they lie
+    evenly, so a frame of any size is spread over tasks and none compares all its pairs.
     """
     x, y = xy
     rows = left.select(frame, key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    kinds = dict(rows.dtypes)
+    big = rows.groupBy(frame).agg(F.count("*").alias("_n")).where(F.col("_n") > WHOLE).select(frame)
+
+    def whole(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(key, kind="stable")
+        ids, px, py = p[key].to_numpy(), p["_x"].to_numpy(float), p["_y"].to_numpy(float)
+        d2 = (px[:, None] - px) ** 2 + (py[:, None] - py) ** 2
+        np.fill_diagonal(d2, np.inf)
+        n = min(k, len(ids) - 1)
+        near = np.argsort(d2, axis=1, kind="stable")[:, :n]  # stable over rising keys: ties by key
+        row = np.repeat(np.arange(len(ids)), n)
+        return pd.DataFrame({frame: p[frame].iloc[0], key: ids[row], f"r_{key}": ids[near.ravel()], "d2": d2[row, near.ravel()], "rank": np.tile(np.arange(1, n + 1, dtype=np.int32), len(ids))})
+
+    some = not big.isEmpty()
+    small = rows.join(big, frame, "left_anti") if some else rows
+    found = map_groups(small, [frame], whole, f"{frame} {kinds[frame]}, {key} {kinds[key]}, r_{key} {kinds[key]}, d2 double, rank int")
+    if not some:
+        return found
+    rows = rows.join(big, frame, "left_semi")
     span = rows.groupBy(frame).agg((F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"), F.lit(1e-12)) * F.sqrt(F.lit(2.0 * k) / math.pi / F.count("*"))).alias("_w"))
     rows = rows.join(span, frame)
     other = rows.select(F.col(frame).alias("_f"), F.col(key).alias(f"r_{key}"), F.col("_x").alias("_u"), F.col("_y").alias("_v"))
@@ -190,7 +217,7 @@ def nearest(left: DataFrame, k: int, frame: str, xy: tuple[str, str] = ("x", "y"
         both = l.join(o, (l[frame] == o._f) & (l._cx == o._ox) & (l._cy == o._oy)).where(F.col(key) != F.col(f"r_{key}"))
         return both.withColumn("dist", d2).where(F.col("dist") <= F.col("_r") * F.col("_r"))
 
-    return _growing(rows, frame, key, k, F.col("_w"), pairs).withColumnRenamed("dist", "d2")
+    return found.unionByName(_growing(rows, frame, key, k, F.col("_w"), pairs).withColumnRenamed("dist", "d2"))
 
 
 def nearest_on_sphere(left: DataFrame, k: int, by: str, ra: str = "ra", dec: str = "decl", key: str = "id") -> DataFrame:

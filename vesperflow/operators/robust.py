@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vesperflow.functions.mathx import col, finite
+from vesperflow.functions.mathx import col, count_below, finite
+from vesperflow.operators.groups import map_groups
+from vesperflow.session import materialize
 
 #: Scales a median absolute deviation to a normal standard deviation.
 MAD_SCALE = 1.482602218505602
@@ -38,7 +40,7 @@ def mad(df: DataFrame, by: list[str], x: str, normalized: bool = False, large: b
     """
     d = df.withColumn("_v", finite(F.col(x)))
     if large:
-        centre = quantiles(d, by, "_v", [0.5]).withColumnRenamed("p0", "median")
+        centre = materialize(quantiles(d, by, "_v", [0.5]).withColumnRenamed("p0", "median"), "medians")
         away = _attach(d, centre, by).withColumn("_d", F.abs(F.col("_v") - F.col("median")))
         spread = quantiles(away, by, "_d", [0.5]).withColumnRenamed("p0", "mad")
         out = _attach(centre, spread, by)
@@ -185,15 +187,14 @@ def theil_sen(df: DataFrame, by: list[str], x: str, y: str, key: str) -> DataFra
     A group's points meet in one task, its pairs do not: beyond some million the middle slope is found by halving an
     interval and counting the slopes below, to a double's last places, so time is n log n a step and memory n.
     """
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-
     def fit(p: pd.DataFrame) -> pd.DataFrame:
         a, b = p["_x"].to_numpy(float), p["_y"].to_numpy(float)
         slope = _median_slope(a, b)
         return pd.DataFrame({**{c: [p[c].iloc[0]] for c in by}, "slope": [slope], "intercept": [float(np.median(b - slope * a))]})
 
     points = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
-    return points.groupBy(*by).applyInPandas(fit, f"{kinds}, slope double, intercept double").where(~F.isnan("slope"))
+    kinds = ", ".join(f"{c} {t}" for c, t in points.dtypes if c in by)
+    return map_groups(points, by, fit, f"{kinds}, slope double, intercept double").where(~F.isnan("slope"))
 
 
 def v_curve(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -283,24 +284,32 @@ def circular_mean(by_column) -> Column:
     return F.atan2(F.sum(F.sin(a)), F.sum(F.cos(a)))
 
 
-def quantiles(df: DataFrame, by: list[str], x: str, ps: list[float], cuts: int = 64) -> DataFrame:
-    """(by, p0, p1, ..): exact linear percentiles of groups of any size, without bringing a group into one task.
+#: Rows of a group up to which one task orders its values.
+WHOLE = 1 << 20
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, ps: list[float], cuts: int = 64, whole: int | None = None) -> DataFrame:
+    """(by, p0, p1, ..): exact linear percentiles of groups of any size, without bringing a large group into one task.
 
+    The groups are counted first; with none of more than `whole` rows it is `percentiles`, which gives the same.
     Approximate quantiles cut each group into some intervals; interval counts say which of them hold the ranks that are
     asked for, and only their distinct values, counted, are put in order, an interval in one task.
     """
     keys = by or ["_all"]
     d = (df if by else df.withColumn("_all", F.lit(0))).select(*keys, finite(F.col(x)).alias("_v")).where("_v IS NOT NULL")
+    if (d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= (WHOLE if whole is None else whole):
+        return percentiles(d, keys, "_v", ps).select(*by, *(f"p{i}" for i in range(len(ps))))
     edges = d.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 10 * cuts)).alias("_e"))
-    d = d.join(edges, keys).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e")
-    counts = d.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_n"))  # distinct values
-    sizes = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
+    d = d.join(edges, keys).withColumn("_b", count_below("_e", "_v", cuts.bit_length())).drop("_e")
+    sizes = d.groupBy(*keys, "_b").agg(F.count("*").alias("_m"))
     w = Window.partitionBy(*keys)  # at most `cuts` rows a group
     sizes = sizes.withColumn("_before", F.sum("_m").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")).withColumn("_total", F.sum("_m").over(w))
     ranks = F.array(*(r for p in ps for h in (F.col("_total") - 1,) for r in (F.floor(h * p), F.ceil(h * p))))
     held = sizes.withColumn("_ranks", F.filter(F.array_distinct(ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))).where(F.size("_ranks") > 0)
+    # of the values only those in intervals that hold a rank go on, counted
+    some = d.join(held.select(*keys, "_b"), [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_n")).join(held, [*keys, "_b"])
     order = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    some = counts.join(held, [*keys, "_b"]).withColumn("_last", F.col("_before") + F.sum("_n").over(order))
+    some = some.withColumn("_last", F.col("_before") + F.sum("_n").over(order))
     hit = some.withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r < F.col("_last")) & (r >= F.col("_last") - F.col("_n")))))
     at = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"), F.first("_total").alias("_total"))  # two entries a percentile
 
