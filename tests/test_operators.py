@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -261,3 +262,83 @@ def test_quantiles_of_large_groups_are_exact(spark):
         assert set(got) == set("abc")
     every = np.array([x for _, x in rows if x is not None and x == x])
     assert abs(robust.quantiles(df, [], "v", [0.5], whole=0).first().p0 - np.median(every)) < 1e-12
+
+
+def test_polled_source(spark):
+    spark.dataSource.register(frames.polled("polled_test", "k int, v double", lambda k: [(k, k / 2), (k, 1.0)] if k < 3 else []))
+    q = spark.readStream.format("polled_test").load().writeStream.format("memory").queryName("polled_rows").trigger(processingTime="100 milliseconds").start()
+    try:
+        for _ in range(100):
+            if spark.table("polled_rows").count() >= 6:
+                break
+            time.sleep(0.2)
+        assert sorted(map(tuple, spark.table("polled_rows").collect()))[:6] == [(0, 0.0), (0, 1.0), (1, 0.5), (1, 1.0), (2, 1.0), (2, 1.0)]
+    finally:
+        q.stop()
+
+
+def test_machines_go_on_over_batches(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for rows in ([("a", 1, 9.0), ("a", 2, 5.0), ("b", 1, 3.0)], [("a", 3, 6.0), ("a", 4, 7.0)], [("a", 5, 8.0), ("a", 6, 1.0)]):
+        spark.createDataFrame(rows, "k string, i long, v double").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("k string, i long, v double").option("maxFilesPerTrigger", 1).parquet(src)
+    f = frames.machine(stream, "k", ["i"], ["i", "v"], frames.FOCUS_START, frames.focus_step(), frames.FOCUS)
+    got = {r.k: (r.best, r.place, r.taken, r.done) for r in frames.settle(f, "update", "focus", ["k"]).collect()}
+    assert got == {"a": (5.0, 2, 5, True), "b": (3.0, 1, 1, False)}
+    by = frames.fan_out(stream, {"n": lambda d: d.groupBy("k").count(), "all": lambda d: d})
+    assert by["all"].count() == 7 and by["n"].groupBy("k").sum("count").count() == 2
+    assert {r.k: r["count"] for r in frames.collect(stream, lambda d: d.groupBy("k").count()).collect()} == {"a": 6, "b": 1}
+
+
+def test_adql_text_and_rows(spark):
+    from vesperflow.operators.region import Box
+    from vesperflow.sources import adql
+
+    text = adql.query_text(adql.JOINED, [Box(6.2, 0.1, -0.1, 0.1)], 1.0, 9.0, 10)
+    assert text.startswith("SELECT TOP 10 b.oid AS id") and " OR " in text and "f.V IS NOT NULL AND f.V >= 1.0 AND f.V <= 9.0 ORDER BY mag, id" in text
+    got = adql.stars(spark.createDataFrame([('id\tra\tdec\tmag\n"7"\t"90"\t-45\t3.5\n8\t\t1\t2\n9\t1\tnan\t2\n\n',)], "value string")).collect()
+    assert [(r.id, round(r.ra, 6), r.mag) for r in got] == [(7, round(math.pi / 2, 6), 3.5)]
+    asked = []
+    schema = spark.createDataFrame([], "id long, ra double, name string").schema
+    reader = adql.CatalogueReader(schema, {"url": "u", "table": "t"}, lambda u, q: asked.append(q) or "id\tra\tname\n1\t2.5\tx\n2\t\t\"y\"\n")
+    from pyspark.sql.datasource import GreaterThan, StringStartsWith
+
+    left = list(reader.pushFilters([GreaterThan(("ra",), 1.5), StringStartsWith(("name",), "x")]))
+    assert len(left) == 1 and list(reader.read(reader.partitions()[0])) == [(1, 2.5, "x"), (2, None, "y")] and asked == ["SELECT id, ra, name FROM t WHERE ra > 1.5"]
+
+
+def test_crossmatch_mends_its_centre(spark):
+    from vesperflow.operators import crossmatch
+
+    rng = random.Random(6)
+    cat = [(i, 1.0 + rng.uniform(-0.06, 0.06), 0.3 + rng.uniform(-0.06, 0.06), rng.uniform(3, 9)) for i in range(90)]
+    df = spark.createDataFrame(cat, "id long, ra double, decl double, mag double")
+    seen = crossmatch.project(df, 1.0, 0.3, 0.04, 1e-4).select(F.col("id").alias("idx"), (F.col("y") * -1 + 10).alias("x"), (F.col("x") * 1 + 20).alias("y"), (-F.col("mag")).alias("flux"))
+    s = crossmatch.solve(seen, df, 1.004, 0.297, 0.05, 1e-4, (10.0, 20.0))
+    assert s.rounds >= 1 and abs(s.ra - 1.0) < 1e-5 and abs(s.dec - 0.3) < 1e-5
+    m = crossmatch.match(seen, df, s, 0.05, 1e-4, within=1.0)
+    assert m.count() == seen.count() and m.where("idx != id OR id IS NULL").count() == 0
+    assert crossmatch.summary(m).first().matched == seen.count() and crossmatch.unambiguous(m, crossmatch.project(df, 1.0, 0.3, 0.05, 1e-4)).count() > 0
+    none = spark.createDataFrame([(i, rng.random() * 100, rng.random() * 100, 1.0) for i in range(2)], "idx long, x double, y double, flux double")
+    assert crossmatch.solve(none, df, 1.0, 0.3, 0.05, 1e-4, (0.0, 0.0)) is None
+
+
+def test_delta_t_by_a_table(spark):
+    from vesperflow.functions import time as times
+
+    t = spark.createDataFrame([(1900.0, 1950.0, 10.0, 2.0, 1.0, 0.5), (1950.0, 2000.0, 13.5, 4.0, 0.0, 0.0)], "start double, end double, a0 double, a1 double, a2 double, a3 double")
+    p = spark.createDataFrame([(1925.0,), (1950.0,), (1990.0,), (2100.0,)], "year double")
+    got = {r.year: r.delta_t for r in times.delta_t_spline(p, t).collect()}
+    assert got[1925.0] == 10 + 0.5 * (2 + 0.5 * (1 + 0.5 * 0.5)) and got[1950.0] == 13.5 and abs(got[1990.0] - (13.5 + 0.8 * 4)) < 1e-12
+    assert got[2100.0] == p.where("year = 2100").select(times.delta_t("year")).first()[0]
+
+
+def test_sums_fit_as_the_rows_do(spark):
+    rng = np.random.default_rng(3)
+    a, w = rng.normal(size=(60, 3)), rng.random(60) + 0.1
+    y = a @ [1.0, -2.0, 0.5] + rng.normal(size=60) * 0.1
+    df = spark.createDataFrame([(0, *map(float, r), float(v), float(u)) for r, v, u in zip(a, y, w, strict=True)], "g int, a double, b double, c double, y double, w double")
+    got = models.fit_sums(df, ["g"], {k: F.col(k) for k in "abc"}, "y", "w").first().coefficients
+    assert np.allclose([got[k] for k in "abc"], models.least_squares(a, y, w))
+    h = models.leverage(a)
+    assert np.isclose(h.sum(), 3) and (h >= 0).all() and (h <= 1 + 1e-12).all()

@@ -7,7 +7,7 @@ import pytest
 from vesperflow.plans import registry
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {"live_stack_stream", "property_latest_stream", "windowed_stream", "guiding_stream"}
+STREAMS = {n for n in registry.QUERIES if n.endswith("_stream")}
 
 
 def plan(df) -> str:

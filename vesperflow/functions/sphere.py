@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vesperflow.functions.angles import wrap_positive, wrap_signed
-from vesperflow.functions.mathx import col
+from vesperflow.functions.mathx import col, let
 
 #: The J2000 equatorial to galactic rotation (IAU 1958 pole and origin, FK5).
 GALACTIC = ((-0.0548755604, -0.8734370902, -0.4838350155), (0.4941094279, -0.4448296300, 0.7469822445), (-0.8676661490, -0.1980763734, 0.4559837762))
@@ -211,4 +212,65 @@ def mercator_inverse(x, y, a0: float = 0.0, d0: float = 0.0):
     return wrap_positive(col(x) + a0), F.atan(F.exp(col(y))) * 2 - math.pi / 2
 
 
+def azimuthal_inverse(name: str, x, y, a0: float = 0.0, d0: float = 0.0):
+    """(ra, decl) of a point of an azimuthal projection; null outside its disc."""
+    x, y = col(x), col(y)
+    rho = F.sqrt(x * x + y * y)
+    angle, shown = {
+        "gnomonic": (F.atan(rho), F.lit(True)), "stereographic": (F.atan(rho / 2) * 2, F.lit(True)), "orthographic": (F.asin(F.least(rho, F.lit(1.0))), rho <= 1 + 1e-12),
+        "azimuthal_equidistant": (rho, rho <= math.pi + 1e-12), "azimuthal_equal_area": (F.asin(F.least(rho / 2, F.lit(1.0))) * 2, rho <= 2 + 1e-12),
+    }[name]
+    sc, cc = F.sin(angle), F.cos(angle)
+    k = F.when(rho > 1e-300, sc / rho).otherwise(1.0)
+    dec = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cc * math.sin(d0) + y * k * math.cos(d0))))
+    ra = wrap_positive(F.atan2(x * k, cc * math.cos(d0) - y * k * math.sin(d0)) + a0)
+    return F.when(shown, ra), F.when(shown, dec)
+
+
+#: Latitude up to which a square Mercator map reaches.
+WEB_LIMIT = math.atan(math.sinh(math.pi))
+#: Cylindrical projections by family and standard parallel (degrees).
+CYLINDRICAL = {
+    "mercator": ("mercator", 0.0), "web_mercator": ("web", 0.0), "miller": ("miller", 0.0), "central": ("central", 0.0), "lambert": ("area", 0.0), "behrmann": ("area", 30.0), "gall_peters": ("area", 45.0), "hobo_dyer": ("area", 37.5), "balthasart": ("area", 50.0), "trystan_edwards": ("area", 37.4),
+    "braun": ("stereographic", 0.0), "gall": ("stereographic", 45.0), "plate_carree": ("distance", 0.0),
+}
+
+
+def _family(name: str, parallel: float | None) -> tuple[str, float]:
+    family, own = CYLINDRICAL.get(name, (name, 0.0))
+    return family, math.cos(math.radians(own if parallel is None else parallel))
+
+
+def cylindrical(name: str, a, d, a0: float = 0.0, parallel: float | None = None, eccentricity: float = 0.0):
+    """(x, y) by a name of CYLINDRICAL or a family (area, stereographic, distance, ellipsoidal) and its standard parallel
+    in degrees. Mercator's maps of an ellipsoid are the family `ellipsoidal`. Null at the poles where they are far away."""
+    family, k = _family(name, parallel)
+    d = col(d)
+    d = F.greatest(F.lit(-WEB_LIMIT), F.least(F.lit(WEB_LIMIT), d)) if family == "web" else d
+    shown = F.abs(d) < math.pi / 2 - 1e-9
+    y = {
+        "mercator": lambda: F.asinh(F.tan(d)), "web": lambda: F.asinh(F.tan(d)), "miller": lambda: F.log(F.tan(d * 0.4 + math.pi / 4)) * 1.25, "central": lambda: F.tan(d), "area": lambda: F.sin(d) / k,
+        "stereographic": lambda: F.tan(d / 2) * (1 + k), "distance": lambda: d, "ellipsoidal": lambda: F.atanh(F.sin(d)) - F.atanh(F.sin(d) * eccentricity) * eccentricity,
+    }[family]()
+    far = family in ("mercator", "central", "ellipsoidal")
+    return F.when(shown if far else F.lit(True), wrap_signed(col(a) - a0) * k), F.when(shown if far else F.lit(True), y)
+
+
+def cylindrical_inverse(name: str, x, y, a0: float = 0.0, parallel: float | None = None, eccentricity: float = 0.0):
+    """(ra, decl) of a point of a cylindrical projection; an ellipsoid's latitude by five steps from the sphere's."""
+    family, k = _family(name, parallel)
+    y = col(y)
+
+    def newton(d: Column) -> Column:
+        s = F.sin(d)
+        return d - (F.atanh(s) - F.atanh(s * eccentricity) * eccentricity - y) * F.cos(d) * (F.lit(1.0) - s * s * eccentricity**2) / (1 - eccentricity**2)
+
+    sphere_ = F.atan(F.sinh(y))
+    d = {
+        "mercator": lambda: sphere_, "web": lambda: sphere_, "miller": lambda: (F.atan(F.exp(y * 0.8)) - math.pi / 4) * 2.5, "central": lambda: F.atan(y), "area": lambda: F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y * k))),
+        "stereographic": lambda: F.atan(y / (1 + k)) * 2, "distance": lambda: y, "ellipsoidal": lambda: reduce(lambda v, _: let(v, newton), range(5), sphere_),
+    }[family]()
+    return wrap_positive(col(x) / k + a0), d
+
+
 PROJECTIONS = {f.__name__: f for f in (gnomonic, stereographic, orthographic, azimuthal_equidistant, azimuthal_equal_area, plate_carree, equirectangular, mercator, cylindrical_equal_area, miller, sinusoidal, aitoff, hammer)}

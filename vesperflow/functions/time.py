@@ -122,6 +122,22 @@ def delta_t(year) -> Column:
     return out
 
 
+def delta_t_spline(points, table, year: str = "year", out: str = "delta_t"):
+    """`points` with TT - UT1 by a published table of cubic segments (start, end, a0, a1, a2, a3): within a segment
+    a0 + t (a1 + t (a2 + t a3)), t running from 0 to 1; outside all of them as `delta_t`.
+
+    The table is the caller's, some ten rows a century; years meet segments in buckets.
+    """
+    from vesperflow.operators.joins import range_join
+
+    rows = points.withColumn("_id", F.monotonically_increasing_id())
+    seg = table.select(*(F.col(c).cast("double").alias(f"_{c}") for c in ("start", "end", "a0", "a1", "a2", "a3")))
+    hit = range_join(rows.select("_id", year), seg, year, "_start", "_end", 50.0).groupBy("_id").agg(F.max_by(F.struct("_start", "_end", "_a0", "_a1", "_a2", "_a3"), "_start").alias("_s"))
+    t = (F.col(year) - F.col("_s._start")) / (F.col("_s._end") - F.col("_s._start"))
+    spline = F.col("_s._a0") + t * (F.col("_s._a1") + t * (F.col("_s._a2") + t * F.col("_s._a3")))
+    return rows.join(hit, "_id", "left").withColumn(out, F.coalesce(spline, delta_t(year))).drop("_id", "_s")
+
+
 def decimal_year(ts) -> Column:
     d = col(ts)
     return F.year(d) + (F.dayofyear(d) - 1) / F.when(is_leap(F.year(d)), 366.0).otherwise(365.0)

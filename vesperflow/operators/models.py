@@ -53,6 +53,39 @@ def fit_groups(df: DataFrame, by: str, terms: dict, y: str, weight: str | None =
     return d.groupBy(by).applyInPandas(fit, f"{by} {kind}, coefficients map<string,double>, rms double, n long")
 
 
+def fit_sums(df: DataFrame, by: list[str], terms: dict, y: str, weight: str | None = None, ridge: float = 0.0) -> DataFrame:
+    """(by, coefficients map<string,double>, n): y as a sum of terms by weighted least squares, for groups of any size.
+
+    Products of terms are summed, with partial sums through the exchange; what is left of a group, a matrix of its
+    terms, is solved in Arrow batches. Normal equations: terms should be of about one size.
+    """
+    names = list(terms)
+    w = (F.col(weight) if weight else F.lit(1.0)).cast("double")
+    d = df.select(*by, w.alias("_w"), F.col(y).cast("double").alias("_y"), *(c.cast("double").alias(f"_{i}") for i, c in enumerate(terms.values())))
+    n = len(names)
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+    s = d.groupBy(*by).agg(F.count("*").alias("n"), F.array(*(F.sum(F.col("_w") * F.col(f"_{i}") * F.col(f"_{j}")) for i, j in upper)).alias("_a"), F.array(*(F.sum(F.col("_w") * F.col(f"_{i}") * F.col("_y")) for i in range(n))).alias("_b"))
+
+    @F.pandas_udf("map<string,double>")
+    def solve(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for u, v in zip(a, b, strict=True):
+            m = np.zeros((n, n))
+            for (i, j), z in zip(upper, u, strict=True):
+                m[i, j] = m[j, i] = z
+            x = np.linalg.lstsq(m + ridge * np.eye(n), np.asarray(v, float), rcond=None)[0]
+            out.append(dict(zip(names, map(float, x), strict=True)))
+        return pd.Series(out)
+
+    return s.select(*by, solve("_a", "_b").alias("coefficients"), "n")
+
+
+def leverage(a: np.ndarray, w: np.ndarray | None = None, ridge: float = 0.0) -> np.ndarray:
+    """How much each row of a design draws the fit to itself: the diagonal of the hat matrix."""
+    x = a if w is None else a * np.sqrt(w)[:, None]
+    return np.einsum("ij,jk,ik->i", x, np.linalg.pinv(x.T @ x + ridge * np.eye(a.shape[1])), x)
+
+
 def pointing_terms(hour_angle: str = "ha", dec: str = "decl", latitude: float = 0.0) -> dict:
     """Terms of the hour-angle error of an equatorial mount: index, collimation, axes, polar azimuth and altitude, flexure."""
     import math

@@ -108,36 +108,74 @@ def frame_weight(method: str) -> Column:
     return {"none": F.lit(1.0), "snr": F.greatest(F.col("snr"), F.lit(1e-6)), "inverse-hfd": F.lit(1.0) / F.greatest(F.col("hfd"), F.lit(1e-6)), "stars": F.greatest(F.col("n").cast("double"), F.lit(1e-6)), "quality": F.greatest(F.col("quality"), F.lit(1e-6))}[method]
 
 
-def reference_frame(frames: DataFrame, by: list[str]) -> DataFrame:
-    """The frame of the best quality, a quarter of it for frames of fewer than three stars, less the background."""
-    score = F.col("quality") * F.when(F.col("n") < 3, 0.25).otherwise(1.0) - F.col("background")
+def reference_frame(frames: DataFrame, by: list[str], mode: str = "best", index: int = 0, least: int = 3) -> DataFrame:
+    """(by, frame): best: the frame of the best quality, a quarter of it for frames of fewer than `least` stars, less the
+    background; first: the first with so many stars, else the first; index: the one at a place in the order of frames."""
+    if mode == "index":
+        w = Window.partitionBy(*by).orderBy("frame")
+        return frames.withColumn("_k", F.row_number().over(w) - 1).where(F.col("_k") == index).select(*by, "frame")
+    if mode == "first":
+        return frames.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("n") >= least, F.col("frame"))), F.min("frame")).alias("frame"))
+    score = F.col("quality") * F.when(F.col("n") < least, 0.25).otherwise(1.0) - F.col("background")
     return frames.groupBy(*by).agg(F.max(F.struct(score.alias("s"), (-F.col("frame")).alias("f")))["f"].alias("_f")).select(*by, (-F.col("_f")).alias("frame"))
 
 
-def normalisation(pixels: DataFrame, reference: DataFrame, by: str = "frame") -> DataFrame:
-    """(frame, scale, offset) that bring a frame to the reference over common pixels: the spans and levels of quartiles."""
+def normalisation(pixels: DataFrame, reference: DataFrame, by: str = "frame", mode: str = "background-scale", channels: bool = False) -> DataFrame:
+    """(frame, scale, offset), by channel too if asked, that bring a frame to the reference over common pixels.
+
+    scale: the ratio of medians; background-scale: the spans and levels of quartiles; percentile: of tenths.
+    """
+    keys = [by, "c"] if channels else [by]
     r = reference.select(*PIXEL, F.col("value").alias("_r"))
-    q = pixels.join(r, PIXEL).groupBy(by).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("_a"), F.percentile("_r", F.array(F.lit(0.25), F.lit(0.75))).alias("_b"))
+    ps = {"scale": (0.5, 0.5), "background-scale": (0.25, 0.75), "percentile": (0.1, 0.9)}[mode]
+    q = pixels.join(r, PIXEL).groupBy(*keys).agg(F.percentile("value", F.array(*map(F.lit, ps))).alias("_a"), F.percentile("_r", F.array(*map(F.lit, ps))).alias("_b"))
+    if mode == "scale":
+        return q.select(*keys, F.when(F.abs(F.col("_a")[0]) > 1e-12, F.col("_b")[0] / F.col("_a")[0]).otherwise(1.0).alias("scale"), F.lit(0.0).alias("offset"))
     span = F.col("_a")[1] - F.col("_a")[0]
     scale = F.when(span > 0, (F.col("_b")[1] - F.col("_b")[0]) / span).otherwise(1.0)
-    return q.select(by, scale.alias("scale"), (F.col("_b")[0] - scale * F.col("_a")[0]).alias("offset"))
+    return q.select(*keys, scale.alias("scale"), (F.col("_b")[0] - scale * F.col("_a")[0]).alias("offset"))
 
 
 # ---- calibration and point transforms --------------------------------------------------------------------------------
 
 
-def calibrate(light: DataFrame, bias: DataFrame, dark: DataFrame, flat: DataFrame, exposure_ratio: float) -> DataFrame:
-    """value = (light - bias - ratio (dark - bias)) / (flat - bias) * mean(flat - bias), the mean by channel.
+def calibrate(light: DataFrame, bias: DataFrame, dark: DataFrame, flat: DataFrame, exposure_ratio: float, dark_flat: DataFrame | None = None, phase: bool = False, strict: bool = False) -> DataFrame:
+    """value = (light - bias - ratio (dark - bias)) / (flat - base) * mean(flat - base), the mean by channel.
 
-    Masters are pixel tables (x, y, c, value) of one frame; a flat that is not above the bias gives null.
+    Masters are pixel tables (x, y, c, value) of one frame. base is the flats' own dark where given, else the bias. With
+    `phase` means are by place in the colour mosaic's 2 x 2 too. A flat that is not above its base gives null, or, if
+    strict, an error.
     """
+    base = bias if dark_flat is None else dark_flat
     m = light
-    for name, t in (("bias", bias), ("dark", dark), ("flat", flat)):
+    for name, t in (("bias", bias), ("dark", dark), ("flat", flat), ("base", base)):
         m = m.join(t.select(*PIXEL, F.col("value").alias(f"_{name}")), PIXEL)
-    level = flat.join(bias.select(*PIXEL, F.col("value").alias("_b")), PIXEL).groupBy("c").agg(F.avg(F.col("value") - F.col("_b")).alias("_level"))
+    groups = {"c": F.col("c")} | ({"_px": F.pmod("x", F.lit(2)), "_py": F.pmod("y", F.lit(2))} if phase else {})
+    net_flat = flat.join(base.select(*PIXEL, F.col("value").alias("_b")), PIXEL).withColumns(groups)
+    level = net_flat.groupBy(*groups).agg(F.avg(F.col("value") - F.col("_b")).alias("_level"))
     net = F.col("value") - F.col("_bias") - (F.col("_dark") - F.col("_bias")) * exposure_ratio
-    gain = F.col("_flat") - F.col("_bias")
-    return m.join(level, "c").withColumn("value", F.when(gain > 0, net / gain * F.col("_level"))).drop("_bias", "_dark", "_flat", "_level")
+    gain = F.col("_flat") - F.col("_base")
+    value = F.when(gain > 0, net / gain * F.col("_level"))
+    if strict:
+        value = value.otherwise(F.raise_error(F.lit("a flat is not above its dark")).cast("double"))
+    return m.withColumns(groups).join(level, list(groups)).withColumn("value", value).drop("_bias", "_dark", "_flat", "_base", "_level", "_px", "_py")
+
+
+def neutralise(pixels: DataFrame, by: str = "frame", mode: str = "target", target: float = 0.001, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """Channels moved so that their background medians, of values within low and high, are equal.
+
+    target: medians at `target`, values cut to 0..1; truncate: medians at 0, cut; rescale: medians at 0, the frame's range
+    made 0..1; as-needed: rescaled only if it left 0..1.
+    """
+    m = pixels.groupBy(by, "c").agg(F.median(F.when(F.col("value").between(low, high), F.col("value"))).alias("_m"))
+    moved = pixels.join(m, [by, "c"]).withColumn("value", F.col("value") - F.col("_m") + (target if mode == "target" else 0.0)).drop("_m")
+    cut = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value")))
+    if mode in ("target", "truncate"):
+        return moved.withColumn("value", cut)
+    span = moved.groupBy(by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(cut)
+    needed = F.lit(True) if mode == "rescale" else (F.col("_lo") < 0) | (F.col("_hi") > 1)
+    return moved.join(span, by).withColumn("value", F.when(needed, scaled).otherwise(F.col("value"))).drop("_lo", "_hi")
 
 
 def convolve(pixels: DataFrame, kernel: list[list[float]], by: list[str]) -> DataFrame:

@@ -437,3 +437,136 @@ def cover_shapes(spark, sf_dir):
     parts = (("polygon", _POLY, healpix.polygon_cover(_POLY._normals(), 32)), ("box", box, healpix.box_cover(box.parts(), 32)))
     found = [s.where(F.col("hpx").isin(cover)).where(shape.exact()).select(F.lit(name).alias("shape"), "id") for name, shape, cover in parts]
     return found[0].unionByName(found[1])
+
+
+# ---- projections, frames, scales ------------------------------------------------------------------------------------
+
+_LON = f"((ra - 2) - {lit(2 * math.pi)} * ceil((ra - 2 - {lit(math.pi)}) / {lit(2 * math.pi)}))"
+
+
+def _cyl_sql(name: str) -> str:
+    family, k = sphere._family(name, None)
+    y = {"web": f"asinh(tan(greatest(-{lit(sphere.WEB_LIMIT)}, least({lit(sphere.WEB_LIMIT)}, decl))))", "central": "tan(decl)", "area": f"sin(decl) / {lit(k)}", "stereographic": f"tan(decl / 2) * {lit(1 + k)}", "miller": f"1.25E0 * ln(tan(0.4E0 * decl + {lit(math.pi / 4)}))"}[family]
+    return f"round({_LON} * {lit(k)}, 6) + 0.0E0 {name}_x, round({y}, 5) + 0.0E0 {name}_y"
+
+
+_CYL = ("web_mercator", "miller", "central", "lambert", "behrmann", "gall_peters", "hobo_dyer", "balthasart", "trystan_edwards", "braun", "gall")
+
+
+@query(f"WITH {SKY} SELECT id, {', '.join(map(_cyl_sql, _CYL))} FROM sky WHERE abs(decl) < 1.4")
+def cylindrical_projections(spark, sf_dir):
+    s = sky(spark, sf_dir).where("abs(decl) < 1.4D")
+    both = {n: sphere.cylindrical(n, "ra", "decl", 2.0) for n in _CYL}
+    return s.select("id", *(r(xy[0]).alias(f"{n}_x") for n, xy in both.items()), *(r(xy[1], 5).alias(f"{n}_y") for n, xy in both.items()))
+
+
+_ROUND = ("gnomonic", "stereographic", "orthographic", "azimuthal_equidistant", "azimuthal_equal_area")
+
+
+@query(f"WITH {SKY} SELECT id, {', '.join(f'round(ra, 6) + 0.0E0 ra_{i}, round(decl, 6) + 0.0E0 decl_{i}' for i in range(8))} FROM sky WHERE sin(decl) * {lit(math.sin(0.4))} + cos(decl) * {lit(math.cos(0.4))} * cos(ra - 2) > 0.2 AND abs(decl) < 1.4 AND ra > 0.001")
+def projection_round_trips(spark, sf_dir):
+    """Projected and taken back: azimuthal ones, Mercator's, an equal-area one and Mercator's of an ellipsoid."""
+    s = sky(spark, sf_dir).where((F.sin("decl") * math.sin(0.4) + F.cos("decl") * math.cos(0.4) * F.cos(F.col("ra") - 2.0) > 0.2) & (F.abs("decl") < 1.4) & (F.col("ra") > 0.001))
+    back = [sphere.azimuthal_inverse(n, *sphere.PROJECTIONS[n]("ra", "decl", 2.0, 0.4), 2.0, 0.4) for n in _ROUND]
+    for name, e in (("mercator", 0.0), ("gall_peters", 0.0), ("ellipsoidal", 0.0818191908)):
+        x, y = sphere.cylindrical(name, "ra", "decl", 2.0, eccentricity=e)
+        back.append(sphere.cylindrical_inverse(name, x, y, 2.0, eccentricity=e))
+    return s.select("id", *(r(a).alias(f"ra_{i}") for i, (a, _) in enumerate(back)), *(r(d).alias(f"decl_{i}") for i, (_, d) in enumerate(back)))
+
+
+_M0 = "datediff('day', DATE '1858-11-17', CAST(ts AS DATE)) - 60310.0E0 + (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 86400e6"
+
+
+@query(f"""WITH t AS (SELECT event_id, {_M0} u FROM events), a AS (SELECT *, u + 37 / 86400.0E0 tai, u + 69.184E0 / 86400 tt FROM t), g AS (SELECT *, (tt + 60310 - 51544.5E0) * {lit(0.98560028 * math.pi / 180)} + {lit(357.53 * math.pi / 180)} g FROM a)
+SELECT event_id, round((tai - u) * 86400, 4) tai, round((tt - u) * 86400, 4) tt, round((0.001657E0 * sin(g) + 0.000022E0 * sin(2 * g)) * 1000, 2) + 0.0E0 tdb_ms, round(u, 6) back FROM g""")
+def time_scales(spark, sf_dir):
+    """UTC to TAI, TT and TDB, and back from TAI."""
+    from vesperflow.functions import time as times
+
+    e = table(spark, sf_dir, "events").withColumn("u", times.from_timestamp("ts"))
+    e = e.withColumn("tai", times.utc_to_tai(F.col("u"))).withColumn("tt", times.tai_to_tt(F.col("tai"))).withColumn("tdb", times.tt_to_tdb(F.col("tt")))
+    d = lambda a, b, k: times.difference(F.col(a), F.col(b)) * k
+    return e.select("event_id", r(d("tai", "u", 86400.0), 4).alias("tai"), r(d("tt", "u", 86400.0), 4).alias("tt"), r(d("tdb", "tt", 86400e3), 2).alias("tdb_ms"), r(times.mjd(times.tai_to_utc(F.col("tai"))) - 60310.0, 6).alias("back"))
+
+
+# ---- frames of a stack ----------------------------------------------------------------------------------------------
+
+
+def _norm_sql(lo: float, hi: float) -> str:
+    q = f"quantile_cont(u.value, {lo}) a1, quantile_cont(u.value, {hi}) a3, quantile_cont(r.value, {lo}) b1, quantile_cont(r.value, {hi}) b3"
+    return f"WITH {PIXELS}, {_UNIQUE}, q AS (SELECT u.frame, u.c, {q} FROM u JOIN (SELECT * FROM u WHERE frame = 0) r USING (x, y, c) GROUP BY ALL)"
+
+
+@query(f"{_norm_sql(0.1, 0.9)}, m AS (SELECT u.frame, median(r.value) / median(u.value) ratio FROM u JOIN (SELECT * FROM u WHERE frame = 0) r USING (x, y, c) GROUP BY 1) SELECT frame, c, round((b3 - b1) / (a3 - a1), 6) AS scale, round(b1 - (b3 - b1) / (a3 - a1) * a1, 6) + 0.0E0 AS \"offset\", round(ratio, 6) ratio FROM q JOIN m USING (frame) WHERE a3 > a1")
+def frame_normalization_modes(spark, sf_dir):
+    """Spans of tenths by channel, and ratios of medians."""
+    u = _unique(spark, sf_dir)
+    ref = u.where("frame = 0")
+    ratio = stack.normalisation(u, ref, mode="scale").select("frame", r("scale").alias("ratio"))
+    return stack.normalisation(u, ref, mode="percentile", channels=True).join(ratio, "frame").select("frame", "c", r("scale").alias("scale"), r("offset").alias("offset"), "ratio")
+
+
+@query("""WITH f AS (SELECT CAST(o_custkey % 50 AS INTEGER) grp, o_custkey frame, count(*) n FROM orders GROUP BY ALL) SELECT grp, coalesce(min(frame) FILTER (n >= 12), min(frame)) AS "first", list_sort(list(frame))[4] AS fourth FROM f GROUP BY 1""")
+def reference_frame_modes(spark, sf_dir):
+    """The first frame with enough stars, and the one at a place."""
+    f = table(spark, sf_dir, "orders").groupBy(F.pmod("o_custkey", F.lit(50)).cast("int").alias("grp"), F.col("o_custkey").alias("frame")).agg(F.count("*").alias("n"))
+    first = stack.reference_frame(f, ["grp"], "first", least=12).withColumnRenamed("frame", "first")
+    return first.join(stack.reference_frame(f, ["grp"], "index", index=3).withColumnRenamed("frame", "fourth"), "grp", "left")
+
+
+@query(f"""WITH {PIXELS}, {_UNIQUE}, k AS (SELECT * FROM u WHERE frame > 4), b AS (SELECT * FROM u WHERE frame = 1), d AS (SELECT * FROM u WHERE frame = 2), f AS (SELECT x, y, c, value + 1 AS value FROM u WHERE frame = 3), e AS (SELECT * FROM u WHERE frame = 4),
+l AS (SELECT f.c, f.x % 2 px, f.y % 2 py, avg(f.value - e.value) lev FROM f JOIN e USING (x, y, c) GROUP BY ALL) SELECT k.frame, k.x, k.y, k.c, round((k.value - b.value - (d.value - b.value) * 0.5E0) / (f.value - e.value) * lev, 6) + 0.0E0 AS value
+FROM k JOIN b USING (x, y, c) JOIN d USING (x, y, c) JOIN f USING (x, y, c) JOIN e USING (x, y, c) JOIN l ON l.c = k.c AND l.px = k.x % 2 AND l.py = k.y % 2 WHERE f.value > e.value""")
+def calibrate_by_phase(spark, sf_dir):
+    """Calibration with the flats' own dark and means by place in the colour mosaic."""
+    u = _unique(spark, sf_dir)
+    one = lambda k: u.where(F.col("frame") == k)
+    flat = one(3).withColumn("value", F.col("value") + 1)
+    out = stack.calibrate(u.where("frame > 4"), one(1), one(2), flat, 0.5, dark_flat=one(4), phase=True)
+    return out.where("value IS NOT NULL").select("frame", "x", "y", "c", r("value").alias("value"))
+
+
+@query(f"""WITH {PIXELS}, {_UNIQUE}, m AS (SELECT frame, c, median(value) FILTER (value BETWEEN 0.05 AND 0.9) m FROM u GROUP BY ALL), t AS (SELECT u.frame, x, y, u.c, value - m AS v FROM u JOIN m ON m.frame = u.frame AND m.c = u.c), s AS (SELECT frame, min(v) lo, max(v) hi FROM t GROUP BY 1)
+SELECT t.frame, x, y, c, round(least(1, greatest(0, v + 0.1E0)), 6) + 0.0E0 target, round((v - lo) / (hi - lo), 6) + 0.0E0 scaled FROM t JOIN s USING (frame)""")
+def background_neutralised(spark, sf_dir):
+    u = _unique(spark, sf_dir)
+    a = stack.neutralise(u, target=0.1, low=0.05, high=0.9).withColumn("target", r("value")).drop("value")
+    b = stack.neutralise(u, mode="rescale", low=0.05, high=0.9).withColumn("scaled", r("value")).drop("value")
+    return a.join(b, ["frame", "x", "y", "c"]).select("frame", "x", "y", "c", "target", "scaled")
+
+
+# ---- cross-match ----------------------------------------------------------------------------------------------------
+
+_CRA, _CDEC, _CRAD, _CSCALE = 2.0, 0.2, 0.25, 1e-3
+_XC = f"cos(decl) * sin(ra - {lit(_CRA)})"
+_YC = f"(sin(decl) * {lit(math.cos(_CDEC))} - cos(decl) * {lit(math.sin(_CDEC))} * cos(ra - {lit(_CRA)}))"
+_CC = f"(sin(decl) * {lit(math.sin(_CDEC))} + cos(decl) * {lit(math.cos(_CDEC))} * cos(ra - {lit(_CRA)}))"
+
+
+@query(f"""WITH {SKY}, cone AS (SELECT id, mag, {_XC} / {_CC} / {lit(_CSCALE)} x, {_YC} / {_CC} / {lit(_CSCALE)} y FROM sky WHERE atan2(sqrt(pow({_XC}, 2) + pow({_YC}, 2)), {_CC}) <= {lit(_CRAD)}), t AS (SELECT id FROM cone ORDER BY mag, id LIMIT 120)
+SELECT cone.id idx, t.id FROM cone LEFT JOIN t USING (id) WHERE cone.id % 5 <> 0 UNION ALL SELECT -cone.id - 1 idx, NULL id FROM cone WHERE cone.id % 9 = 0""")
+def image_catalogue_match(spark, sf_dir):
+    """Detections made of the stars of a cone, turned, scaled and moved, with false ones far from any: each is matched to its
+    star if that is among the brightest, and to none if not."""
+    from vesperflow.operators import crossmatch
+
+    s = sky(spark, sf_dir)
+    cat = crossmatch.project(s, _CRA, _CDEC, _CRAD, _CSCALE)
+    turn, size = 0.4, 1.7
+    x, y = ((F.col("x") * math.cos(turn) - F.col("y") * math.sin(turn)) * size + 500, (F.col("x") * math.sin(turn) + F.col("y") * math.cos(turn)) * size + 400)
+    real = cat.where("id % 5 != 0").select(F.col("id").alias("idx"), x.alias("x"), y.alias("y"), F.pow(F.lit(10.0), F.col("mag") * -0.4).alias("flux"))
+    false = cat.where("id % 9 = 0").select((-F.col("id") - 1).alias("idx"), (x + 5000).alias("x"), (y - 5000).alias("y"), F.lit(1e-9).alias("flux"))
+    seen = real.unionByName(false)
+    found = crossmatch.solve(seen, s, _CRA + 2e-3, _CDEC - 1e-3, _CRAD + 0.01, _CSCALE, (500.0, 400.0))
+    # stars of the query's own cone only, as the moved centre's reaches a little farther
+    inside = s.join(cat.select("id"), "id", "left_semi")
+    return crossmatch.match(seen, inside, found, math.pi / 3, _CSCALE, within=0.05, top=120).select("idx", "id")
+
+
+@query(f"""WITH d AS (SELECT CAST(l_suppkey % 10 AS INTEGER) grp, l_quantity x, l_extendedprice / 1000.0E0 y, l_discount + 0.01E0 w FROM lineitem), m AS (SELECT grp, sum(w * x) / sum(w) mx, sum(w * y) / sum(w) my FROM d GROUP BY 1)
+SELECT grp, round(sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)), 6) slope, round(any_value(my) - sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) * any_value(mx), 5) intercept, count(*) n FROM d JOIN m USING (grp) GROUP BY 1""")
+def weighted_model_fit(spark, sf_dir):
+    """Least squares of a model's terms from sums of products, a group's few solved at the end."""
+    l = table(spark, sf_dir, "lineitem").select(F.pmod("l_suppkey", F.lit(10)).cast("int").alias("grp"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000.0).alias("y"), (F.col("l_discount") + 0.01).alias("w"))
+    f = models.fit_sums(l, ["grp"], {"one": F.lit(1.0), "x": F.col("x")}, "y", "w")
+    return f.select("grp", r(F.element_at("coefficients", "x")).alias("slope"), r(F.element_at("coefficients", "one"), 5).alias("intercept"), "n")

@@ -110,3 +110,57 @@ def guiding_stream(spark, sf_dir):
     """A correction mixed with the one before is a sum of errors by falling powers of the mixture."""
     s = frames.settle(frames.guide(_stream(spark, sf_dir, "events"), "user_id", "ts", "value", gap=3600.0), "update", "guide", ["user_id"])
     return s.select("user_id", "n", "dropped", r("output").alias("output"))
+
+
+@query("""WITH e AS (SELECT event_type, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3 MINUTES THEN 0 ELSE 1 END new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM e)
+SELECT min(ts) AS "start", max(ts) + INTERVAL 3 MINUTES AS "end", event_type, count(*) n, round(sum(value), 4) total FROM s GROUP BY event_type, k HAVING max(ts) + INTERVAL 3 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+def session_stream(spark, sf_dir):
+    """Closed runs of events of a type with less than three minutes between them."""
+    w = frames.sessions(_stream(spark, sf_dir, "events"), "ts", "3 minutes", "10 minutes", ["event_type"], "value")
+    return frames.settle(w, "append", "sessions").withColumn("total", r("total", 4))
+
+
+@query("""SELECT user_id, count(*) n, round(max(abs(value - f)), 6) peak, round(max(value) - min(value), 6) peak_to_peak, round(regr_slope(value, s), 9) drift FROM (SELECT user_id, value, epoch_us(ts) / 1e6 - 1704067200 s, first_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) f FROM events) GROUP BY 1""")
+def collector_stream(spark, sf_dir):
+    """Samples gathered from a stream, and the snapshot of all of them after the last batch."""
+
+    def snapshot(df):
+        d = df.withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200)
+        first = d.groupBy("user_id").agg(F.min_by("value", F.struct("ts", "event_id")).alias("f"))
+        return d.join(first, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), r(F.max(F.abs(F.col("value") - F.col("f")))).alias("peak"), r(F.max("value") - F.min("value")).alias("peak_to_peak"), r(F.regr_slope("value", "s"), 9).alias("drift"))
+
+    return frames.collect(_stream(spark, sf_dir, "events"), snapshot)
+
+
+@query("""SELECT event_type, count(*) n, round(max(value), 6) largest FROM events GROUP BY 1""")
+def handler_stream(spark, sf_dir):
+    """Two handlers of every batch: one counts, one keeps the largest."""
+    by = frames.fan_out(_stream(spark, sf_dir, "events"), {"counts": lambda d: d.groupBy("event_type").count(), "largest": lambda d: d.groupBy("event_type").agg(F.max("value").alias("m"))})
+    n = by["counts"].groupBy("event_type").agg(F.sum("count").alias("n"))
+    return n.join(by["largest"].groupBy("event_type").agg(r(F.max("m")).alias("largest")), "event_type")
+
+
+_RUNS = "s AS (SELECT user_id, event_id, value, row_number() OVER w i, value > lag(value) OVER w AND lag(value) OVER w > lag(value, 2) OVER w AND lag(value, 2) OVER w > lag(value, 3) OVER w stop FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+
+
+@query(f"""WITH {_RUNS}, e AS (SELECT user_id, min(i) FILTER (stop) at FROM s GROUP BY 1) SELECT s.user_id, round(min(value), 6) best, min_by(event_id, (value, i)) place, count(*) taken, any_value(e.at) IS NOT NULL done FROM s JOIN e USING (user_id) WHERE e.at IS NULL OR i <= e.at GROUP BY 1""".replace("FILTER (stop) at", "FILTER (stop) AS last_").replace("e.at", "e.last_"))
+def autofocus_stream(spark, sf_dir):
+    """Focus runs that end at the third rise in a row: the best size and its place."""
+    f = frames.machine(_stream(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_id", "value"], frames.FOCUS_START, frames.focus_step(), frames.FOCUS)
+    return frames.settle(f, "update", "focus", ["user_id"]).select("user_id", r("best").alias("best"), "place", "taken", "done")
+
+
+@query("""WITH s AS (SELECT user_id, value, row_number() OVER w - 1 i, abs(value - first_value(value) OVER w) way FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), e AS (SELECT user_id, coalesce(min(i) FILTER (i > 0 AND (way >= 40 OR i >= 12)), max(i)) AS last_, count(*) FILTER (i > 0 AND (way >= 40 OR i >= 12)) > 0 done FROM s GROUP BY 1)
+SELECT user_id, CAST(i AS BIGINT) pulses, round(CASE WHEN i > 0 THEN way / i ELSE 0 END, 6) + 0.0E0 rate, done FROM s JOIN e USING (user_id) WHERE i = last_""")
+def calibration_stream(spark, sf_dir):
+    """Pulses until a star has moved far enough, and its rate."""
+    f = frames.machine(_stream(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["value"], frames.CALIBRATION_START, frames.calibration_step(40.0, 12), frames.CALIBRATION)
+    return frames.settle(f, "update", "calibration", ["user_id"]).select("user_id", "pulses", r("rate").alias("rate"), "done")
+
+
+@query("""SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) FILTER (k <= 8) ids, count(*) seen FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) k FROM events) GROUP BY 1""")
+def ring_buffer_stream(spark, sf_dir):
+    """The last eight events of each user, kept as they come."""
+    f = frames.machine(_stream(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_id"], {"values": [], "seen": 0}, frames.ring(8), "values array<bigint>, seen long")
+    s = frames.settle(f, "update", "ring", ["user_id"])
+    return s.select("user_id", F.concat_ws(",", F.transform("values", lambda x: x.cast("string"))).alias("ids"), "seen")
