@@ -190,3 +190,20 @@ def test_lm_query_has_every_word(spark, tmp_path, monkeypatch):
         got = sorted((str(r.doc_id), r.n_tokens, r.target_bits, r.background_bits) for r in op8_lm_score(spark, str(tmp_path)).collect())
         assert [g[:2] for g in got] == [w[:2] for w in want]
         assert np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-9)
+
+
+def test_lm_deals_out_repeated_ids(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choices(["a", "b", "c", "dd", "e"], k=rng.randrange(0, 40)))
+    docs = [(7, text()) for _ in range(300)] + [(7, "same text here")] * 100 + [(8, text()) for _ in range(120)] + [(None, "")] * 200 + [(i, text()) for i in range(100, 300)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/d")
+    rows = spark.read.parquet(f"{tmp_path}/d")
+    good = {7, 101, 102, 9999}
+    ids = spark.createDataFrame([(i,) for i in good] + [(7,), (None,)], "doc_id long")
+    t, b = whole_bits([d[1] for d in docs], [d[0] in good for d in docs])
+    want = sorted((str(i), len(x.split()), p, q) for (i, x), p, q in zip(docs, t, b, strict=True))
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 1500)
+    for most in (1000, 50):
+        monkeypatch.setattr(lm_score, "ID_ROWS", most)
+        got = sorted((str(r.doc_id), r.n_tokens, r.target_bits, r.background_bits) for r in lm_score.score_whole(rows, ids).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-9)

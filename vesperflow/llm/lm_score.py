@@ -13,12 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vesperflow.llm._common import Words, bound_arrow, map_batches, sums
-from vesperflow.session import pick
+from vesperflow.session import materialize, pick
 
 #: Ids of the model: words, then shape classes, then the start of a text. The tables are dense in its square.
 VOCABULARY = 1024
@@ -168,6 +168,8 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 BUCKETS = 64
+#: Rows of one id up to which they lie in one block; those of an id with more are dealt by themselves.
+ID_ROWS = 1000
 #: Contexts of more than this share of a sample's words are dealt by the word that follows. This evens the buckets only.
 HOT = 1 / 500
 _START = np.uint64(0x5EED5EED5EED5EED)
@@ -324,7 +326,8 @@ def score_whole(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id",
     """(doc_id, n_tokens, target_bits, background_bits, score) of each row of `docs` by models with every word of `docs`.
 
     As `fit` and `score`, with no word left to a class: unigrams are add-one over all distinct words. Rows of one id lie
-    in one block (rows without an id are dealt by their text), so a block is as large as its most repeated id at least.
+    in one block with the mark that it is a target; rows without an id, and those of an id with over ID_ROWS rows, are
+    dealt one by one, and such an id's mark goes to every block.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
@@ -332,10 +335,25 @@ def score_whole(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id",
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks, buckets = 1 + total // BLOCK_BYTES, BUCKETS + total // BUCKET_BYTES
     hot = hot_contexts(rows, "_text")
-    block = F.pmod(F.xxhash64(F.when(F.col("_id").isNull(), F.col("_text")), "_id"), F.lit(blocks)).cast("int")
     kind = rows.schema["_id"].dataType
     ids = target_ids.toDF("_id").where("_id IS NOT NULL").select(F.col("_id").cast(kind).alias("_id"), F.lit(None).cast("string").alias("_text"))
-    dealt = rows.withColumn("_aim", F.lit(False)).union(ids.withColumn("_aim", F.lit(True))).withColumn("_block", block).repartition(blocks, "_block")
+
+    def dealt_by(*of) -> Column:
+        return F.pmod(F.xxhash64(*of), F.lit(blocks)).cast("int")
+
+    often = rows.where("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("_n")).where(F.col("_n") > ID_ROWS).select("_id")
+    alone = F.col("_id").isNull()
+    if not often.isEmpty():  # repeated ids, of which the rows hold few
+        often = materialize(often, "often").withColumn("_often", F.lit(True))
+        rows, ids = (df.join(often, "_id", "left") for df in (rows, ids.distinct()))
+        alone = alone | F.col("_often").isNotNull()
+        everywhere = F.when(alone, F.sequence(F.lit(0), F.lit(blocks - 1).cast("int"))).otherwise(F.array(dealt_by("_id")))
+        ids = ids.select("_id", "_text", F.explode(everywhere).alias("_block"))
+    else:
+        ids = ids.withColumn("_block", dealt_by("_id"))
+    # by the place in the scan: the same whenever a task runs again
+    rows = rows.withColumn("_block", F.when(alone, dealt_by(F.monotonically_increasing_id())).otherwise(dealt_by("_id"))).select("_id", "_text", "_block")
+    dealt = rows.withColumn("_aim", F.lit(False)).union(ids.withColumn("_aim", F.lit(True))).select("_id", "_text", "_aim", "_block").repartition(blocks, "_block")
 
     def texts(t: pa.Table) -> pa.Table:
         return t.filter(pc.invert(t.column("_aim"))).combine_chunks()
