@@ -97,6 +97,21 @@ def brent_root(f: Callable[[float], float], a: float, b: float, tolerance: float
     return b
 
 
+def solve_column(f: Callable[..., float], low, high, *parameters, tolerance: float = 1e-12):
+    """A column of roots of f(x, *parameters) between two columns, where it changes sign; null where it does not."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, *p: pd.Series) -> pd.Series:
+        out = []
+        for x, y, *own in zip(a, b, *p, strict=True):
+            g = lambda t, own=own: f(t, *own)
+            out.append(brent_root(g, x, y, tolerance) if g(x) * g(y) <= 0 else None)
+        return pd.Series(out, dtype="float64")
+
+    return run(low, high, *parameters)
+
+
 def mulberry32(seed: int, n: int) -> np.ndarray:
     """The first n numbers in [0, 1) of the 32-bit generator of that name."""
     k = 0xFFFFFFFF

@@ -12,12 +12,28 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def planes(width: int, height: int, channels: int, pixels) -> np.ndarray:
     return np.asarray(pixels, float).reshape(height, width, channels).transpose(2, 0, 1)
 
 
+def from_pixels(pixels: DataFrame, by: str, width: int, height: int, channels: int = 1) -> DataFrame:
+    """(by, width, height, channels, pixels) from rows (by, x, y, c, value), one value a place; what is not there is 0."""
+    place = ((F.col("y") * width + F.col("x")) * channels + (F.col("c") if "c" in pixels.columns else F.lit(0))).cast("int")
+    m = pixels.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("value").cast("double")))).alias("_m"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(width * height * channels - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
+    return m.select(by, F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(channels).alias("channels"), values.alias("pixels"))
+
+
+def to_pixels(images: DataFrame, by: str) -> DataFrame:
+    """(by, x, y, c, value): one row for each sample."""
+    p = images.select(by, "width", "channels", F.posexplode("pixels").alias("_i", "value"))
+    at = F.floor(F.col("_i") / F.col("channels"))
+    return p.select(by, F.pmod(at, F.col("width")).cast("int").alias("x"), F.floor(at / F.col("width")).cast("int").alias("y"), F.pmod("_i", F.col("channels")).cast("int").alias("c"), "value")
+
+
 def map_images(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """`images` with f applied to the planes (channel, y, x) of each frame; f may change their shape."""
 

@@ -12,6 +12,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def triangles(p: np.ndarray, neighbours: int = 6) -> tuple[np.ndarray, np.ndarray]:
@@ -30,6 +31,25 @@ def triangles(p: np.ndarray, neighbours: int = 6) -> tuple[np.ndarray, np.ndarra
     return v[ok], sides[ok][:, 1:] / sides[ok][:, :1]
 
 
+def triangle_table(stars: DataFrame, frame: str, key: str = "idx", neighbours: int = 6) -> DataFrame:
+    """(frame, a, b, c, long, middle, short): triangles of each star with pairs of its nearest, each set of three once,
+    vertices by rising key, sides by falling length; sides of 0 are left out.
+
+    Neighbours come by cells (`joins.nearest`), pairs of them within a row, so nothing is compared with all the rest.
+    """
+    from vesperflow.operators.joins import nearest
+
+    near = nearest(stars, neighbours, frame, key=key).join(stars.select(frame, F.col(key).alias(f"r_{key}"), F.col("x").alias("_u"), F.col("y").alias("_v")), [frame, f"r_{key}"])
+    own = near.groupBy(frame, key).agg(F.array_sort(F.collect_list(F.struct(f"r_{key}", "_u", "_v"))).alias("_n"))  # at most `neighbours`
+    pairs = F.flatten(F.transform("_n", lambda p, i: F.transform(F.slice("_n", i + 2, F.size("_n")), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    t = own.join(stars.select(frame, key, "x", "y"), [frame, key]).select(frame, F.struct(F.col(key).alias("k"), F.col("x").alias("x"), F.col("y").alias("y")).alias("_o"), F.explode(pairs).alias("_t"))
+    point = lambda c: F.struct(F.col(c)[f"r_{key}"].alias("k"), F.col(c)["_u"].alias("x"), F.col(c)["_v"].alias("y"))
+    t = t.select(frame, F.array_sort(F.array("_o", point("_t.p"), point("_t.q"))).alias("_p")).distinct()
+    side = lambda i, j: F.sqrt(F.pow(F.col("_p")[i]["x"] - F.col("_p")[j]["x"], 2) + F.pow(F.col("_p")[i]["y"] - F.col("_p")[j]["y"], 2))
+    t = t.withColumn("_s", F.sort_array(F.array(side(0, 1), side(0, 2), side(1, 2)), asc=False))
+    return t.where(F.col("_s")[2] > 0).select(frame, *(F.col("_p")[i]["k"].alias(n) for i, n in enumerate("abc")), *(F.col("_s")[i].alias(n) for i, n in enumerate(("long", "middle", "short"))))
+
+
 def fit_similarity(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     """(2 x 3 matrix, RMS) that takes points a to b best, mirrored if that is better."""
     best = None

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vesperflow.functions.angles import wrap_positive, wrap_signed
-from vesperflow.functions.mathx import col
+from vesperflow.functions.mathx import col, cross, norm
 from vesperflow.operators.robust import linear
 
 
@@ -23,6 +23,16 @@ def axis_of_three(p: list[tuple[float, float]]) -> tuple[float, float]:
     return math.atan2(n[1], n[0]) % (2 * math.pi), math.asin(n[2])
 
 
+def axes_of_three(df: DataFrame, key: str, points: list[tuple[str, str]]) -> DataFrame:
+    """(key, azimuth, altitude) of the axis of each row's three directions, named by (azimuth, altitude) columns; null
+    where they do not turn. In columns: the cross product of the two steps."""
+    v = [F.array(F.cos(h) * F.cos(a), F.cos(h) * F.sin(a), F.sin(h)) for a, h in ((col(x), col(y)) for x, y in points)]
+    step = lambda p, q: F.zip_with(q, p, lambda x, y: x - y)
+    n = df.select(key, cross(step(v[0], v[1]), step(v[1], v[2])).alias("_n")).withColumn("_l", norm("_n"))
+    up = F.when(F.col("_n")[2] >= 0, 1.0).otherwise(-1.0) / F.when(F.col("_l") > 1e-12, F.col("_l"))
+    return n.select(key, wrap_positive(F.atan2(F.col("_n")[1] * up, F.col("_n")[0] * up)).alias("azimuth"), F.asin(F.col("_n")[2] * up).alias("altitude"))
+
+
 def polar_error(p: list[tuple[float, float]], latitude: float) -> tuple[float, float]:
     """(azimuth, altitude) errors of the mount's axis from three directions at one declination; north is azimuth 0.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vesperflow.functions import healpix
 from vesperflow.operators import region
-from vesperflow.plans import common, measure_queries, region_queries, robust_queries, scalar_queries, science_queries, series_queries, source_queries  # noqa: F401  they register their queries
+from vesperflow.plans import common, frame_queries, measure_queries, region_queries, robust_queries, scalar_queries, science_queries, series_queries, source_queries  # noqa: F401  they register their queries
 
 QUERIES, ORACLE_SQL = common.QUERIES, common.ORACLE_SQL
 

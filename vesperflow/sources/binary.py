@@ -555,6 +555,20 @@ def read_xisf(spark: SparkSession, path: str) -> DataFrame:
     return _decode(files(spark, path), decode_xisf, "path string, hdu int, width int, height int, channels int, header map<string,string>, pixels array<double>", 1)
 
 
+def decode_image(path: str, content: bytes) -> pd.DataFrame:
+    """A FITS or XISF image by its first bytes; no rows for any other file."""
+    if content[:6] == b"SIMPLE":
+        return decode_fits(path, content)
+    if content[:8] == b"XISF0100":
+        return decode_xisf(path, content)
+    return pd.DataFrame(columns=["path", "hdu", "width", "height", "channels", "header", "pixels"])
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """The images of a folder, of whatever kind each file is, in the columns of `read_fits`."""
+    return _decode(files(spark, path), decode_image, "path string, hdu int, width int, height int, channels int, header map<string,string>, pixels array<double>", 1)
+
+
 def encode_xisf(planes: np.ndarray, sample: str = "Float32", compress: bool = False, shuffle: bool = False, header: dict | None = None) -> bytes:
     """An XISF file of one planar image (channel, y, x)."""
     c, h, w = planes.shape
