@@ -92,3 +92,24 @@ def test_other_tokenizers_encode_whole_texts():
 def test_ids_that_are_no_numbers_raise(spark):
     with pytest.raises(TypeError, match="whole numbers"):
         t.round_trip(spark.createDataFrame([("x1", "a")], "doc_id string, text string"), PATH)
+
+
+def test_rows_of_one_id_are_parted_in_order(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    tok = Tokenizer.from_file(PATH)
+    rows = [(5, " ".join(rng.choices(["ab", "c", "dé", "zz"], k=rng.randrange(0, 9)))) for _ in range(400)] + [(5, None), (None, "x"), (None, "y"), (1, "a"), (9, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = t.write_shards(df, f"file://{tmp_path}/s", PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(made) > 1 and max(n for _, n, _ in made) < 300
+    want, start = [], 0
+    for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = [*tok.encode(x or "", add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((tuple(r) for r in t.read_shards(spark, f"file://{tmp_path}/s", made).collect()), key=lambda r: r[1]) == want

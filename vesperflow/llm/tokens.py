@@ -310,7 +310,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n_docs, pa.int64()), pa.array(n_ids, pa.int64())], names=["file", "docs", "ids"])
 
     rows = pick(docs, [id_col, text_col]).toDF("i", "t")
-    ordered = rows.repartitionByRange("i").sortWithinPartitions("i", "t")
+    # ranges of id and a text's beginning, so that rows of one id can be parted; beginnings are in the order of the texts
+    ordered = rows.repartitionByRange(F.col("i"), F.substring("t", 1, 16)).sortWithinPartitions("i", "t")
     return sorted(tuple(r) for r in ordered.mapInArrow(run, "file string, docs long, ids long").collect())
 
 
