@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vesperflow.functions import healpix
 from vesperflow.operators import events, models, orbits
-from vesperflow.plans.common import PIXELS, SKY, query, r, sky
+from vesperflow.plans.common import PIXELS, SKY, lit, query, r, sky
 from vesperflow.plans.region_queries import _nested_sql
 from vesperflow.session import table
 from vesperflow.streaming import frames
@@ -26,6 +26,27 @@ def kepler_propagate(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col(k).alias("id"), s.alias("s")).select("id", *(r(f"s.{c}", 8).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")))
 
 
+def _kepler_sql() -> str:
+    """Ellipses by Newton's steps of Kepler's equation, turned by the three angles."""
+    u = lambda c, n, m: f"((({c} * {n}) % {m}) / {m}.0E0)"
+    k = "o_orderkey"
+    step = "ea - (ea - e * sin(ea) - m) / (1 - e * cos(ea))"
+    newton = ", ".join(f"n{i} AS (SELECT * REPLACE ({step} AS ea) FROM n{i - 1})" for i in range(1, 13))
+    return f"""WITH o AS (SELECT {k} id, {u(k, 7919, 1009)} * 2 + 0.3E0 q, {u(k, 104729, 997)} * 0.8E0 e, {u(k, 31, 101)} * 1.5E0 i, {u(k, 37, 103)} * 6.28E0 node, {u(k, 41, 107)} * 6.28E0 arg, {u(k, 43, 109)} * 400 t FROM orders),
+    a AS (SELECT *, q / (1 - e) a, {lit(math.sqrt(orbits.SUN))} / pow(q / (1 - e), 1.5E0) n FROM o), n0 AS (SELECT *, (n * t) - {lit(2 * math.pi)} * floor((n * t + pi()) / {lit(2 * math.pi)}) m, (n * t) - {lit(2 * math.pi)} * floor((n * t + pi()) / {lit(2 * math.pi)}) + e * sin(n * t) ea FROM a), {newton},
+    p AS (SELECT *, a * (cos(ea) - e) x0, a * sqrt(1 - e * e) * sin(ea) y0, -n * a * sin(ea) / (1 - e * cos(ea)) u0, n * a * sqrt(1 - e * e) * cos(ea) / (1 - e * cos(ea)) v0 FROM n12),
+    f AS (SELECT *, cos(node) * cos(arg) - sin(node) * sin(arg) * cos(i) px, sin(node) * cos(arg) + cos(node) * sin(arg) * cos(i) py, sin(arg) * sin(i) pz, -cos(node) * sin(arg) - sin(node) * cos(arg) * cos(i) qx, -sin(node) * sin(arg) + cos(node) * cos(arg) * cos(i) qy, cos(arg) * sin(i) qz FROM p)
+    SELECT id, round(x0 * px + y0 * qx, 6) + 0.0E0 x, round(x0 * py + y0 * qy, 6) + 0.0E0 y, round(x0 * pz + y0 * qz, 6) + 0.0E0 z, round(u0 * px + v0 * qx, 7) + 0.0E0 vx, round(u0 * pz + v0 * qz, 7) + 0.0E0 vz FROM f"""
+
+
+@query(_kepler_sql())
+def kepler_ellipses(spark, sf_dir):
+    """States of derived elliptic elements, against Kepler's equation."""
+    k = "o_orderkey"
+    s = orbits.kepler_state(_unit(k, 7919, 1009) * 2 + 0.3, _unit(k, 104729, 997) * 0.8, _unit(k, 31, 101) * 1.5, _unit(k, 37, 103) * 6.28, _unit(k, 41, 107) * 6.28, _unit(k, 43, 109) * 400)
+    return table(spark, sf_dir, "orders").select(F.col(k).alias("id"), s.alias("s")).select("id", *(r(f"s.{c}").alias(c) for c in ("x", "y", "z")), *(r(f"s.{c}", 7).alias(c) for c in ("vx", "vz")))
+
+
 @query()
 def sgp4_states(spark, sf_dir):
     k = "o_orderkey"
