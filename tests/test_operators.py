@@ -342,3 +342,24 @@ def test_sums_fit_as_the_rows_do(spark):
     assert np.allclose([got[k] for k in "abc"], models.least_squares(a, y, w))
     h = models.leverage(a)
     assert np.isclose(h.sum(), 3) and (h >= 0).all() and (h <= 1 + 1e-12).all()
+
+
+def test_spot_transits_are_a_turn_apart():
+    from vesperflow.operators import planets
+
+    t = planets.spot_transits(1.0, 2460000.5, 2460005.5)
+    assert len(t) == 12 and np.allclose(np.diff(t) * 24, 9.9249, atol=0.01)
+    still = planets.spot_transits(1.0, 2460000.5, 2460003.5, lambda jd: np.stack([np.full(np.shape(jd), 5.0), np.zeros(np.shape(jd)), np.zeros(np.shape(jd))]))
+    assert np.allclose(np.diff(still), 360 / 870.270, atol=1e-5)
+
+
+def test_services_by_page_and_picture(spark):
+    from vesperflow.sources import services
+
+    got = services.paged(spark, lambda k: None if k > 2 else '{"next": "x", "results": [{"id": %d}]}' % k, "id: int").collect()
+    assert [(r.page, r.id) for r in got] == [(1, 1), (2, 2)]
+    url = services.cutout_url("http://host/", "CDS/P/DSS2", 1.0, -0.5, 0.02, kind="jpg")
+    assert url.startswith("http://host/hips-image-services/hips2fits?hips=CDS/P/DSS2&ra=57.29577951308232&dec=-28.6") and url.endswith("format=jpg")
+    f = spark.createDataFrame([("a", 1.0, 0.5)], "name string, ra double, decl double")
+    c = services.cutouts(f, "http://host", "S", 0.1, lambda u: u.encode()).first()
+    assert c.name == "a" and b"hips=S" in bytes(c.content)

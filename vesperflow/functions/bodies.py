@@ -82,3 +82,24 @@ def constellation(df: DataFrame, boundaries: DataFrame, ra: str = "ra", dec: str
     b = boundaries.withColumn("_c", F.explode(F.sequence(F.floor(F.col("ra_low") * (cells / (2 * math.pi))).cast("int"), F.floor(F.col("ra_high") * (cells / (2 * math.pi))).cast("int"))))
     found = p.select("_id", "_c", "_a", "_d").join(b, "_c").where("_a >= ra_low AND _a < ra_high AND _d >= dec_low").groupBy("_id").agg(F.max_by("label", "dec_low").alias(out))
     return p.join(found, "_id", "left").drop("_id", "_a", "_d", "_c")
+
+
+#: Fixed values of Jupiter's turning: pole (right ascension, declination and their changes a century) and, of each system,
+#: the angle at 2000 and its growth a day, in degrees.
+JUPITER_POLE = (268.057, -0.006, 64.495, 0.002)
+JUPITER_SYSTEMS = {"I": (67.1, 877.900), "II": (43.3, 870.270), "III": (284.95, 870.5360)}
+LIGHT_DAYS_AU = 0.005775518331436995
+
+
+def jupiter_meridian(system: str, jd, x, y, z) -> Column:
+    """The longitude, growing with time, of Jupiter's central meridian in a system at a Julian date (TDB), seen from
+    (x, y, z), the observer from Jupiter's centre in AU of the celestial frame; light's time is taken off."""
+    x, y, z = map(col, (x, y, z))
+    d = col(jd) - 2451545.0 - F.sqrt(x * x + y * y + z * z) * LIGHT_DAYS_AU
+    century = (col(jd) - 2451545.0) / 36525
+    a, p = ((century * JUPITER_POLE[i + 1] + JUPITER_POLE[i]) * (math.pi / 180) for i in (0, 2))
+    start, growth = JUPITER_SYSTEMS[system]
+    along = y * F.cos(a) - x * F.sin(a)  # towards the equator's node
+    across = z * F.cos(p) - F.sin(p) * (x * F.cos(a) + y * F.sin(a))
+    turn = (d * growth + start) * (math.pi / 180)
+    return wrap_positive(turn - F.atan2(across, along))

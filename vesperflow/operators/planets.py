@@ -158,3 +158,30 @@ def heliacal_rising(ra: float, dec: float, latitude: float, longitude: float, st
             return start + day
         seen_before = seen
     return math.nan
+
+
+def spot_transits(longitude: float, start: float, stop: float, observer=None) -> np.ndarray:
+    """Julian dates at which a spot of that System II longitude is on Jupiter's central meridian, from start to stop.
+
+    observer(jd) gives the observer from Jupiter's centre (AU, three arrays); by default the Earth by mean elements.
+    The far side's crossings, half a turn off, are left out.
+    """
+    from vesperflow.functions.bodies import JUPITER_POLE, JUPITER_SYSTEMS, LIGHT_DAYS_AU
+    from vesperflow.operators.events import roots
+
+    def seen(jd: np.ndarray) -> np.ndarray:
+        if observer is not None:
+            return np.asarray(observer(jd), float)
+        ra, dec, distance = geocentric("jupiter", jd)
+        return -np.stack([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)]) * distance
+
+    def meridian(jd: np.ndarray) -> np.ndarray:
+        x, y, z = seen(jd)
+        century = (jd - 2451545.0) / 36525
+        a, p = (np.radians(JUPITER_POLE[i] + JUPITER_POLE[i + 1] * century) for i in (0, 2))
+        first, growth = JUPITER_SYSTEMS["II"]
+        turn = np.radians(first + growth * (jd - 2451545.0 - np.sqrt(x * x + y * y + z * z) * LIGHT_DAYS_AU))
+        return turn - np.arctan2(z * np.cos(p) - np.sin(p) * (x * np.cos(a) + y * np.sin(a)), y * np.cos(a) - x * np.sin(a))
+
+    found = roots(lambda t: np.sin(meridian(np.asarray(t, float)) - longitude), start, stop)
+    return np.array([t for t in found if math.cos(float(meridian(np.array([t]))[0]) - longitude) > 0])

@@ -218,3 +218,87 @@ def earth_orientation_lookup(spark, sf_dir):
     eop = spark.range(40).select((F.col("id") + 60300.0).alias("mjd"), (F.pmod(F.col("id") * 7919, F.lit(1000)) / 10007.0).alias("ut1_utc"))
     p = table(spark, sf_dir, "events").select("event_id", times.mjd(times.from_timestamp("ts")).alias("mjd"))
     return times.interpolate_eop(p, eop).select("event_id", r("ut1_utc").alias("ut1_utc"))
+
+
+# ---- pictures, pages, Jupiter, updated series -----------------------------------------------------------------------
+
+
+@query("SELECT 'flat' || i || '.jpg' AS name, 24 AS width, 16 AS height, round((40 + 13 * i) / 255.0E0, 6) level FROM range(12) t(i)")
+def jpeg_pictures(spark, sf_dir):
+    """Pictures of one grey, encoded by the platform and read by Spark's image source."""
+    jvm = spark._jvm
+    rows = []
+    for i in range(12):
+        v = 40 + 13 * i
+        picture = jvm.java.awt.image.BufferedImage(24, 16, jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY)
+        raster = picture.getRaster()
+        for y in range(16):
+            for x in range(24):
+                raster.setSample(x, y, 0, v)
+        out = jvm.java.io.ByteArrayOutputStream()
+        jvm.javax.imageio.ImageIO.write(picture, "jpg", out)
+        rows.append((f"flat{i}.jpg", bytearray(out.toByteArray())))
+    folder = scratch_path(spark, "jpeg")
+    files.write_files(spark.createDataFrame([*rows, ("notes.txt", bytearray(b"none"))], "name string, content binary"), folder)
+    p = binary.read_jpeg(spark, folder)
+    mean = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x) / F.size("pixels")
+    return p.select(F.substring_index("path", "/", -1).alias("name"), "width", "height", r(mean).alias("level"))
+
+
+@query("SELECT CAST(n_nationkey // 10 + 1 AS INTEGER) page, CAST(n_nationkey AS BIGINT) id, n_name AS name FROM nation")
+def service_pages(spark, sf_dir):
+    """A service's pages of ten rows each, asked for until one names no next."""
+    import json
+
+    from vesperflow.sources import services
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # what the made service has
+    last = max(row.n_nationkey for row in rows) // 10 + 1
+
+    def ask(page: int) -> str:
+        return json.dumps({"count": len(rows), "next": page + 1 if page < last else None, "results": [{"id": row.n_nationkey, "name": row.n_name} for row in rows if row.n_nationkey // 10 + 1 == page]})
+
+    return services.paged(spark, ask, "id: bigint, name: string")
+
+
+def _jupiter_sql(system: str) -> str:
+    from vesperflow.functions.bodies import JUPITER_SYSTEMS, LIGHT_DAYS_AU
+
+    start, growth = JUPITER_SYSTEMS[system]
+    turn = f"({lit(start)} + {lit(growth)} * (d - sqrt(x * x + y * y + z * z) * {lit(LIGHT_DAYS_AU)})) * {lit(math.pi / 180)}"
+    angle = f"({turn} - atan2(z * cos(p) - sin(p) * (x * cos(a) + y * sin(a)), y * cos(a) - x * sin(a)))"
+    return f"round({angle} - floor({angle} / {lit(2 * math.pi)}) * {lit(2 * math.pi)}, 5)"
+
+
+def _jupiter_from() -> str:
+    from vesperflow.functions.bodies import JUPITER_POLE as P
+
+    return f"""WITH {SKY}, s AS (SELECT id, ((id % 9000) + 0.37E0 + 2451545.0E0) - 2451545.0E0 d, 5 * cos(decl) * cos(ra) x, 5 * cos(decl) * sin(ra) y, 5 * sin(decl) z FROM sky),
+    b AS (SELECT *, ({lit(P[0])} + {lit(P[1])} * d / 36525) * {lit(math.pi / 180)} a, ({lit(P[2])} + {lit(P[3])} * d / 36525) * {lit(math.pi / 180)} p FROM s)"""
+
+
+@query(f"{_jupiter_from()} SELECT id, {_jupiter_sql('I')} one, {_jupiter_sql('II')} two FROM b")
+def jupiter_meridians(spark, sf_dir):
+    """Central meridians of two systems of Jupiter from made places of the observer."""
+    from vesperflow.functions.bodies import jupiter_meridian
+
+    s = sky(spark, sf_dir).withColumn("jd", F.pmod("id", F.lit(9000)) + 0.37 + 2451545.0)
+    x, y, z = (c * 5 for c in (F.cos("decl") * F.cos("ra"), F.cos("decl") * F.sin("ra"), F.sin("decl")))
+    return s.select("id", r(jupiter_meridian("I", "jd", x, y, z), 5).alias("one"), r(jupiter_meridian("II", "jd", x, y, z), 5).alias("two"))
+
+
+@query("""WITH s AS (SELECT user_id k, epoch_us(ts) / 3600e6 - 473328 x, max(value) y FROM events GROUP BY ALL), p AS (SELECT CAST(i AS BIGINT) id, i % 150 AS k, (i // 150) * 30.0E0 x FROM range(3000) t(i)), a AS (SELECT id, any_value(p.x) x, max_by({'x': s.x, 'y': s.y}, s.x) FILTER (s.x <= p.x) lo, min_by({'x': s.x, 'y': s.y}, s.x) FILTER (s.x >= p.x) hi FROM p JOIN s USING (k) GROUP BY 1)
+SELECT id, round(CASE WHEN lo IS NULL THEN hi.y WHEN hi IS NULL OR hi.x = lo.x THEN lo.y ELSE lo.y + (hi.y - lo.y) * (x - lo.x) / (hi.x - lo.x) END, 5) y FROM a""")
+def interpolator_stream(spark, sf_dir):
+    """Values between a stream's samples, made anew with every batch that comes."""
+    from vesperflow.operators import joins
+    from vesperflow.plans.science_queries import _stream
+    from vesperflow.streaming import frames
+
+    points = spark.range(3000).select("id", F.pmod("id", F.lit(150)).alias("k"), (F.floor(F.col("id") / 150) * 30.0).cast("double").alias("x"))
+
+    def snapshot(every):
+        s = every.groupBy(F.col("user_id").alias("k"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3600e6 - 473328).alias("x")).agg(F.max("value").alias("y"))
+        return joins.interpolate(points, s, "k", "x", "y").where("y IS NOT NULL").select("id", r("y", 5).alias("y"))
+
+    return frames.collect(_stream(spark, sf_dir, "events"), snapshot, "interpolator")

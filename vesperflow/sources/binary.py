@@ -569,6 +569,18 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return _decode(files(spark, path), decode_image, "path string, hdu int, width int, height int, channels int, header map<string,string>, pixels array<double>", 1)
 
 
+def read_jpeg(spark: SparkSession, path: str) -> DataFrame:
+    """(path, width, height, channels, pixels) of a folder's pictures that Spark's image source decodes (JPEG among them),
+    0 to 1, row by row with channels interleaved, red first; files that are none are left out."""
+    i = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+
+    @F.pandas_udf("array<double>")
+    def values(data: pd.Series, channels: pd.Series) -> pd.Series:
+        return pd.Series([(np.frombuffer(b, np.uint8).reshape(-1, int(c))[:, ::-1] / 255.0).ravel().tolist() for b, c in zip(data, channels, strict=True)])
+
+    return i.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), values("data", "nChannels").alias("pixels"))
+
+
 def encode_xisf(planes: np.ndarray, sample: str = "Float32", compress: bool = False, shuffle: bool = False, header: dict | None = None) -> bytes:
     """An XISF file of one planar image (channel, y, x)."""
     c, h, w = planes.shape
