@@ -363,3 +363,19 @@ def test_services_by_page_and_picture(spark):
     f = spark.createDataFrame([("a", 1.0, 0.5)], "name string, ra double, decl double")
     c = services.cutouts(f, "http://host", "S", 0.1, lambda u: u.encode()).first()
     assert c.name == "a" and b"hips=S" in bytes(c.content)
+
+
+def test_robust_sums_fit_as_the_rows_do(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for g in range(3):
+        a = rng.normal(size=(400, 2))
+        y = a @ [1.0 + g, -2.0] + rng.normal(size=400) * 0.05
+        y[::17] += 9
+        want[g] = models.robust_least_squares(a, y)[0]
+        rows += [(g, *map(float, r), float(v)) for r, v in zip(a, y, strict=True)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, y double")
+    for method in ("huber", "tukey"):
+        got = {r.g: [r.coefficients["a"], r.coefficients["b"]] for r in models.fit_robust_sums(df, ["g"], {"a": F.col("a"), "b": F.col("b")}, "y", method=method).collect()}
+        assert all(np.allclose(got[g], want[g], atol=0.01) for g in want)
+    assert models.fit_robust_sums(df, ["g"], {"a": F.col("a"), "b": F.col("b")}, "y").first().n == 400

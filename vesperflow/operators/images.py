@@ -43,7 +43,7 @@ def map_images(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> Data
                 row = b.iloc[[i]].copy()
                 out = f(planes(*(row[c].iloc[0] for c in ("width", "height", "channels", "pixels"))))
                 row["width"], row["height"], row["channels"] = np.int32(out.shape[2]), np.int32(out.shape[1]), np.int32(out.shape[0])
-                row["pixels"] = pd.Series([out.transpose(1, 2, 0).ravel().tolist()], index=row.index)
+                row["pixels"] = pd.Series([out.transpose(1, 2, 0).ravel()], index=row.index)
                 yield row
 
     return images.mapInPandas(run, images.schema)

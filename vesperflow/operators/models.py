@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vesperflow.session import materialize
+
 
 def least_squares(a: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, ridge: float = 0.0) -> np.ndarray:
     """Coefficients that minimise the weighted squares plus ridge times the coefficients' squares."""
@@ -80,6 +82,34 @@ def fit_sums(df: DataFrame, by: list[str], terms: dict, y: str, weight: str | No
     return s.select(*by, solve("_a", "_b").alias("coefficients"), "n")
 
 
+def fit_robust_sums(df: DataFrame, by: list[str], terms: dict, y: str, weight: str | None = None, method: str = "huber", rounds: int = 8, ridge: float = 0.0) -> DataFrame:
+    """(by, coefficients map<string,double>, rms, n): as `fit_groups`, for groups of any size.
+
+    Each round takes the scale from a sketch of the residuals' sizes (to a thousandth of the ranks) and sums reweighted
+    products, both with partial results through the exchange; between rounds only the coefficients are stored. Rounds
+    are fixed: Huber's and Tukey's weights settle in a few.
+    """
+    w0 = (F.col(weight) if weight else F.lit(1.0)).cast("double")
+    d = df.select(*by, F.col(y).cast("double").alias("_y"), w0.alias("_w0"), *(c.cast("double").alias(f"_t{i}") for i, c in enumerate(terms.values())))
+    own = {n: F.col(f"_t{i}") for i, n in enumerate(terms)}
+    now = materialize(fit_sums(d, by, own, "_y", "_w0", ridge), "coefficients")
+
+    def residual(rows: DataFrame) -> DataFrame:
+        e = F.col("_y") - sum((F.element_at("coefficients", n) * c for n, c in own.items()), F.lit(0.0))
+        return rows.join(now.select(*by, "coefficients"), by).withColumn("_e", e)
+
+    for _ in range(rounds):
+        rows = residual(d)
+        middle = rows.groupBy(*by).agg(F.percentile_approx("_e", 0.5, 1000).alias("_m"))
+        scale = rows.join(middle, by).groupBy(*by).agg((F.percentile_approx(F.abs(F.col("_e") - F.col("_m")), 0.5, 1000) * 1.482602218505602).alias("_s"))
+        u = F.abs("_e") / F.when(F.col("_s") > 1e-15, F.col("_s"))
+        k = F.least(F.lit(1.0), F.lit(1.345) / F.greatest(u, F.lit(1e-15))) if method == "huber" else F.when(u < 4.685, F.pow(F.lit(1.0) - F.pow(u / 4.685, 2), 2)).otherwise(0.0)
+        again = rows.join(scale, by).withColumn("_w", F.col("_w0") * F.coalesce(k, F.lit(1.0)))
+        now = materialize(fit_sums(again, by, own, "_y", "_w", ridge), "coefficients")
+    fit = residual(d).groupBy(*by).agg(F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rms"))
+    return now.join(fit, by).select(*by, "coefficients", "rms", "n")
+
+
 def leverage(a: np.ndarray, w: np.ndarray | None = None, ridge: float = 0.0) -> np.ndarray:
     """How much each row of a design draws the fit to itself: the diagonal of the hat matrix."""
     x = a if w is None else a * np.sqrt(w)[:, None]

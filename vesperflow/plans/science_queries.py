@@ -88,7 +88,7 @@ def pointing_model_fit(spark, sf_dir):
     t = models.pointing_terms(latitude=0.6)
     true = {"IH": 0.01, "CH": -0.004, "NP": 0.002, "MA": 0.003, "ME": -0.001, "TF": 0.0005}
     e = sum((c * true[n] for n, c in t.items()), F.lit(0.0)) + F.when(F.pmod("id", F.lit(37)) == 0, 0.2).otherwise(0.0)
-    f = models.fit_groups(s.withColumn("err", e), "mount", t, "err")
+    f = models.fit_robust_sums(s.withColumn("err", e), ["mount"], t, "err")
     return f.select("mount", *(r(F.element_at("coefficients", n), 6).alias(n.lower()) for n in t), "n")
 
 

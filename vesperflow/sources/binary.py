@@ -329,19 +329,20 @@ def fits_pixels(header: dict, data: bytes) -> np.ndarray:
     return a * float(header.get("BSCALE", 1) or 1) + float(header.get("BZERO", 0) or 0)
 
 
-def decode_fits(path: str, content: bytes) -> pd.DataFrame:
+def decode_fits(path: str, content: bytes, lists: bool = True) -> pd.DataFrame:
+    """One row for each unit; pixels as a list, or as the array itself, which Arrow takes without making objects of them."""
     rows = []
     for i, (header, data) in enumerate(fits_units(content)):
         image = header.get("XTENSION", "IMAGE") == "IMAGE" and int(header.get("NAXIS", 0)) >= 2
         planes = fits_pixels(header, data) if image else None
         shape = planes.shape if image else (0, 0, 0)
-        rows.append((path, i, shape[2], shape[1], shape[0], {k: str(v) for k, v in header.items()}, planes.transpose(1, 2, 0).ravel().tolist() if image else None))
+        rows.append((path, i, shape[2], shape[1], shape[0], {k: str(v) for k, v in header.items()}, (planes.transpose(1, 2, 0).ravel().tolist() if lists else planes.transpose(1, 2, 0).ravel()) if image else None))
     return pd.DataFrame(rows, columns=["path", "hdu", "width", "height", "channels", "header", "pixels"])
 
 
 def read_fits(spark: SparkSession, path: str) -> DataFrame:
     """(path, hdu, width, height, channels, header, pixels): pixels row by row, channels interleaved."""
-    return _decode(files(spark, path), decode_fits, "path string, hdu int, width int, height int, channels int, header map<string,string>, pixels array<double>", 1)
+    return _decode(files(spark, path), lambda p, c: decode_fits(p, c, False), "path string, hdu int, width int, height int, channels int, header map<string,string>, pixels array<double>", 1)
 
 
 def keyword(header: str, names: list[str], kind: str = "double"):
@@ -546,7 +547,7 @@ def decode_xisf(path: str, content: bytes) -> pd.DataFrame:
         a = np.frombuffer(_expand(content[int(at) : int(at) + int(size)], e.get("compression")), _SAMPLES[e.get("sampleFormat")]).astype(float)
         a = a.reshape(h, w, c) if e.get("pixelStorage", "Planar") == "Normal" else a.reshape(c, h, w).transpose(1, 2, 0)
         header = {x.get("name"): x.get("value").strip("' ") for x in e if x.tag.rpartition("}")[2] == "FITSKeyword"}
-        rows.append((path, k, w, h, c, header, a.ravel().tolist()))
+        rows.append((path, k, w, h, c, header, a.ravel()))
     return pd.DataFrame(rows, columns=["path", "hdu", "width", "height", "channels", "header", "pixels"])
 
 
@@ -558,7 +559,7 @@ def read_xisf(spark: SparkSession, path: str) -> DataFrame:
 def decode_image(path: str, content: bytes) -> pd.DataFrame:
     """A FITS or XISF image by its first bytes; no rows for any other file."""
     if content[:6] == b"SIMPLE":
-        return decode_fits(path, content)
+        return decode_fits(path, content, False)
     if content[:8] == b"XISF0100":
         return decode_xisf(path, content)
     return pd.DataFrame(columns=["path", "hdu", "width", "height", "channels", "header", "pixels"])
