@@ -379,3 +379,14 @@ def test_robust_sums_fit_as_the_rows_do(spark):
         got = {r.g: [r.coefficients["a"], r.coefficients["b"]] for r in models.fit_robust_sums(df, ["g"], {"a": F.col("a"), "b": F.col("b")}, "y", method=method).collect()}
         assert all(np.allclose(got[g], want[g], atol=0.01) for g in want)
     assert models.fit_robust_sums(df, ["g"], {"a": F.col("a"), "b": F.col("b")}, "y").first().n == 400
+
+
+def test_rise_and_set_of_all_rows_together():
+    rng = np.random.default_rng(7)
+    jd, lat, lon = 2460310.5 + rng.integers(0, 366, 40), rng.uniform(-1.5, 1.5, 40), rng.uniform(-3, 3, 40)
+    got = events.rise_transit_set_rows(events.sun_position, jd, lat, lon)
+    for i in range(40):
+        want = events.rise_transit_set(events.sun_position, jd[i], lat[i], lon[i])
+        assert (got.always_up[i], got.always_down[i]) == (want["always_up"], want["always_down"])
+        for c in ("rise", "transit", "set"):
+            assert np.isnan(got[c][i]) == np.isnan(want[c]) and (np.isnan(want[c]) or abs(got[c][i] - want[c]) < 2e-5), (i, c)

@@ -93,18 +93,86 @@ def rise_transit_set(direction: Callable[[np.ndarray], tuple[np.ndarray, np.ndar
     return out
 
 
+def rise_transit_set_rows(direction: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, latitude: np.ndarray, longitude: np.ndarray, horizon: float = -0.0145386, days: float = 1.0) -> pd.DataFrame:
+    """As `rise_transit_set`, all rows together: grids of the days a row each, brackets refined in vectors."""
+    lat, lon = np.asarray(latitude, float)[:, None], np.asarray(longitude, float)[:, None]
+
+    def f(t: np.ndarray) -> np.ndarray:  # times by row
+        ra, dec = direction(t)
+        h = sidereal(t) + lon - ra
+        return np.arcsin(np.clip(np.sin(lat) * np.sin(dec) + np.cos(lat) * np.cos(dec) * np.cos(h), -1, 1)) - horizon
+
+    start = np.asarray(start, float)[:, None]
+    n, step = len(start), 1 / 48
+    row = np.arange(n)
+
+    def grid(first: np.ndarray, length: float) -> np.ndarray:
+        return first + np.arange(int(round(length / step)) + 1) * step
+
+    t = grid(start - days / 2, 2 * days)
+    y = f(t)
+    peak = (y[:, 1:-1] > y[:, :-2]) & (y[:, 1:-1] > y[:, 2:])
+    lo, hi, g = t[:, :-2], t[:, 2:], (math.sqrt(5) - 1) / 2
+    for _ in range(40):  # golden sections of all triples; those that are no peak are not used
+        c, d = hi - g * (hi - lo), lo + g * (hi - lo)
+        left = f(c) > f(d)
+        lo, hi = np.where(left, lo, c), np.where(left, d, hi)
+        if (hi - lo).max(initial=0.0) <= 1e-6:
+            break
+    at = (lo + hi) / 2
+    inside = peak & (at >= start) & (at < start + days)
+    best = np.where(inside, f(at), -np.inf).argmax(1)
+    found = inside.any(1)
+    transit = np.where(found, at[row, best], np.nan)
+    middle = np.where(found, transit, start[:, 0] + days / 2)[:, None]
+    t = grid(middle - days, 2 * days)
+    y = f(t)
+    change = y[:, :-1] * y[:, 1:] <= 0
+    rising = y[:, 1:] > y[:, :-1]
+
+    def refined(pick: np.ndarray, last: bool, side: int) -> np.ndarray:
+        """The crossing of the last or first picked bracket of each row, on its side of the middle."""
+        k = np.where(last, pick.shape[1] - 1 - pick[:, ::-1].argmax(1), pick.argmax(1))
+        a, b = t[row, k][:, None], t[row, k + 1][:, None]
+        fa = f(a)
+        for _ in range(20):
+            m = (a + b) / 2
+            fm = f(m)
+            left = fa * fm <= 0
+            a, fa, b = np.where(left, a, m), np.where(left, fa, fm), np.where(left, m, b)
+        out = ((a + b) / 2)[:, 0]
+        return np.where(pick.any(1) & ((out - middle[:, 0]) * side >= 0), out, np.nan)
+
+    # a bracket that holds the middle counts for the side its crossing is on
+    rise, set_ = refined(change & rising & (t[:, :-1] <= middle), True, -1), refined(change & ~rising & (t[:, 1:] >= middle), False, 1)
+    none = ~change.any(1)
+    above = f(middle)[:, 0] > 0
+    return pd.DataFrame({"rise": np.where(none, np.nan, rise), "transit": transit, "set": np.where(none, np.nan, set_), "always_up": none & above, "always_down": none & ~above})
+
+
 def sun_events(sites: DataFrame, key: str = "site") -> DataFrame:
     """(key, rise, transit, set, always_up, always_down) of the Sun for rows (key, jd, latitude, longitude)."""
     kind = sites.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            rows = [{key: k, **rise_transit_set(sun_position, t, lat, lon)} for k, t, lat, lon in zip(b[key], b["jd"], b["latitude"], b["longitude"], strict=True)]
-            yield pd.DataFrame(rows, columns=[key, "rise", "transit", "set", "always_up", "always_down"])
+            if len(b):
+                out = rise_transit_set_rows(sun_position, b["jd"], b["latitude"], b["longitude"])
+                out.insert(0, key, b[key].to_numpy())
+                yield out
 
     return sites.select(key, "jd", "latitude", "longitude").mapInPandas(run, f"{key} {kind}, rise double, transit double, set double, always_up boolean, always_down boolean")
 
 
+@F.pandas_udf(T.DoubleType())
+def sun_altitude(jd: pd.Series, latitude: pd.Series, longitude: pd.Series) -> pd.Series:
+    """The Sun's altitude at times and places."""
+    ra, dec = sun_position(jd.to_numpy(float))
+    h = sidereal(jd.to_numpy(float)) + longitude.to_numpy(float) - ra
+    lat = latitude.to_numpy(float)
+    return pd.Series(np.arcsin(np.clip(np.sin(lat) * np.sin(dec) + np.cos(lat) * np.cos(dec) * np.cos(h), -1, 1)))
+
+
 def moon_phase(k: np.ndarray) -> np.ndarray:
     """Julian dates (TT) of Moon phases: k whole for new, + 0.25, 0.5, 0.75 for the others, from 2000; Meeus' main terms."""
     k = np.asarray(k, float)

@@ -228,7 +228,7 @@ def image_median_mad(spark, sf_dir):
     """Median and MAD of frames from histograms of 2 ** 16 bins: two aggregates of partial counts."""
     p = pixels(spark, sf_dir)
     m = robust.histogram_quantile(robust.image_histogram(p, ["frame"]), ["frame"], 1 << 16, [0.5]).withColumnRenamed("q0", "median")
-    away = p.join(F.broadcast(m), "frame").withColumn("value", F.abs(F.col("value") - F.col("median")))
+    away = p.join(m, "frame").withColumn("value", F.abs(F.col("value") - F.col("median")))
     mad = robust.histogram_quantile(robust.image_histogram(away, ["frame"]), ["frame"], 1 << 16, [0.5]).withColumnRenamed("q0", "mad")
     return m.join(mad, "frame").select("frame", r("median").alias("median"), r("mad").alias("mad"))
 
@@ -357,7 +357,7 @@ def approximate_medians(spark, sf_dir):
     """Sketched medians whose rank is within a hundredth of the middle."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("v"))
     m = robust.approximate_median(o, ["grp"], "v")
-    d = o.join(F.broadcast(m), "grp")  # a group's figures
+    d = o.join(m, "grp")
     return d.groupBy("grp").agg((F.abs(F.avg(F.when(F.col("v") <= F.col("median"), 1.0).otherwise(0.0)) - 0.5) < 0.01).alias("near"))
 
 

@@ -54,10 +54,24 @@ def sgp4_states(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col(k).alias("id"), s.alias("s")).select("id", *(r(f"s.{c}", 5).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")))
 
 
+def _sites(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site"), (F.lit(2460310.5) + F.pmod("c_custkey", F.lit(366))).alias("jd"), ((_unit("c_custkey", 7919, 997) - 0.5) * 2.9).alias("latitude"), ((_unit("c_custkey", 31, 101) - 0.5) * 6.28).alias("longitude"))
+
+
 @query()
 def sun_rise_transit_set(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site"), (F.lit(2460310.5) + F.pmod("c_custkey", F.lit(366))).alias("jd"), ((_unit("c_custkey", 7919, 997) - 0.5) * 2.9).alias("latitude"), ((_unit("c_custkey", 31, 101) - 0.5) * 6.28).alias("longitude"))
-    return events.sun_events(c)
+    return events.sun_events(_sites(spark, sf_dir))
+
+
+@query("""SELECT c_custkey site, -0.0145E0 at_rise, -0.0145E0 at_set, TRUE highest, TRUE in_order FROM customer WHERE abs((((c_custkey * 7919) % 997) / 997.0E0 - 0.5E0) * 2.9E0) < 1.1""")
+def sun_event_altitudes(spark, sf_dir):
+    """Away from the poles the Sun is on the horizon at its rise and set, and highest at the transit between them."""
+    s = _sites(spark, sf_dir).where("abs(latitude) < 1.1D")
+    e = events.sun_events(s).join(s, "site")
+    h = lambda t: events.sun_altitude(t, F.col("latitude"), F.col("longitude"))
+    near = [h(F.col("transit") + d) for d in (-0.01, 0.01)]
+    e = e.select("site", r(h(F.col("rise")), 4).alias("at_rise"), r(h(F.col("set")), 4).alias("at_set"), ((h(F.col("transit")) > near[0]) & (h(F.col("transit")) > near[1])).alias("highest"), ((F.col("rise") < F.col("transit")) & (F.col("transit") < F.col("set"))).alias("in_order"))
+    return e
 
 
 def _phases_sql() -> str:
