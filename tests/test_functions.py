@@ -85,3 +85,19 @@ def test_wcs_round_trips(spark):
 def test_formulas_have_domains(spark):
     r = one(spark, formulas.magnification(F.lit(1000.0), F.lit(10.0)), formulas.dawes_limit(F.lit(-1.0)), formulas.pixel_scale(F.lit(3.76), F.lit(1000.0)), formulas.airmass(F.lit(1.6)), formulas.dew_point(F.lit(20.0), F.lit(60.0)), formulas.relative_humidity(F.lit(20.0), formulas.dew_point(F.lit(20.0), F.lit(60.0))), formulas.mosaic_panels(F.lit(10.0), F.lit(3.0), F.lit(0.1)), formulas.hour_angle_at(F.lit(1.5), F.lit(1.0), F.lit(0.0)), formulas.hg_magnitude(F.lit(3.0), F.lit(0.15), F.lit(1.0), F.lit(1.0), F.lit(0.0)))
     assert r.c0 == 100 and r.c1 is None and abs(r.c2 - 0.77556) < 1e-4 and r.c3 is None and abs(r.c4 - 12.0) < 0.05 and abs(r.c5 - 60) < 1e-9 and r.c6 == 4 and r.c7 is None and abs(r.c8 - 3) < 1e-12
+
+
+def test_apparent_places_of_the_textbook(spark):
+    from vesperflow.functions import apparent
+
+    # Meeus, chapters 22 and 23: 1987 April 10 nutation -3.788", +9.443"; Theta Persei on 2028 November 13.19
+    t = (2446895.5 - 2451545.0) / 36525
+    n = spark.range(1).select(apparent.nutation(F.lit(t)).alias("n")).first().n
+    assert abs(n.longitude * 206264.806 + 3.788) < 0.5 and abs(n.obliquity * 206264.806 - 9.443) < 0.1
+    t = (2462088.69 - 2451545.0) / 36525
+    ra, dec = math.radians(41.54714), math.radians(49.34848)
+    p = spark.range(1).select(apparent.apparent_place(F.lit(ra), F.lit(dec), F.lit(t), F.lit(math.radians(23.436))).alias("p")).first().p
+    assert abs((p.ra - ra) * 206264.806 - (15.843 + 30.045)) < 1.5 and abs((p.decl - dec) * 206264.806 - (6.218 + 6.697)) < 1.0
+    when = spark.range(1).select(times.from_mjd(F.lit(46895.0)).alias("u"))  # 0h: apparent 13h 10m 46.1351s
+    g = when.select(apparent.gast(F.col("u")).alias("g"), times.gmst(F.col("u")).alias("m")).first()
+    assert abs(g.g - g.m - (-0.2317 * 15 / 206264.806)) < 0.03 * 15 / 206264.806

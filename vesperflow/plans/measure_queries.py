@@ -570,3 +570,49 @@ def weighted_model_fit(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.pmod("l_suppkey", F.lit(10)).cast("int").alias("grp"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000.0).alias("y"), (F.col("l_discount") + 0.01).alias("w"))
     f = models.fit_sums(l, ["grp"], {"one": F.lit(1.0), "x": F.col("x")}, "y", "w")
     return f.select("grp", r(F.element_at("coefficients", "x")).alias("slope"), r(F.element_at("coefficients", "one"), 5).alias("intercept"), "n")
+
+
+# ---- apparent places ------------------------------------------------------------------------------------------------
+
+
+def _nutation_sql(t: str) -> tuple[str, str]:
+    node, sun, moon = (f"(({lit(a)} + {lit(b)} * {t}) * {lit(DEG)})" for a, b in ((125.04452, -1934.136261), (280.4665, 36000.7698), (218.3165, 481267.8813)))
+    arc = lit(math.pi / 648000)
+    return f"((-17.20E0 * sin({node}) - 1.32E0 * sin(2 * {sun}) - 0.23E0 * sin(2 * {moon}) + 0.21E0 * sin(2 * {node})) * {arc})", f"((9.20E0 * cos({node}) + 0.57E0 * cos(2 * {sun}) + 0.10E0 * cos(2 * {moon}) - 0.09E0 * cos(2 * {node})) * {arc})"
+
+
+@query(f"WITH t AS (SELECT event_id, (datediff('day', DATE '2000-01-01', CAST(ts AS DATE)) - 0.5E0 + (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 86400e6) / 36525 t FROM events) SELECT event_id, round({_nutation_sql('t')[0]}, 10) + 0.0E0 longitude, round({_nutation_sql('t')[1]}, 10) + 0.0E0 obliquity FROM t")
+def nutation_angles(spark, sf_dir):
+    from vesperflow.functions import apparent
+    from vesperflow.functions import time as times
+
+    e = table(spark, sf_dir, "events").withColumn("n", apparent.nutation(apparent.centuries(times.from_timestamp("ts"))))
+    return e.select("event_id", r("n.longitude", 10).alias("longitude"), r("n.obliquity", 10).alias("obliquity"))
+
+
+_AT = 0.2318  # centuries from 2000
+
+
+def _apparent_sql() -> str:
+    t, arc = _AT, math.pi / 648000
+    node, sun, moon = ((a + b * t) * DEG for a, b in ((125.04452, -1934.136261), (280.4665, 36000.7698), (218.3165, 481267.8813)))
+    lon = (-17.20 * math.sin(node) - 1.32 * math.sin(2 * sun) - 0.23 * math.sin(2 * moon) + 0.21 * math.sin(2 * node)) * arc
+    obl = (9.20 * math.cos(node) + 0.57 * math.cos(2 * sun) + 0.10 * math.cos(2 * moon) - 0.09 * math.cos(2 * node)) * arc
+    m = (357.52911 + t * (35999.05029 - 0.0001537 * t)) * DEG
+    s = (280.46646 + t * (36000.76983 + 0.0003032 * t) + (1.914602 - t * (0.004817 + 0.000014 * t)) * math.sin(m) + (0.019993 - 0.000101 * t) * math.sin(2 * m) + 0.000289 * math.sin(3 * m)) * DEG
+    ecc, peri, k, e = 0.016708634 - t * (0.000042037 + 0.0000001267 * t), (102.93735 + t * (1.71946 + 0.00046 * t)) * DEG, 20.49552 * arc, 0.409
+    ra = lambda x: f"(cos(ra) * {lit(math.cos(x) * math.cos(e))} + sin(ra) * {lit(math.sin(x))}) / cos(decl)"
+    dec = lambda x: f"({lit(math.cos(x) * math.cos(e))} * ({lit(math.tan(e))} * cos(decl) - sin(ra) * sin(decl)) + cos(ra) * sin(decl) * {lit(math.sin(x))})"
+    da = f"(({lit(math.cos(e))} + {lit(math.sin(e))} * sin(ra) * tan(decl)) * {lit(lon)} - cos(ra) * tan(decl) * {lit(obl)} - {lit(k)} * {ra(s)} + {lit(ecc * k)} * {ra(peri)})"
+    dd = f"({lit(math.sin(e) * lon)} * cos(ra) + sin(ra) * {lit(obl)} - {lit(k)} * {dec(s)} + {lit(ecc * k)} * {dec(peri)})"
+    return f"WITH {SKY} SELECT id, round({da}, 9) + 0.0E0 da, round({dd}, 9) + 0.0E0 dd FROM sky WHERE abs(decl) < 1.5 AND ra BETWEEN 0.01 AND 6.27"
+
+
+@query(_apparent_sql())
+def apparent_places(spark, sf_dir):
+    """How nutation and aberration move the stars."""
+    from vesperflow.functions import apparent
+
+    s = sky(spark, sf_dir).where("abs(decl) < 1.5D AND ra BETWEEN 0.01D AND 6.27D")
+    s = s.withColumn("p", apparent.apparent_place("ra", "decl", F.lit(_AT), F.lit(0.409)))
+    return s.select("id", r(F.col("p.ra") - F.col("ra"), 9).alias("da"), r(F.col("p.decl") - F.col("decl"), 9).alias("dd"))
