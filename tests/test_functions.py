@@ -101,3 +101,10 @@ def test_apparent_places_of_the_textbook(spark):
     when = spark.range(1).select(times.from_mjd(F.lit(46895.0)).alias("u"))  # 0h: apparent 13h 10m 46.1351s
     g = when.select(apparent.gast(F.col("u")).alias("g"), times.gmst(F.col("u")).alias("m")).first()
     assert abs(g.g - g.m - (-0.2317 * 15 / 206264.806)) < 0.03 * 15 / 206264.806
+
+
+def test_seasons_of_the_textbook(spark):
+    from vesperflow.functions import apparent
+
+    # Meeus, example 27.a: the June solstice of 1962
+    assert abs(spark.range(1).select(apparent.season_jd(F.lit(1962), F.lit(1)).alias("j")).first().j - 2437837.39245) < 2e-4

@@ -75,3 +75,30 @@ def apparent_place(ra, dec, t, mean_obliquity) -> Column:
         return F.struct(wrap_positive(a + da).alias("ra"), (d + dd).alias("decl"))
 
     return let(args, moved)
+
+
+#: The seasons' mean dates by powers of millennia from 2000 (March, June, September, December), and their
+#: periodic terms (size in 0.00001 days, angle and its growth a century in degrees), from 1000 to 3000.
+SEASONS = (
+    (2451623.80984, 365242.37404, 0.05169, -0.00411, -0.00057), (2451716.56767, 365241.62603, 0.00325, 0.00888, -0.00030),
+    (2451810.21715, 365242.01767, -0.11575, 0.00337, 0.00078), (2451900.05952, 365242.74049, -0.06223, -0.00823, 0.00032),
+)
+SEASON_TERMS = (
+    (485, 324.96, 1934.136), (203, 337.23, 32964.467), (199, 342.08, 20.186), (182, 27.85, 445267.112), (156, 73.14, 45036.886), (136, 171.52, 22518.443), (77, 222.54, 65928.934), (74, 296.72, 3034.906),
+    (70, 243.58, 9037.513), (58, 119.81, 33718.147), (52, 297.17, 150.678), (50, 21.02, 2281.226), (45, 247.54, 29929.562), (44, 325.15, 31555.956), (29, 60.93, 4443.417), (18, 155.12, 67555.328),
+    (17, 288.79, 4562.452), (16, 198.04, 62894.029), (14, 199.76, 31436.921), (12, 95.39, 14577.848), (12, 287.11, 31931.756), (12, 320.81, 34777.259), (9, 227.73, 1222.114), (8, 15.45, 16859.074),
+)
+
+
+def season_jd(year, season) -> Column:
+    """The Julian date (TT) at which a season (0 March, 1 June, 2 September, 3 December) of a year begins."""
+    y, k = (col(year) - 2000) / 1000.0, col(season)
+    mean = F.get(F.array(*(horner(y, list(c)) for c in SEASONS)), k.cast("int"))
+
+    def corrected(j: Column) -> Column:
+        t = (j - 2451545.0) / 36525
+        w = (t * 35999.373 - 2.47) * DEG
+        s = sum((F.cos((t * c + b) * DEG) * float(a) for a, b, c in SEASON_TERMS), F.lit(0.0))
+        return j + s * 0.00001 / (F.cos(w) * 0.0334 + F.cos(w * 2) * 0.0007 + 1)
+
+    return let(mean, corrected)

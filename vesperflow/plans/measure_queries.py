@@ -616,3 +616,37 @@ def apparent_places(spark, sf_dir):
     s = sky(spark, sf_dir).where("abs(decl) < 1.5D AND ra BETWEEN 0.01D AND 6.27D")
     s = s.withColumn("p", apparent.apparent_place("ra", "decl", F.lit(_AT), F.lit(0.409)))
     return s.select("id", r(F.col("p.ra") - F.col("ra"), 9).alias("da"), r(F.col("p.decl") - F.col("decl"), 9).alias("dd"))
+
+
+def _season_sql() -> str:
+    from vesperflow.functions.apparent import SEASON_TERMS, SEASONS
+
+    mean = " ".join(f"WHEN {k} THEN {' + '.join(f'{lit(c)} * pow(y, {i})' for i, c in enumerate(row))}" for k, row in enumerate(SEASONS))
+    terms = " + ".join(f"{a} * cos(({lit(b)} + {lit(c)} * t) * {lit(DEG)})" for a, b, c in SEASON_TERMS)
+    return f"""WITH g AS (SELECT CAST(1800 + a AS INTEGER) "year", CAST(b AS INTEGER) season, (a - 200) / 1000.0E0 y FROM range(400) i(a), range(4) j(b)), m AS (SELECT *, CASE season {mean} END j FROM g), t AS (SELECT *, (j - 2451545) / 36525 t FROM m)
+    SELECT "year", season, round(j + 0.00001E0 * ({terms}) / (1 + 0.0334E0 * cos((35999.373E0 * t - 2.47E0) * {lit(DEG)}) + 0.0007E0 * cos(2 * (35999.373E0 * t - 2.47E0) * {lit(DEG)})), 5) jd FROM t"""
+
+
+@query(_season_sql())
+def seasons(spark, sf_dir):
+    """The beginnings of the seasons of four centuries."""
+    from vesperflow.functions.apparent import season_jd
+
+    g = spark.range(1600).select((F.floor(F.col("id") / 4) + 1800).cast("int").alias("year"), F.pmod("id", F.lit(4)).cast("int").alias("season"))
+    return g.select("year", "season", r(season_jd("year", "season"), 5).alias("jd"))
+
+
+#: The eclipses of six years as the almanacs list them.
+_ECLIPSES = {
+    "sun": "2021-06-10 annular, 2021-12-04 total, 2022-04-30 partial, 2022-10-25 partial, 2023-04-20 hybrid, 2023-10-14 annular, 2024-04-08 total, 2024-10-02 annular, 2025-03-29 partial, 2025-09-21 partial, 2026-02-17 annular, 2026-08-12 total",
+    "moon": "2021-05-26 total, 2021-11-19 partial, 2022-05-16 total, 2022-11-08 total, 2023-05-05 penumbral, 2023-10-28 partial, 2024-03-25 penumbral, 2024-09-18 partial, 2025-03-14 total, 2025-09-07 total, 2026-03-03 total, 2026-08-28 partial",
+}
+
+
+@query('SELECT * FROM (VALUES ' + ", ".join(f"('{x.split()[0]}', '{body}', '{x.split()[1]}')" for body, all_ in _ECLIPSES.items() for x in all_.split(", ")) + ') t("day", body, kind)')
+def eclipses_of_six_years(spark, sf_dir):
+    """Eclipses of the Sun and the Moon, against the almanacs' list."""
+    from vesperflow.operators.eclipses import eclipse_table
+
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.floor(F.col("jd") - 2451544.5).cast("int"))
+    return eclipse_table(spark, 260, 333).select(day.cast("string").alias("day"), "body", "kind").where("day BETWEEN '2021-01-01' AND '2026-12-31'")
