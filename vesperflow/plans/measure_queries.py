@@ -650,3 +650,22 @@ def eclipses_of_six_years(spark, sf_dir):
 
     day = F.date_add(F.lit("2000-01-01").cast("date"), F.floor(F.col("jd") - 2451544.5).cast("int"))
     return eclipse_table(spark, 260, 333).select(day.cast("string").alias("day"), "body", "kind").where("day BETWEEN '2021-01-01' AND '2026-12-31'")
+
+
+_TRANSITS = {"mercury": "2003-05-07 2006-11-08 2016-05-09 2019-11-11", "venus": "2004-06-08 2012-06-06"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{d}')" for p, days in _TRANSITS.items() for d in days.split()) + ') t(planet, "day")')
+def transits_of_a_quarter_century(spark, sf_dir):
+    """Passages of Mercury and Venus before the Sun, against the almanacs' list."""
+    from vesperflow.operators import planets
+
+    def run(batches):
+        for b in batches:
+            for p in b["planet"]:
+                t = planets.transits(p, 2451545.0, 2461000.0)
+                t.insert(0, "planet", p)
+                yield t[["planet", "middle"]]
+
+    found = spark.createDataFrame([(p,) for p in _TRANSITS], "planet string").mapInPandas(run, "planet string, middle double")
+    return found.select("planet", F.date_add(F.lit("2000-01-01").cast("date"), F.floor(F.col("middle") - 2451544.5).cast("int")).cast("string").alias("day"))
