@@ -54,6 +54,12 @@ def light_grasp(larger, smaller) -> Column:
     return F.when(q >= 1, q * q)
 
 
+def eyepiece_view(telescope, aperture, eyepiece, field) -> Column:
+    """struct(magnification, field, exit_pupil): what an eyepiece of an apparent field (degrees) shows."""
+    m = magnification(telescope, eyepiece)
+    return F.struct(m.alias("magnification"), (_pos(field) / m).alias("field"), (_pos(aperture) / m).alias("exit_pupil"))
+
+
 def exit_pupil(length, divisor) -> Column:
     return _pos(length) / _pos(divisor)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vesperflow.functions import angles, bodies, mathx, random, sphere, wcs
+from vesperflow.functions import formulas as f
 from vesperflow.operators import joins, models, mount, region, robust, series, stack
 from vesperflow.plans.common import DEG, PIXELS, SAMPLES, SKY, STARS, lit, pixels, query, r, samples, sky, stars
 from vesperflow.session import table
@@ -669,3 +670,31 @@ def transits_of_a_quarter_century(spark, sf_dir):
 
     found = spark.createDataFrame([(p,) for p in _TRANSITS], "planet string").mapInPandas(run, "planet string, middle double")
     return found.select("planet", F.date_add(F.lit("2000-01-01").cast("date"), F.floor(F.col("middle") - 2451544.5).cast("int")).cast("string").alias("day"))
+
+
+# ---- planning formulas ----------------------------------------------------------------------------------------------
+
+#: name: (column of a, b, d; the same in SQL); a is 50 to 450, b 1.3 to 9.3, d -1 to 1.
+_ARCSEC = lit(f.ARCSEC)
+_FORMULAS = {
+    "magnification": (lambda a, b, d: f.magnification(a, b), "a / b"), "focal_length": (lambda a, b, d: f.focal_length(a, b), "a * b"), "focal_ratio": (lambda a, b, d: f.focal_ratio(a, b), "a / b"), "dawes": (lambda a, b, d: f.dawes_limit(a), "116 / a"), "rayleigh": (lambda a, b, d: f.rayleigh_limit(a), "138 / a"),
+    "faintest": (lambda a, b, d: f.limiting_magnitude(a), "2.7E0 + 5 * log10(a)"), "grasp": (lambda a, b, d: f.light_grasp(a, b), "pow(a / b, 2)"), "pupil": (lambda a, b, d: f.exit_pupil(b, a), "b / a"), "view_field": (lambda a, b, d: f.eyepiece_view(a, F.lit(80.0), b, F.lit(60.0))["field"], "60 / (a / b)"), "view_pupil": (lambda a, b, d: f.eyepiece_view(a, F.lit(80.0), b, F.lit(60.0))["exit_pupil"], "80 / (a / b)"),
+    "stop_field": (lambda a, b, d: f.field_stop_fov(b, a), f"b / a * {_DEGS}"), "plate": (lambda a, b, d: f.plate_scale(a), f"{_ARCSEC} / a"), "sampling": (lambda a, b, d: f.sampling_ratio(b, F.lit(1.3)), "b / 1.3E0"), "wanted_focal": (lambda a, b, d: f.recommended_focal_length(b, F.lit(2.0), F.lit(3.0)), f"b * 2 * {lit(f.ARCSEC / 1000)} / 3"), "airy": (lambda a, b, d: f.airy_disk(F.lit(0.55), b), "2.44E0 * 0.55E0 * b"),
+    "airy_pixels": (lambda a, b, d: f.airy_disk_pixels(b, F.lit(3.76)), "b / 3.76E0"), "focus_zone": (lambda a, b, d: f.critical_focus_zone(F.lit(0.55), b), "4.88E0 * 0.55E0 * b * b"), "effective": (lambda a, b, d: f.effective_aperture(a, b), "sqrt(a * a - b * b)"), "obstruction": (lambda a, b, d: f.obstruction_ratio(a, b), "100 * b / a"), "diagonal": (lambda a, b, d: f.diagonal_fov(b, a), "2 * atan(b / (2 * a))"),
+    "sensor": (lambda a, b, d: f.sensor_fov(b, a), f"b / a * {_DEGS}"), "panels": (lambda a, b, d: f.mosaic_panels(a, b, F.lit(0.25)).cast("double"), "ceil(a / (b * 0.75E0))"), "guide_error": (lambda a, b, d: f.error_pixels(b, F.lit(1.7)), "b / 1.7E0"), "trail": (lambda a, b, d: f.star_trail(d, b, F.lit(1.7)), f"cos(d) * {lit(f.SIDEREAL_RATE)} * b / 1.7E0"), "longest": (lambda a, b, d: f.max_exposure(b, F.lit(1.7), d), f"b * 1.7E0 / (cos(d) * {lit(f.SIDEREAL_RATE)})"),
+    "snr_gain": (lambda a, b, d: f.stacking_snr_gain(a), "sqrt(a)"), "range": (lambda a, b, d: f.dynamic_range(a, b), "a / b"), "stops": (lambda a, b, d: f.dynamic_range_stops(a, b), "log2(a / b)"), "saturates": (lambda a, b, d: f.saturation_time(a, b), "a / b"), "sky_limited": (lambda a, b, d: f.sky_limited_exposure(b, a), "b * b * 10 / a"), "total": (lambda a, b, d: f.total_integration(a, b), "a * b"),
+    "frames": (lambda a, b, d: f.subframes(a, b), "a / b"), "needed": (lambda a, b, d: f.required_subframes(a, b).cast("double"), "ceil(a / b)"), "dimming": (lambda a, b, d: f.extinction(F.lit(0.2), b), "0.2E0 * b"), "humidity": (lambda a, b, d: f.relative_humidity(b * 3, b), "exp(17.625E0 * b / (243.04E0 + b) - 17.625E0 * b * 3 / (243.04E0 + b * 3)) * 100"),
+    "transit_altitude": (lambda a, b, d: f.altitude_at_transit(F.lit(0.4), d), f"{lit(math.pi / 2)} - abs(0.4E0 - d)"), "hour_angle": (lambda a, b, d: f.hour_angle_at(d, F.lit(0.4), F.lit(0.1)), f"acos((sin(0.1E0) - {lit(math.sin(0.4))} * sin(d)) / ({lit(math.cos(0.4))} * cos(d)))"), "apparent_size": (lambda a, b, d: f.angular_diameter(b, a), "2 * atan(b / (2 * a))"), "surface": (lambda a, b, d: f.surface_brightness(b, a), "b + 2.5E0 * log10(a)"),
+    "comet": (lambda a, b, d: f.comet_magnitude(b, F.lit(1.4), b, F.lit(10.0)), "b + 5 * log10(1.4E0) + 10 * log10(b)"), "asteroid": (lambda a, b, d: f.asteroid_magnitude(b, b, F.lit(1.4), d), "b + 5 * log10(b * 1.4E0) + d"), "hg": (lambda a, b, d: f.hg_magnitude(b, F.lit(0.15), b, F.lit(1.4), F.abs(d)), "b + 5 * log10(b * 1.4E0) - 2.5E0 * log10(0.85E0 * exp(-3.33E0 * pow(tan(abs(d) / 2), 0.63E0)) + 0.15E0 * exp(-1.87E0 * pow(tan(abs(d) / 2), 1.22E0)))"),
+}
+
+
+_BASE = "WITH o AS (SELECT o_orderkey id, 50.137E0 + o_orderkey % 400 a, 1.3037E0 + (o_custkey % 800) / 101.0E0 b, ((o_orderkey * 7) % 1999 - 999) / 1003.0E0 d FROM orders)"
+
+
+@query(f"{_BASE} SELECT id, {', '.join(f'round({sql}, 5) + 0.0E0 {name}' for name, (_, sql) in _FORMULAS.items())} FROM o")
+def planning_formulas(spark, sf_dir):
+    """Closed forms of telescopes, cameras, exposures, air and magnitudes."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("id"), (F.pmod(k, F.lit(400)) + 50.137).alias("a"), (F.pmod("o_custkey", F.lit(800)) / 101.0 + 1.3037).alias("b"), ((F.pmod(k * 7, F.lit(1999)) - 999) / 1003.0).alias("d"))
+    return o.select("id", *(r(make(F.col("a"), F.col("b"), F.col("d")), 5).alias(n) for n, (make, _) in _FORMULAS.items()))
