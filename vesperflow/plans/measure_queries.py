@@ -100,10 +100,10 @@ _U, _V = _unit_sql("o_orderkey", 7919, 10007), _unit_sql("o_orderkey", 104729, 9
 
 
 @query(f"""SELECT id, round(-ln(1 - u) / 2, 6) + 0.0E0 exponential, round(1.5E0 * pow(-ln(1 - u), 1 / 2.5E0), 6) weibull, round(exp(-ln(1 - u) / 3), 6) pareto, round(2 * sqrt(-2 * ln(1 - u)), 6) rayleigh, 1 + floor(ln(1 - u) / ln(0.7E0)) geometric, CASE WHEN u < 0.3 THEN 1 ELSE 0 END bernoulli,
-round(CASE WHEN u < 0.25 THEN 1 + sqrt(u * 4) ELSE 5 - sqrt((1 - u) * 12) END, 6) triangular, round(10 + 2 * sqrt(-2 * ln(u)) * cos({lit(2 * math.pi)} * v), 6) normal, round(tan((u - 0.5E0) * {lit(math.pi)}), 3) + 0.0E0 cauchy FROM (SELECT o_orderkey id, {_U} u, {_V} v FROM orders) WHERE u > 0.001 AND u < 0.999""")
+round(CASE WHEN u < 0.25 THEN 1 + sqrt(u * 4) ELSE 5 - sqrt((1 - u) * 12) END, 6) triangular, round(10 + 2 * sqrt(-2 * ln(u)) * cos({lit(2 * math.pi)} * v), 6) normal, round(tan((u - 0.5E0) * {lit(math.pi)}), 3) + 0.0E0 cauchy FROM (SELECT o_orderkey id, (((o_orderkey * 7919) % 10007) + 0.5E0) / 10007 u, {_V} v FROM orders)""")
 def distributions(spark, sf_dir):
-    u, v = _unit("id", 7919, 10007), _unit("id", 104729, 9973)
-    o = _orders(spark, sf_dir).select("id", u.alias("u"), v.alias("v")).where("u > 0.001 AND u < 0.999")
+    u, v = (F.pmod(F.col("id") * 7919, F.lit(10007)) + 0.5) / 10007.0, _unit("id", 104729, 9973)
+    o = _orders(spark, sf_dir).select("id", u.alias("u"), v.alias("v"))
     return o.select(
         "id", r(random.exponential("u", 2.0)).alias("exponential"), r(random.weibull("u", 1.5, 2.5)).alias("weibull"), r(random.pareto("u", 3.0)).alias("pareto"), r(random.rayleigh("u", 2.0)).alias("rayleigh"), random.geometric("u", 0.3).alias("geometric"), random.bernoulli("u", 0.3).alias("bernoulli"),
         r(random.triangular("u", 1.0, 5.0, 2.0)).alias("triangular"), r(random.normal("u", "v", 10.0, 2.0)).alias("normal"), r(random.cauchy("u"), 3).alias("cauchy"),
@@ -400,14 +400,14 @@ def index_file_selection(spark, sf_dir):
     return joins.select_index_files(m, 12.0, 20.0, (1.0, 0.2, 0.3)).select("file")
 
 
-@query("""WITH h AS (SELECT o_custkey % 20 AS k, CAST(o_orderkey % 400 AS DOUBLE) t, o_orderkey seq, o_totalprice / 997.0E0 AS v FROM orders), p AS (SELECT l_orderkey id, l_linenumber line, l_suppkey % 20 AS k, (l_partkey % 4400) / 10.0E0 - 20 t FROM lineitem WHERE l_linenumber = 1),
-a AS (SELECT p.id, p.k, p.t, max_by({'t': h.t, 'v': h.v}, (h.t, h.seq)) a FROM p LEFT JOIN h ON h.k = p.k AND h.t <= p.t GROUP BY 1, 2, 3), b AS (SELECT p.id, p.k, p.t, min_by({'t': h.t, 'v': h.v}, (h.t, h.seq)) b FROM p LEFT JOIN h ON h.k = p.k AND h.t >= p.t GROUP BY 1, 2, 3)
-SELECT DISTINCT id, round(CASE WHEN a.a.t = t THEN a.a.v WHEN a.a IS NOT NULL AND b.b IS NOT NULL THEN a.a.v + (b.b.v - a.a.v) * (t - a.a.t) / (b.b.t - a.a.t) END, 5) AS v FROM a JOIN b USING (id, k, t)""")
+@query("""WITH h AS (SELECT o_custkey % 20 AS k, CAST(o_orderkey % 400 AS DOUBLE) t, o_orderkey seq, o_totalprice / 997.0E0 AS v FROM orders), p AS (SELECT l_orderkey id, l_linenumber line, l_suppkey % 20 AS k, (l_partkey % 4400) / 10.0E0 - 20 t FROM lineitem),
+q AS (SELECT DISTINCT k, t FROM p), a AS (SELECT q.k, q.t, max_by({'t': h.t, 'v': h.v}, (h.t, h.seq)) a FROM q LEFT JOIN h ON h.k = q.k AND h.t <= q.t GROUP BY 1, 2), b AS (SELECT q.k, q.t, min_by({'t': h.t, 'v': h.v}, (h.t, h.seq)) b FROM q LEFT JOIN h ON h.k = q.k AND h.t >= q.t GROUP BY 1, 2)
+SELECT DISTINCT id, line, round(CASE WHEN a.a.t = t THEN a.a.v WHEN a.a IS NOT NULL AND b.b IS NOT NULL THEN a.a.v + (b.b.v - a.a.v) * (t - a.a.t) / (b.b.t - a.a.t) END, 5) AS v FROM p JOIN a USING (k, t) JOIN b USING (k, t)""")
 def path_history(spark, sf_dir):
     """A recorded path's value at points in time, jumps kept, nothing beyond its ends."""
     h = _orders(spark, sf_dir).select(F.pmod("c", F.lit(20)).alias("k"), F.pmod("id", F.lit(400)).cast("double").alias("t"), F.col("id").alias("seq"), (F.col("p") / 997.0).alias("v"))
-    p = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.pmod("l_suppkey", F.lit(20)).alias("k"), (F.pmod("l_partkey", F.lit(4400)) / 10.0 - 20).alias("t"))
-    return joins.history_at(p, h, "k", "t", ["v"], "seq").select("id", r("v", 5).alias("v")).distinct()
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.pmod("l_suppkey", F.lit(20)).alias("k"), (F.pmod("l_partkey", F.lit(4400)) / 10.0 - 20).alias("t"))
+    return joins.history_at(p, h, "k", "t", ["v"], "seq").select("id", "line", r("v", 5).alias("v")).distinct()
 
 
 @query("""WITH p AS (SELECT o_orderkey id, CAST(o_custkey % 5 AS INTEGER) k, CAST(o_orderkey % 1000 AS DOUBLE) x FROM orders), b AS (SELECT CAST(l_suppkey % 5 AS INTEGER) k, CAST(300 + l_partkey % 300 AS DOUBLE) x, avg(l_quantity) / 0.997E0 y FROM lineitem GROUP BY ALL), a AS (SELECT CAST(l_suppkey % 5 AS INTEGER) k, CAST(l_partkey % 800 AS DOUBLE) x, avg(l_extendedprice) / 997.0E0 y FROM lineitem GROUP BY ALL),
