@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from vesperflow.plans import source_queries
 from vesperflow.sources import binary as b
 from vesperflow.sources import text as t
 
@@ -150,6 +151,16 @@ def test_checksums_and_codecs(spark):
     assert bytes(r.x) == check and b.inflate.func is not None and zlib.crc32(check) == want["CRC-32"]
 
 
+def test_tycho_designation_of_zero_bits(spark, tmp_path):
+    df = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 0, 3), (9536, 12120, 1)], "r long, s long, c long")
+    packed = df.select(b.pack_tycho(F.col("r"), F.col("s"), F.col("c")).cast("int").alias("v"))  # as records hold it
+    assert [tuple(r.d) for r in packed.select(b.decode_designation("v").alias("d")).collect()] == [("TYC", 0, 0, 1), ("TYC", 0, 0, 2), ("TYC", 0, 0, 3), ("TYC", 9536, 12120, 1)]
+    # the order of the driver's 60-fold tables that packs to zero bits
+    spark.createDataFrame([(6799881, 1, 2.0), (6799880, 1, 2.0)], "o_orderkey long, o_custkey long, o_totalprice double").selectExpr("*", "timestamp'2024-01-01' o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    got = source_queries.packed_designations(spark, str(tmp_path)).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(6799880, "UCAC4", 380, 799880, None), (6799881, "TYC", 0, 0, 1)]
+
+
 def test_xisf_round_trip(spark, tmp_path):
     planes = np.arange(24, dtype=float).reshape(3, 2, 4)
     for k, (sample, compress, shuffle) in enumerate([("Float32", False, False), ("UInt16", True, False), ("Float64", True, True)]):

@@ -352,9 +352,7 @@ def packed_designations(spark, sf_dir):
     k = F.col("k")
     m = lambda n: F.pmod(k, F.lit(n))
     ucac = F.shiftleft(m(900), 20).bitwiseOR(m(1000000))
-    part = F.when(m(3) == 2, F.lit(0x8000)).when(m(3) == 1, F.lit(0x40000000)).otherwise(F.lit(0)).cast("long")
-    tyc = -(F.shiftleft(m(9537), 16).bitwiseOR(m(12121)).bitwiseOR(part))
-    d = binary.decode_designation(F.when(m(2) == 0, ucac).otherwise(tyc))
+    d = binary.decode_designation(F.when(m(2) == 0, ucac).otherwise(binary.pack_tycho(m(9537), m(12121), 1 + m(3))))
     return _orders(spark, sf_dir).select(k.alias("id"), d.alias("d")).select("id", "d.catalogue", "d.region", "d.star", "d.component")
 
 

@@ -209,7 +209,7 @@ def decode_designation(value) -> Column:
     """(catalogue, region, star, component) of a packed designation: UCAC4 zone and record, or, where it is negative,
     Tycho region, star and component. The bits are the format's."""
     v = value if isinstance(value, Column) else F.col(value)
-    u = -v
+    u = -v.cast("long")  # the least 32-bit value has no negative of its own kind
     bits = lambda x, shift, mask: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask)).cast("int")
     ucac = F.struct(F.lit("UCAC4").alias("catalogue"), bits(v, 20, 0xFFF).alias("region"), bits(v, 0, 0xFFFFF).alias("star"), F.lit(None).cast("int").alias("component"))
     component = F.when(bits(u, 15, 1) == 1, 3).when(bits(u, 30, 1) == 1, 2).otherwise(1)
@@ -217,6 +217,14 @@ def decode_designation(value) -> Column:
     return F.when(v >= 0, ucac).when(v < 0, tycho)
 
 
+def pack_tycho(region: Column, star: Column, component: Column) -> Column:
+    """The packed designation of a Tycho star, for `decode_designation`: negative, in 32 bits. One whose bits are all zero
+    has no negative and would read as UCAC4; it takes the top bit, which is no field's."""
+    part = F.when(component == 3, F.lit(0x8000)).when(component == 2, F.lit(0x40000000)).otherwise(F.lit(0))
+    u = F.shiftleft(region.cast("long"), 16).bitwiseOR(star.cast("long")).bitwiseOR(part.cast("long"))
+    return -F.when(u == 0, F.lit(1 << 31)).otherwise(u)
+
+
 @dataclass(frozen=True)
 class Tiling:
     """A sky cut into bands of declination from south to north, each into so many equal cells from RA 0; areas count
