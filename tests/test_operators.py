@@ -381,6 +381,19 @@ def test_robust_sums_fit_as_the_rows_do(spark):
     assert models.fit_robust_sums(df, ["g"], {"a": F.col("a"), "b": F.col("b")}, "y").first().n == 400
 
 
+def test_days_without_a_transit_take_the_nearest():
+    # customers 16463, 17890, 39693 of the driver's larger tables: the Sun culminates seconds before and after their days
+    k = np.array([16463, 17890, 39693, 5])
+    jd, lat, lon = 2460310.5 + k % 366, (k * 7919 % 997 / 997 - 0.5) * 2.9, (k * 31 % 101 / 101 - 0.5) * 6.28
+    assert np.isnan(events.rise_transit_set_rows(events.sun_position, jd, lat, lon).transit).tolist() == [True, True, True, False]
+    got = events.rise_transit_set_rows(events.sun_position, jd, lat, lon, nearest=True)
+    assert ((got.rise < got.transit) & (got.transit < got.set) & (got.set - got.rise < 1)).all()
+    assert (np.abs(got.transit - jd - 0.5) < 0.501).all()
+    for i in range(4):
+        want = events.rise_transit_set(events.sun_position, jd[i], lat[i], lon[i], nearest=True)
+        assert all(abs(got[c][i] - want[c]) < 2e-5 for c in ("rise", "transit", "set"))
+
+
 def test_rise_and_set_of_all_rows_together():
     rng = np.random.default_rng(7)
     jd, lat, lon = 2460310.5 + rng.integers(0, 366, 40), rng.uniform(-1.5, 1.5, 40), rng.uniform(-3, 3, 40)

@@ -69,15 +69,20 @@ def altitude(jd: np.ndarray, ra: np.ndarray, dec: np.ndarray, latitude: float, l
     return np.arcsin(math.sin(latitude) * np.sin(dec) + math.cos(latitude) * np.cos(dec) * np.cos(h))
 
 
-def rise_transit_set(direction: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: float, latitude: float, longitude: float, horizon: float = -0.0145386, days: float = 1.0) -> dict:
+def rise_transit_set(direction: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: float, latitude: float, longitude: float, horizon: float = -0.0145386, days: float = 1.0, nearest: bool = False) -> dict:
     """rise, transit, set of a day from `start` and always_up or always_down where the horizon is not crossed.
 
     Transit is the highest maximum; rise is the nearest rising crossing before it and set the nearest setting one after.
+    A day that is shorter than the body's may have no transit: with `nearest` it takes the one nearest to it.
     """
     f = lambda t: altitude(t, *direction(t), latitude, longitude) - horizon
     out = {"rise": math.nan, "transit": math.nan, "set": math.nan, "always_up": False, "always_down": False}
     peaks, sign = extrema(f, start - days / 2, start + 1.5 * days, 1 / 48)
-    peaks = peaks[(sign > 0) & (peaks >= start) & (peaks < start + days)]
+    peaks = peaks[sign > 0]
+    inside = peaks[(peaks >= start) & (peaks < start + days)]
+    if nearest and len(peaks) and not len(inside):
+        inside = peaks[[np.abs(peaks - (start + days / 2)).argmin()]]
+    peaks = inside
     if len(peaks):
         out["transit"] = float(peaks[np.argmax(f(peaks))])
     middle = out["transit"] if len(peaks) else start + days / 2
@@ -93,7 +98,7 @@ def rise_transit_set(direction: Callable[[np.ndarray], tuple[np.ndarray, np.ndar
     return out
 
 
-def rise_transit_set_rows(direction: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, latitude: np.ndarray, longitude: np.ndarray, horizon: float = -0.0145386, days: float = 1.0) -> pd.DataFrame:
+def rise_transit_set_rows(direction: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, latitude: np.ndarray, longitude: np.ndarray, horizon: float = -0.0145386, days: float = 1.0, nearest: bool = False) -> pd.DataFrame:
     """As `rise_transit_set`, all rows together: grids of the days a row each, brackets refined in vectors."""
     lat, lon = np.asarray(latitude, float)[:, None], np.asarray(longitude, float)[:, None]
 
@@ -123,6 +128,9 @@ def rise_transit_set_rows(direction: Callable[[np.ndarray], tuple[np.ndarray, np
     inside = peak & (at >= start) & (at < start + days)
     best = np.where(inside, f(at), -np.inf).argmax(1)
     found = inside.any(1)
+    if nearest:
+        best = np.where(found, best, np.where(peak, np.abs(at - (start + days / 2)), np.inf).argmin(1))
+        found = peak.any(1)
     transit = np.where(found, at[row, best], np.nan)
     middle = np.where(found, transit, start[:, 0] + days / 2)[:, None]
     t = grid(middle - days, 2 * days)
@@ -150,14 +158,16 @@ def rise_transit_set_rows(direction: Callable[[np.ndarray], tuple[np.ndarray, np
     return pd.DataFrame({"rise": np.where(none, np.nan, rise), "transit": transit, "set": np.where(none, np.nan, set_), "always_up": none & above, "always_down": none & ~above})
 
 
-def sun_events(sites: DataFrame, key: str = "site") -> DataFrame:
-    """(key, rise, transit, set, always_up, always_down) of the Sun for rows (key, jd, latitude, longitude)."""
+def sun_events(sites: DataFrame, key: str = "site", nearest: bool = False) -> DataFrame:
+    """(key, rise, transit, set, always_up, always_down) of the Sun for rows (key, jd, latitude, longitude).
+
+    nearest: a day on which the Sun does not transit, as solar days may be longer, takes the transit nearest to it."""
     kind = sites.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             if len(b):
-                out = rise_transit_set_rows(sun_position, b["jd"], b["latitude"], b["longitude"])
+                out = rise_transit_set_rows(sun_position, b["jd"], b["latitude"], b["longitude"], nearest=nearest)
                 out.insert(0, key, b[key].to_numpy())
                 yield out
 

@@ -67,7 +67,7 @@ def sun_rise_transit_set(spark, sf_dir):
 def sun_event_altitudes(spark, sf_dir):
     """Away from the poles the Sun is on the horizon at its rise and set, and highest at the transit between them."""
     s = _sites(spark, sf_dir).where("abs(latitude) < 1.1D")
-    e = events.sun_events(s).join(s, "site")
+    e = events.sun_events(s, nearest=True).join(s, "site")
     h = lambda t: events.sun_altitude(t, F.col("latitude"), F.col("longitude"))
     near = [h(F.col("transit") + d) for d in (-0.01, 0.01)]
     e = e.select("site", r(h(F.col("rise")), 4).alias("at_rise"), r(h(F.col("set")), 4).alias("at_set"), ((h(F.col("transit")) > near[0]) & (h(F.col("transit")) > near[1])).alias("highest"), ((F.col("rise") < F.col("transit")) & (F.col("transit") < F.col("set"))).alias("in_order"))
