@@ -394,6 +394,19 @@ def test_days_without_a_transit_take_the_nearest():
         assert all(abs(got[c][i] - want[c]) < 2e-5 for c in ("rise", "transit", "set"))
 
 
+def test_rise_and_set_look_at_few_times_of_a_row():
+    looked = 0
+
+    def sun(t):
+        nonlocal looked
+        looked += t.size
+        return events.sun_position(t)
+
+    k = np.arange(500)
+    events.rise_transit_set_rows(sun, 2460310.5 + k % 366, (k * 7919 % 997 / 997 - 0.5) * 2.9, (k * 31 % 101 / 101 - 0.5) * 6.28)
+    assert looked < 400 * len(k)  # two grids of 97, the rest for one transit, rise and set
+
+
 def test_rise_and_set_of_all_rows_together():
     rng = np.random.default_rng(7)
     jd, lat, lon = 2460310.5 + rng.integers(0, 366, 40), rng.uniform(-1.5, 1.5, 40), rng.uniform(-3, 3, 40)

@@ -99,10 +99,11 @@ def rise_transit_set(direction: Callable[[np.ndarray], tuple[np.ndarray, np.ndar
 
 
 def rise_transit_set_rows(direction: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, latitude: np.ndarray, longitude: np.ndarray, horizon: float = -0.0145386, days: float = 1.0, nearest: bool = False) -> pd.DataFrame:
-    """As `rise_transit_set`, all rows together: grids of the days a row each, brackets refined in vectors."""
+    """As `rise_transit_set`, all rows together: grids of the days a row each, brackets refined in vectors. Only peaks that
+    can be a row's transit are refined, of the grid of two days one or two."""
     lat, lon = np.asarray(latitude, float)[:, None], np.asarray(longitude, float)[:, None]
 
-    def f(t: np.ndarray) -> np.ndarray:  # times by row
+    def f(t: np.ndarray, lat: np.ndarray = lat, lon: np.ndarray = lon) -> np.ndarray:  # times by row
         ra, dec = direction(t)
         h = sidereal(t) + lon - ra
         return np.arcsin(np.clip(np.sin(lat) * np.sin(dec) + np.cos(lat) * np.cos(dec) * np.cos(h), -1, 1)) - horizon
@@ -117,21 +118,27 @@ def rise_transit_set_rows(direction: Callable[[np.ndarray], tuple[np.ndarray, np
     t = grid(start - days / 2, 2 * days)
     y = f(t)
     peak = (y[:, 1:-1] > y[:, :-2]) & (y[:, 1:-1] > y[:, 2:])
-    lo, hi, g = t[:, :-2], t[:, 2:], (math.sqrt(5) - 1) / 2
-    for _ in range(40):  # golden sections of all triples; those that are no peak are not used
-        c, d = hi - g * (hi - lo), lo + g * (hi - lo)
-        left = f(c) > f(d)
-        lo, hi = np.where(left, lo, c), np.where(left, d, hi)
+    if not nearest:  # a peak lies within a step of its triple's middle
+        peak &= (t[:, 2:] >= start) & (t[:, :-2] < start + days)
+    at_row, at_col = np.nonzero(peak)
+    lo, hi, g = t[at_row, at_col], t[at_row, at_col + 2], (math.sqrt(5) - 1) / 2
+    own = lat[at_row, 0], lon[at_row, 0]
+    for _ in range(40):  # golden sections of all of them
         if (hi - lo).max(initial=0.0) <= 1e-6:
             break
-    at = (lo + hi) / 2
-    inside = peak & (at >= start) & (at < start + days)
-    best = np.where(inside, f(at), -np.inf).argmax(1)
-    found = inside.any(1)
-    if nearest:
-        best = np.where(found, best, np.where(peak, np.abs(at - (start + days / 2)), np.inf).argmin(1))
-        found = peak.any(1)
-    transit = np.where(found, at[row, best], np.nan)
+        c, d = hi - g * (hi - lo), lo + g * (hi - lo)
+        left = f(c, *own) > f(d, *own)
+        lo, hi = np.where(left, lo, c), np.where(left, d, hi)
+    at, first = (lo + hi) / 2, start[at_row, 0]
+    inside = (at >= first) & (at < first + days)
+    # of each row the highest inside comes first, then, with `nearest`, the one nearest to the day's middle; equal ones by time
+    rank = np.where(inside, -f(at, *own), np.abs(at - (first + days / 2)))
+    order = np.lexsort((at, rank, ~inside, at_row))
+    order = order if nearest else order[inside[order]]
+    which, lead = np.unique(at_row[order], return_index=True)
+    transit = np.full(n, np.nan)
+    transit[which] = at[order[lead]]
+    found = ~np.isnan(transit)
     middle = np.where(found, transit, start[:, 0] + days / 2)[:, None]
     t = grid(middle - days, 2 * days)
     y = f(t)
