@@ -151,6 +151,16 @@ def test_checksums_and_codecs(spark):
     assert bytes(r.x) == check and b.inflate.func is not None and zlib.crc32(check) == want["CRC-32"]
 
 
+def test_checksum_tables_are_made_once():
+    b._crc_table.cache_clear()
+    for i in range(100):
+        data = b"order %d" % i
+        for p in b.CRCS.values():
+            assert b.crc_by_table(data, *p) == b.crc(data, *p)
+    made = b._crc_table.cache_info()
+    assert made.misses == len({(width, poly, reflect) for width, poly, _, reflect, _, _ in b.CRCS.values()}) and made.hits == 500 - made.misses
+
+
 def test_tycho_designation_of_zero_bits(spark, tmp_path):
     df = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 0, 3), (9536, 12120, 1)], "r long, s long, c long")
     packed = df.select(b.pack_tycho(F.col("r"), F.col("s"), F.col("c")).cast("int").alias("v"))  # as records hold it

@@ -6,6 +6,7 @@ one task into many.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import struct
@@ -470,6 +471,7 @@ def crc(data: bytes, width: int, poly: int, init: int, reflect_in: bool, reflect
     return reg ^ xor
 
 
+@functools.cache
 def _crc_table(width: int, poly: int, reflect: bool) -> list[int]:
     """What each byte does to a register whose low (reflected) or high bits it meets."""
     out = []
@@ -486,14 +488,13 @@ def crc_by_table(data: bytes, width: int, poly: int, init: int, reflect_in: bool
     """As `crc`, a byte at a time; for widths of 8 and more whose two reflections agree."""
     if width < 8 or reflect_in != reflect_out:
         return crc(data, width, poly, init, reflect_in, reflect_out, xor)
-    table, mask = _TABLES.setdefault((width, poly, reflect_in), _crc_table(width, poly, reflect_in)), (1 << width) - 1
+    table, mask = _crc_table(width, poly, reflect_in), (1 << width) - 1
     reg = int(f"{init:0{width}b}"[::-1], 2) if reflect_in else init
     for b in data:
         reg = (reg >> 8) ^ table[(reg ^ b) & 255] if reflect_in else ((reg << 8) & mask) ^ table[(reg >> (width - 8)) ^ b]
     return reg ^ xor
 
 
-_TABLES: dict[tuple, list[int]] = {}
 #: Parameters of common checksums: width, polynomial, start, reflected in, reflected out, final xor.
 CRCS = {"CRC-16/ARC": (16, 0x8005, 0, True, True, 0), "CRC-16/CCITT-FALSE": (16, 0x1021, 0xFFFF, False, False, 0), "CRC-16/MODBUS": (16, 0x8005, 0xFFFF, True, True, 0), "CRC-8": (8, 0x07, 0, False, False, 0), "CRC-32": (32, 0x04C11DB7, 0xFFFFFFFF, True, True, 0xFFFFFFFF)}
 
